@@ -1,0 +1,110 @@
+"""Brace-structured script text: comments, assignments, dates. Pure functions, and a table function over files."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[{}]|=|[^\s{}="]+')
+_KEY = re.compile(r"[\w.\-]+\Z")
+_DATE = re.compile(r"(\d+)\.(\d+)\.(\d+)\Z")
+
+
+@dataclass(frozen=True)
+class Assignment:
+    key: str
+    raw: str
+    kind: str
+    line_start: int
+    line_end: int
+
+
+def without_comments(text: str) -> str:
+    """Comments outside quotes become spaces, so that offsets and lines stay."""
+    return re.sub(r'("(?:\\.|[^"\\])*"?)|#[^\n]*', lambda m: m[1] or " " * len(m[0]), text)
+
+
+def assignments(text: str, base_line: int = 1) -> Iterator[Assignment]:
+    """Assignments of the outermost level; blocks keep their text. Raises ValueError on an unclosed block."""
+    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    lines = [m.start() for m in re.finditer("\n", text)]
+
+    def line(at: int) -> int:
+        lo, hi = 0, len(lines)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if lines[mid] < at else (lo, mid)
+        return base_line + lo
+
+    k = 0
+    while k < len(tokens):
+        word, start, _ = tokens[k]
+        if not (_KEY.match(word) and k + 2 < len(tokens) + 0 and tokens[k + 1][0] == "="):
+            k += 1
+            continue
+        first = k = k + 2
+        if tokens[k][0] == "{":
+            depth = 0
+            while k < len(tokens):
+                depth += (tokens[k][0] == "{") - (tokens[k][0] == "}")
+                if not depth:
+                    break
+                k += 1
+            else:
+                raise ValueError(f"unclosed block at line {line(start)}")
+            kind = "block"
+        else:
+            kind = "scalar"
+        yield Assignment(word, text[tokens[first][1] : tokens[k][2]], kind, line(start), line(tokens[k][2] - 1))
+        k += 1
+
+
+def scalar(raw: str) -> str:
+    return re.sub(r"\\(.)", r"\1", raw[1:-1]) if raw[:1] == '"' else raw
+
+
+def date_key(text: str) -> int | None:
+    """y.m.d as y*10000 + m*100 + d with months 1-12 and days 1-31 in any month; None if it isn't a date."""
+    m = _DATE.match(text)
+    if not m:
+        return None
+    y, mo, d = map(int, m.groups())
+    return y * 10000 + mo * 100 + d if 1 <= mo <= 12 and 1 <= d <= 31 else None
+
+
+def decoded(raw: bytes) -> str:
+    if raw.startswith(b"\xef\xbb\xbf"):
+        return raw.decode("utf-8-sig")
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("cp1252")
+
+
+_OPERATIONS = "path string, entity_id string, declaration_order int, effective_date int, operation_key string, value_kind string, raw_value string, line_start int"
+
+
+def history(files: DataFrame) -> DataFrame:
+    """Operations of history files (path, content): static ones have a null date; order counts within a file."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                n = 0
+                for block in assignments(without_comments(decoded(bytes(content)))):
+                    if block.kind != "block":
+                        continue
+                    for a in assignments(block.raw[1:-1], block.line_start):
+                        date = date_key(a.key)
+                        inner = assignments(a.raw[1:-1], a.line_start) if date and a.kind == "block" else [a]
+                        for op in inner:
+                            rows.append((path, block.key, n, date, op.key, op.kind, scalar(op.raw) if op.kind == "scalar" else op.raw, op.line_start))
+                            n += 1
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OPERATIONS.split(", ")]).astype({"effective_date": "Int32"})
+
+    return files.select("path", "content").mapInPandas(parse, _OPERATIONS)
