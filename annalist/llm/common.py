@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,6 +48,9 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(spark)}/annalist-{name}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of the finished step go once the driver's garbage is collected; otherwise they stay for all later steps.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 

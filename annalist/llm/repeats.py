@@ -10,7 +10,8 @@ group is a single one:
 2. Digit two is the anchor's context, the bytes that windows with this anchor can reach. Anchors with equal contexts stand for
    equal windows: all of them are repeated, without looking at any of them.
 3. Digit three, for anchors whose group has other contexts as well: the window itself. One anchor of each context sends its
-   windows, equal groups are the repeated ones.
+   context's bytes. A group of up to GROUP contexts is sorted in memory, its bytes being bounded; a larger one is sorted by
+   windows as rows, with partial aggregation. In both, equal groups of windows are the repeated ones.
 
 Digits are compared by hashes of 128 bits in all (anchor and context, or two of a window). What travels is one number for each anchor,
 then a few windows; texts are joined with what was found about them by document.
@@ -34,6 +35,8 @@ from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, chunks, mapped, m
 
 DEPTH = 200
 GRAM = 40
+#: Contexts of one anchor that are compared in memory, of at most 2 * DEPTH bytes each.
+GROUP = 4096
 
 _A, _B = RollingHash(0x0511), RollingHash(0x7E57)
 
@@ -173,12 +176,11 @@ def standings(docs: DataFrame) -> DataFrame:
     return alike.unionByName(other).groupBy("id", "key").agg(F.collect_list(F.struct("at", "state")).alias("found"))
 
 
-_ASKING = "id long, key int, n_bytes long, text binary, starts array<int>, ends array<int>, w1 array<long>, w2 array<long>, w_at array<int>, asks array<boolean>"
+_ASKING = "id long, key int, n_bytes long, text binary, starts array<int>, ends array<int>, gram array<long>, lo array<int>, context array<binary>, asks array<boolean>"
 
 
 def looked_at(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with something found: spans known to be repeated, and windows to send and look up."""
-
+    """Documents with something found: spans known to be repeated, and contexts to send."""
     rows = texts.alias("t")
     held = rows.join(found.alias("f"), F.col("t.id").eqNullSafe(F.col("f.id")) & (F.col("t.key") == F.col("f.key"))).select("t.id", "t.key", F.coalesce("t.text", F.lit("")).alias("text"), "f.found")
 
@@ -187,36 +189,85 @@ def looked_at(texts: DataFrame, found: DataFrame) -> DataFrame:
         offsets, flat = lists.offsets.to_numpy(), lists.values
         at_all, state_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for a, b in chunks(every, 2 * CHUNK_BYTES):
-            s_, e_, h1, h2, w_at, asks = [], [], [], [], [], []
+            s_, e_, gram, lo, context, asks = [], [], [], [], [], []
             for k in range(a, b):
-                data = np.frombuffer(every[k], np.uint8)
-                anchors = Anchors(data)
+                text = every[k]
+                anchors = Anchors(np.frombuffer(text, np.uint8))
                 s, e = offsets[k], offsets[k + 1]
                 # Rows that repeat a document bring its anchors several times.
                 state = np.zeros(len(anchors.at), np.int64)
-                place = np.searchsorted(anchors.at, at_all[s:e])
-                np.maximum.at(state, place, state_all[s:e])
+                np.maximum.at(state, np.searchsorted(anchors.at, at_all[s:e]), state_all[s:e])
                 full = (state == ALL) | (state == ALL_AND_SENDS)
                 known = spans_of(np.column_stack((anchors.lo[full], anchors.hi[full] + DEPTH)))
                 sends = np.flatnonzero(state >= ALL_AND_SENDS)
-                size = anchors.hi[sends] - anchors.lo[sends] + 1
-                starts = np.repeat(anchors.lo[sends] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(sends) else np.zeros(0, np.int64)
-                ask = np.repeat(state[sends] == ASKS, size)
-                x, y = window_hashes(data, starts) if len(starts) else (np.zeros(0, U64), np.zeros(0, U64))
-                for out, v in ((s_, known[:, 0]), (e_, known[:, 1]), (h1, x), (h2, y), (w_at, starts), (asks, ask)):
+                for out, v in ((s_, known[:, 0]), (e_, known[:, 1]), (gram, anchors.gram[sends]), (lo, anchors.lo[sends])):
                     out.append(v)
-            flags = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in asks]))).astype(np.int32)), pa.array(np.concatenate(asks).astype(bool)))
+                context.append([text[x:y] for x, y in zip(anchors.lo[sends].tolist(), (anchors.hi[sends] + DEPTH).tolist())])
+                asks.append((state[sends] == ASKS).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(t) for t in every[a:b]], pa.int64()), pa.array(every[a:b], pa.binary()),
-                    _lists(s_, pa.int32()), _lists(e_, pa.int32()), _lists(h1, pa.int64()), _lists(h2, pa.int64()), _lists(w_at, pa.int32()), flags,
+                    _lists(s_, pa.int32()), _lists(e_, pa.int32()), _lists(gram, pa.int64()), _lists(lo, pa.int32()), pa.array(context, pa.list_(pa.binary())), pa.array(asks, pa.list_(pa.bool_())),
                 ],
-                ["id", "key", "n_bytes", "text", "starts", "ends", "w1", "w2", "w_at", "asks"],
+                ["id", "key", "n_bytes", "text", "starts", "ends", "gram", "lo", "context", "asks"],
             )
 
     return mapped(held, make, _ASKING)
 
 
+def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of some contexts: context number, start in it, two hashes."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    size = np.array([len(c) for c in contexts], np.int64)
+    count = np.maximum(size - DEPTH + 1, 0)
+    own = np.repeat(np.arange(len(contexts)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return own, start, *window_hashes(data, start + np.repeat(np.cumsum(size) - size, count))
+
+
+def runs(starts: np.ndarray) -> np.ndarray:
+    """[first, last + DEPTH) of runs of consecutive window starts."""
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(starts) != 1)))
+    return np.column_stack((starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + DEPTH)) if len(starts) else np.zeros((0, 2), np.int64)
+
+
+_RANGES = "id long, key int, start int, end int"
+
+
+def compared(sent: DataFrame) -> DataFrame:
+    """Ranges of the asking contexts that are repeated. sent: id, key, gram, lo, context, asks."""
+    sizes = sent.groupBy("gram").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("gram", "n")
+    held = sent.join(sizes, "gram")
+    few = held.where(F.col("n") <= GROUP).groupBy("gram").agg(F.collect_list(F.struct("id", "key", "lo", "context", "asks")).alias("rows"))
+
+    def within(batch: pa.RecordBatch):
+        out: list[list] = [[], [], [], []]
+        for rows in batch.column(1).to_pylist():
+            own, start, w1, w2 = context_windows([r["context"] for r in rows])
+            order = np.lexsort((w2, w1))
+            new = np.concatenate(([True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])))
+            group = np.cumsum(new) - 1
+            repeated = np.zeros(len(own), bool)
+            repeated[order] = np.bincount(group)[group] > 1
+            for k, r in enumerate(rows):
+                if r["asks"]:
+                    found = runs(start[repeated & (own == k)]) + r["lo"]
+                    for column, values in zip(out, ([r["id"]] * len(found), [r["key"]] * len(found), found[:, 0].tolist(), found[:, 1].tolist())):
+                        column += values
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "key", "start", "end"])
+
+    def windows(batch: pa.RecordBatch):
+        lo, asks = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+        own, start, w1, w2 = context_windows(batch.column(4).to_pylist())
+        take = pa.array(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((start + lo[own]).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(asks[own])], ["id", "key", "start", "w1", "w2", "asks"])
+
+    many = mapped(held.where(F.col("n") > GROUP).select("id", "key", "gram", "lo", "context", "asks"), windows, "id long, key int, start int, w1 long, w2 long, asks boolean")
+    twice = many.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("w1", "w2")
+    single = many.where("asks").join(twice, ["w1", "w2"]).select("id", "key", "start", (F.col("start") + DEPTH).alias("end"))
+    return mapped(few.select("gram", "rows"), within, _RANGES).unionByName(single)
+
+
 _DONE = "id long, key int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>"
 
 
@@ -224,8 +275,8 @@ def finished(rows: DataFrame) -> DataFrame:
     def make(batch: pa.RecordBatch):
         removed, n_spans, digest, lists = [], [], [], []
         for text, starts, ends, more in zip(texts_of(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-            w = np.array(more or [], np.int64)
-            spans = spans_of(np.concatenate((np.column_stack((np.array(starts, np.int64), np.array(ends, np.int64))), np.column_stack((w, w + DEPTH)))))
+            ranges = [*zip(starts, ends), *((r["start"], r["end"]) for r in more or ())]
+            spans = spans_of(np.array(ranges, np.int64).reshape(-1, 2))
             removed.append(int((spans[:, 1] - spans[:, 0]).sum()))
             n_spans.append(len(spans))
             digest.append(hashlib.sha256(without(text, spans)).hexdigest())
@@ -244,9 +295,8 @@ def removal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = written(spark, anchored(texts), "anchors")
     found = written(spark, standings(docs), "standings")
     asking = written(spark, looked_at(texts, found), "asking")
-    windows = asking.select("id", "key", F.explode(F.arrays_zip("w1", "w2", "w_at", "asks")).alias("x")).select("id", "key", "x.*")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("w1", "w2")
-    hits = windows.where("asks").join(twice, ["w1", "w2"]).groupBy("id", "key").agg(F.collect_set("w_at").alias("more"))
+    sent = asking.select("id", "key", F.explode(F.arrays_zip("gram", "lo", "context", "asks")).alias("x")).select("id", "key", "x.*")
+    hits = written(spark, compared(sent), "ranges").groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     a, h = asking.alias("a"), hits.alias("h")
     joined = a.join(h, F.col("a.id").eqNullSafe(F.col("h.id")) & (F.col("a.key") == F.col("h.key")), "left").select("a.id", "a.key", "a.n_bytes", "a.text", "a.starts", "a.ends", "h.more")
     done = finished(joined).alias("d")
