@@ -369,6 +369,15 @@ def test_repeats_on_periodic_and_shifted_texts(spark):
     assert both(repeats.removal(frame), *COLS9) == repeats_by_force(rows)
 
 
+def test_repeats_in_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    rng = random.Random(22)
+    passage = prose(80, rng)
+    rows = [(k, prose(20, rng) + passage[rng.randrange(120) :] + prose(20, rng)) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert both(repeats.removal(frame), *COLS9) == repeats_by_force(rows)
+
+
 def test_repeats_on_documents(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in frame.collect()]
@@ -422,10 +431,13 @@ def test_near_dedup_on_documents(spark, sf_dir):
     check_groups(frame, [(r.doc_id, r.text) for r in frame.collect()])
 
 
-def test_near_dedup_links_chains_that_no_centre_sees(spark, monkeypatch):
+@pytest.mark.parametrize(("levels", "bucket"), [(1, 4), (3, 4), (1, 2048)])
+def test_near_dedup_links_chains_that_no_centre_sees(spark, monkeypatch, levels, bucket):
     """A drifting chain: neighbours are similar, ends are not, so links must be found beyond each bucket's centre."""
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 6)
+    monkeypatch.setattr(near_dedup, "MINOR", 3)
     monkeypatch.setattr(near_dedup, "CENTRES", 3)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
     rng = random.Random(31)
     words = prose(200, rng).split()
     rows = []
