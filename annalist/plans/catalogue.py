@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annalist.functions import script
 from annalist.operators import hierarchy, replay
+from annalist.sources import html_tables, script_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,3 +173,42 @@ shared("T5_custom_order", "SELECT n_name, CASE n_regionkey WHEN 2 THEN 0 WHEN 0
 shared("F11_squeeze", r"SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ')) AS squeezed FROM documents", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS squeezed FROM documents")
 shared("F14_strip_prefix", "SELECT c_custkey, regexp_replace(c_name, '^Customer#0*', '') AS bare FROM customer")
 shared("D47_options", "SELECT concat(c_name, CASE WHEN c_acctbal < 0 THEN ' (warning)' ELSE '' END) AS label, c_custkey AS value FROM customer")
+
+
+@own("T1_children", f"SELECT parent_title_id, title_id, row_number() OVER (PARTITION BY parent_title_id ORDER BY source_order, title_id) AS position FROM ({TITLES}) t WHERE parent_title_id LIKE 'k_%'")
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("parent_title_id").orderBy("source_order", "title_id"))
+    return titles(spark, sf_dir).where("parent_title_id LIKE 'k_%'").select("parent_title_id", "title_id", rank.alias("position"))
+
+
+@own("D46_partial_update", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    change = base.where("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit("NONE").alias("c_mktsegment"))
+    return replay.overlay(base, change, "c_custkey", ["c_name", "c_mktsegment"])
+
+
+def script_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history file for each part: a static name and a dated block."""
+    text = F.format_string('p_%d = { name = "%s" # note {\n 867.1.%d = { holder = %d } }', "p_partkey", "p_name", F.col("p_size") % 28 + 1, "p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("%d.txt", "p_partkey").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@own("S3_script_history", """SELECT concat(p_partkey, '.txt') AS path, concat('p_', p_partkey) AS entity_id, 0 AS declaration_order, CAST(NULL AS integer) AS effective_date, 'name' AS operation_key, p_name AS raw_value FROM part
+UNION ALL SELECT concat(p_partkey, '.txt'), concat('p_', p_partkey), 1, 8670100 + p_size % 28 + 1, 'holder', CAST(p_partkey AS varchar) FROM part""")
+def script_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.history(script_of_parts(spark, sf_dir)).select("path", "entity_id", "declaration_order", "effective_date", "operation_key", "raw_value")
+
+
+@own("F1_script_declarations", """SELECT concat('p_', p_partkey) AS keys, 'block' AS kind, CAST(NULL AS varchar) AS scalar_value, 1 AS line_start, 2 AS line_end FROM part
+UNION ALL SELECT concat('p_', p_partkey, '/name'), 'scalar', p_name, 1, 1 FROM part
+UNION ALL SELECT concat('p_', p_partkey, '/867.1.', p_size % 28 + 1), 'block', NULL, 2, 2 FROM part
+UNION ALL SELECT concat('p_', p_partkey, '/867.1.', p_size % 28 + 1, '/holder'), 'scalar', CAST(p_partkey AS varchar), 2, 2 FROM part""")
+def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = script_files.declarations(script_of_parts(spark, sf_dir), 3)
+    return rows.select(F.array_join("keys", "/").alias("keys"), "kind", F.when(F.col("kind") == "scalar", F.col("value")).alias("scalar_value"), "line_start", "line_end")
+
+
+@own("S20_html_cells")
+def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tables.cells(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")

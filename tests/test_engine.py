@@ -18,7 +18,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_oracle(spark, sf_dir, duck, name):
     frame = catalogue.QUERIES[name](spark, sf_dir)
     cols = sorted(frame.columns)
@@ -52,3 +52,8 @@ def test_hierarchy_outcomes(spark):
     rows = [("e_1", None), ("k_1", "e_1"), ("d_1", "k_1"), ("c_1", "d_1"), ("b_1", "c_1"), ("c_2", "e_1"), ("c_3", "d_9"), ("d_2", "k_1"), ("d_2", "k_1"), ("k_2", "k_3"), ("k_3", "k_2")]
     got = {r.title_id: r.warning for r in hierarchy.validated(spark.createDataFrame(rows, "title_id string, parent_title_id string")).collect()}
     assert got == {"e_1": None, "k_1": None, "d_1": None, "c_1": None, "b_1": None, "c_2": "non-canonical rank chain: ce", "c_3": "missing parent title: d_9", "d_2": "duplicate title declarations", "k_2": "cyclic parent hierarchy", "k_3": "cyclic parent hierarchy"}
+
+
+def test_html_cells_query(spark, sf_dir):
+    assert catalogue.QUERIES["S20_html_cells"](spark, sf_dir).columns == ["id", "row_number", "cells"]
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"S20_html_cells"}
