@@ -81,6 +81,34 @@ def mapped(frame: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.Record
     return frame.mapInArrow(run, schema)
 
 
+def by_group(frame: DataFrame, key: str, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """A function of one group of a long key, given as a record batch that has the key first.
+
+    The JVM only sorts, which spills; a worker holds one group, so groups must be bounded. No row ever holds a whole group.
+    """
+    held = frame.select(key, *[c for c in frame.columns if c != key]).repartition(key).sortWithinPartitions(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if pieces and b > a and pieces[0].column(0)[0].as_py() != keys[a]:
+                    yield from make(joined(pieces))
+                    pieces = []
+                if b > a:
+                    pieces.append(batch.slice(a, b - a))
+        if pieces:
+            yield from make(joined(pieces))
+
+    return held.mapInArrow(run, schema)
+
+
+def joined(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pieces[0] if len(pieces) == 1 else pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection on 64-bit words."""
     x = x.astype(U64, copy=True)
