@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, chunks, mapped, mix, session_defaults, texts_of, written
+from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, by_group, chunks, mapped, mix, session_defaults, texts_of, written
 
 DEPTH = 200
 GRAM = 40
@@ -170,8 +170,10 @@ def standings(docs: DataFrame) -> DataFrame:
     again = anchors.join(common, "gram")
     alike = again.where("not mixed").select("id", "key", "at", F.lit(ALL).alias("state"))
     several = again.where("mixed").select("id", "key", "at", "gram", "context")
-    classes = several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at")).alias("first"))
-    state = F.when(F.col("n") == 1, ASKS).when(F.col("first").eqNullSafe(F.struct("id", "key", "at")), ALL_AND_SENDS).otherwise(ALL)
+    # A number for the place, as a least number takes no sort; two places with one number would only both send.
+    place = F.xxhash64("id", "key", "at")
+    classes = several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    state = F.when(F.col("n") == 1, ASKS).when(F.col("first") == place, ALL_AND_SENDS).otherwise(ALL)
     other = several.join(classes, ["gram", "context"]).select("id", "key", "at", state.alias("state"))
     return alike.unionByName(other).groupBy("id", "key").agg(F.collect_list(F.struct("at", "state")).alias("found"))
 
@@ -225,12 +227,6 @@ def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return own, start, *window_hashes(data, start + np.repeat(np.cumsum(size) - size, count))
 
 
-def runs(starts: np.ndarray) -> np.ndarray:
-    """[first, last + DEPTH) of runs of consecutive window starts."""
-    cut = np.flatnonzero(np.concatenate(([True], np.diff(starts) != 1)))
-    return np.column_stack((starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + DEPTH)) if len(starts) else np.zeros((0, 2), np.int64)
-
-
 _RANGES = "id long, key int, start int, end int"
 
 
@@ -238,23 +234,24 @@ def compared(sent: DataFrame) -> DataFrame:
     """Ranges of the asking contexts that are repeated. sent: id, key, gram, lo, context, asks."""
     sizes = sent.groupBy("gram").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("gram", "n")
     held = sent.join(sizes, "gram")
-    few = held.where(F.col("n") <= GROUP).groupBy("gram").agg(F.collect_list(F.struct("id", "key", "lo", "context", "asks")).alias("rows"))
+    few = held.where(F.col("n") <= GROUP).select("gram", "id", "key", "lo", "context", "asks")
 
     def within(batch: pa.RecordBatch):
-        out: list[list] = [[], [], [], []]
-        for rows in batch.column(1).to_pylist():
-            own, start, w1, w2 = context_windows([r["context"] for r in rows])
-            order = np.lexsort((w2, w1))
-            new = np.concatenate(([True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])))
-            group = np.cumsum(new) - 1
-            repeated = np.zeros(len(own), bool)
-            repeated[order] = np.bincount(group)[group] > 1
-            for k, r in enumerate(rows):
-                if r["asks"]:
-                    found = runs(start[repeated & (own == k)]) + r["lo"]
-                    for column, values in zip(out, ([r["id"]] * len(found), [r["key"]] * len(found), found[:, 0].tolist(), found[:, 1].tolist())):
-                        column += values
-        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id", "key", "start", "end"])
+        lo, asks = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
+        own, start, w1, w2 = context_windows(batch.column(4).to_pylist())
+        order = np.lexsort((w2, w1))
+        new = np.concatenate(([True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])))
+        group = np.cumsum(new) - 1
+        repeated = np.zeros(len(own), bool)
+        repeated[order] = np.bincount(group)[group] > 1
+        at = np.flatnonzero(repeated & asks[own])
+        # Rows follow each other by context, then by start: a run ends where either jumps.
+        cut = np.flatnonzero(np.concatenate((np.full(min(len(at), 1), True), (np.diff(own[at]) != 0) | (np.diff(start[at]) != 1))))
+        first, last = at[cut], at[np.append(cut[1:], len(at)) - 1] if len(at) else at
+        mine = own[first]
+        take = pa.array(mine)
+        ends = [(start[x] + lo[mine] + more).astype(np.int32) for x, more in ((first, 0), (last, DEPTH))]
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), *map(pa.array, ends)], ["id", "key", "start", "end"])
 
     def windows(batch: pa.RecordBatch):
         lo, asks = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
@@ -265,7 +262,7 @@ def compared(sent: DataFrame) -> DataFrame:
     many = mapped(held.where(F.col("n") > GROUP).select("id", "key", "gram", "lo", "context", "asks"), windows, "id long, key int, start int, w1 long, w2 long, asks boolean")
     twice = many.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("w1", "w2")
     single = many.where("asks").join(twice, ["w1", "w2"]).select("id", "key", "start", (F.col("start") + DEPTH).alias("end"))
-    return mapped(few.select("gram", "rows"), within, _RANGES).unionByName(single)
+    return by_group(few, "gram", within, _RANGES).unionByName(single)
 
 
 _DONE = "id long, key int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>"
