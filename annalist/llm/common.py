@@ -47,11 +47,17 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     Lost executors cost only a rerun of the tasks that they had, as the files outlive them.
     """
     path = f"{shared_folder(spark)}/annalist-{name}-{uuid.uuid4().hex}"
+    # The step before is garbage only now that its caller has dropped its frame.
+    release(spark)
     frame.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the finished step go once the driver's garbage is collected; otherwise they stay for all later steps.
+    release(spark)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver's garbage is collected; otherwise they stay for all later steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(frame.schema).parquet(path)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, by_group, chunks, mapped, mix, session_defaults, texts_of, written
+from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, by_group, chunks, mapped, mix, release, session_defaults, texts_of, written
 
 DEPTH = 200
 GRAM = 40
@@ -294,6 +294,7 @@ def removal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asking = written(spark, looked_at(texts, found), "asking")
     sent = asking.select("id", "key", F.explode(F.arrays_zip("gram", "lo", "context", "asks")).alias("x")).select("id", "key", "x.*")
     hits = written(spark, compared(sent), "ranges").groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    release(spark)
     a, h = asking.alias("a"), hits.alias("h")
     joined = a.join(h, F.col("a.id").eqNullSafe(F.col("h.id")) & (F.col("a.key") == F.col("h.key")), "left").select("a.id", "a.key", "a.n_bytes", "a.text", "a.starts", "a.ends", "h.more")
     done = finished(joined).alias("d")
