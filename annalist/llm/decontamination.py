@@ -1,14 +1,11 @@
-"""Benchmark decontamination by the CGK embedding and bit-sampling LSH, with exact edit verification.
+"""Benchmark decontamination by an exact filter of intact pieces, with exact edit verification.
 
-The CGK embedding walks over a string and writes the character under its pointer at each step; a random function of step
-and character says whether the pointer moves. Strings within a small edit distance give walks that meet again, so edit
-distance becomes Hamming distance of the walks, and samples of a walk's positions are an LSH for it.
-
-Texts are normalised first: lower case, punctuation becomes space, one space between words. Windows of an item's size start
-at pairs of words that some item has too (an intact pair is left in any close copy); the walk over what follows is sampled
-several times for each of several random functions, and a window whose sample equals that of an item's at the same pair is a
-candidate. Every item has many pairs and each pair has several samples, which is what makes recall high. Candidates are then
-verified by exact edit distance of the whole item against the document around the window.
+Texts are normalised first: lower case, punctuation becomes space, one space between words. An item of n bytes may have k =
+MAX_EDITS * n edits. It is cut into pieces of q = n // (k + 1) bytes; an edit damages one piece at most, so n // q - k pieces or
+more are intact in any copy, on diagonals (place in the document less place in the item) that differ by k at most. Every place
+of a document is looked up among the pieces, and where so many of an item's pieces meet, the four-byte sequences that
+the window and the item share are counted, each as often as both have it: a copy keeps n - 3 - 4 k of them. Neither filter loses a
+copy within the limit. What passes is verified by exact edit distance of the whole item against the document around the window.
 
 Defined results: null and empty texts and items match nothing; items with under MIN_CHARS normalised characters are not looked
 for; ties of distance give the first place; rows that repeat an id or an item give rows of their own; empty tables give empty tables;
@@ -22,27 +19,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import U64, RollingHash, chunks, mapped, mix, seeded, session_defaults
+from annalist.llm.common import U64, chunks, mapped, session_defaults
 
 #: Edits that an item may have, as a share of its length; least normalised length of an item.
 MAX_EDITS, MIN_CHARS = 0.15, 32
-#: Steps of a walk, random functions, samples of each, positions in a sample.
-STEPS, WALKS, SAMPLES, POSITIONS = 80, 3, 4, 8
-#: Least length of a pair of words, space included: shorter pairs are common ones that say little.
-PAIR_CHARS = 9
 #: Benchmark rows, and characters of them, that one pass holds.
 BLOCK_ROWS, BLOCK_CHARS = 20_000, 8 << 20
 
-_HASH = RollingHash(0xBE7C)
-#: Walk bits: whether the pointer moves at a step on a byte.
-_MOVES = (mix(seeded(WALKS * STEPS * 256, 0xC6C)) >> U64(63)).astype(np.int64).reshape(WALKS, STEPS, 256)
-_MOVES[:, :, 0] = 0
-#: Positions that each sample reads: the first steps lie in the pair, which is equal anyhow; early ones have met few edits yet.
-_RNG = np.random.default_rng(71)
-_PICKED = [[frozenset(_RNG.choice(np.arange(8, STEPS if s == 0 else STEPS // 2), POSITIONS, False).tolist()) for s in range(SAMPLES)] for _ in range(WALKS)]
+#: Items whose hits are sorted together; entries of a window table that are held at once; bits of a filter and of a sequence's number.
+PART_ITEMS, WINDOW_CELLS, FILTER_BITS, KIND_BITS = 256, 4 << 20, 20, 14
+
+_ODD = U64(0x9E3779B97F4A7C15)
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -50,105 +41,120 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_PLAIN).split())
 
 
-def word_pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of words that have a next word in their text, and the hash of each pair. Texts end in a zero byte."""
-    last = np.flatnonzero((data == 32) | (data == 0))
-    first = np.concatenate(([0], last[:-1] + 1))
-    if len(first) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    same = np.flatnonzero((data[last[:-1]] == 32) & (last[1:] - first[:-1] >= PAIR_CHARS))
-    a, b = first[same], last[same + 1]
-    return a, mix(_HASH.ranges(_HASH.prefix(data), a, b) + (b - a).astype(U64))
-
-
-def samples(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sampled walks from each start: one 64-bit number for each random function and sample. A walk stays at its text's zero byte."""
-    out = np.zeros((len(starts), WALKS * SAMPLES), U64)
-    for w in range(WALKS):
-        at = starts.astype(np.int64)
-        own = [np.full(len(starts), mix(np.array([w * SAMPLES + s + 1], U64))[0]) for s in range(SAMPLES)]
-        for step in range(max(map(max, _PICKED[w])) + 1):
-            c = data[at]
-            wide = None
-            for s in range(SAMPLES):
-                if step in _PICKED[w][s]:
-                    wide = c.astype(U64) + U64(1) if wide is None else wide
-                    own[s] = own[s] * U64(0x9E3779B97F4A7C15) + wide
-            at += _MOVES[w, step][c]
-        for s in range(SAMPLES):
-            out[:, w * SAMPLES + s] = mix(own[s])
-    return out
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """The `size` bytes from each place as one number, up to the last place that has so many."""
+    held = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(max(0, len(data) - size + 1), "<u8", held, strides=(1,)) & U64((1 << 8 * size) - 1)
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """A small number for the four bytes from each place."""
+    return ((grams(data, 4) * _ODD) >> U64(64 - KIND_BITS)).astype(np.int64)
+
+
+class Part:
+    """Pieces of some items. A window is given as (item, first diagonal) and holds copies on `span` diagonals from there on."""
+
+    def __init__(self, items: list[bytes]) -> None:
+        self.size = np.array([len(t) for t in items], np.int64)
+        self.slack = np.array([int(MAX_EDITS * len(t)) for t in items], np.int64)
+        self.span = self.slack // 2 + 1
+        piece = self.size // (self.slack + 1)
+        self.need = self.size // np.maximum(piece, 1) - self.slack
+        self.kinds = [np.unique(kinds(np.frombuffer(t, np.uint8)), return_counts=True) for t in items]
+        self.pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for q in sorted(set(piece.tolist())):
+            rows = [(int.from_bytes(items[k][o : o + q], "little"), k, o) for k in np.flatnonzero(piece == q).tolist() for o in range(0, len(items[k]) - q + 1, q)]
+            gram, item, offset = (np.array(x, t) for x, t in zip(zip(*sorted(rows)), (U64, np.int64, np.int64)))
+            own, first = np.unique(gram, return_index=True)
+            seen = np.zeros(1 << FILTER_BITS, bool)
+            seen[(own * _ODD >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.pieces.append((q, own, np.append(first, len(gram)), item, offset, seen))
+
+    def candidates(self, data: np.ndarray, kind: np.ndarray, pad: int, by_size: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (item, first diagonal) of windows that pass both filters. kind has `pad` places before those of data, and as many after."""
+        keys = []
+        for q, own, first, item, offset, seen in self.pieces:
+            if q not in by_size:
+                by_size[q] = grams(data, q)
+            gram = by_size[q]
+            at = np.flatnonzero(seen[(gram * _ODD >> U64(64 - FILTER_BITS)).astype(np.int64)])
+            which = np.minimum(np.searchsorted(own, gram[at]), len(own) - 1)
+            same = own[which] == gram[at]
+            at, which = at[same], which[same]
+            count = first[which + 1] - first[which]
+            row = np.repeat(first[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            keys.append(item[row] << 40 | (np.repeat(at, count) - offset[row] + pad))
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        item = key >> 40
+        last = np.arange(len(key)) + self.need[item] - 1
+        enough = (last < len(key)) & (key[np.minimum(last, len(key) - 1)] - key <= self.slack[item])
+        item, diagonal = item[enough], key[enough] & ((1 << 40) - 1)
+        diagonal -= diagonal % self.span[item]
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
+        item, diagonal = item[new], diagonal[new] - pad
+        keep = np.ones(len(item), bool)
+        edge = np.searchsorted(item, np.arange(len(self.size) + 1))
+        for k in np.unique(item).tolist():
+            n, slack, (own, times) = int(self.size[k]), int(self.slack[k]), self.kinds[k]
+            least, width = n - 3 - 4 * slack, n + 2 * slack + int(self.span[k])
+            rank = np.full(1 << KIND_BITS, len(own), np.int64)
+            rank[own] = np.arange(len(own))
+            have, limit = rank < len(own), np.append(times, 0)
+            windows, step = sliding_window_view(kind, width), max(1, WINDOW_CELLS // (width + len(limit)))
+            for a in range(edge[k], edge[k + 1], step):
+                b = min(a + step, edge[k + 1])
+                seen = windows[diagonal[a:b] - slack + pad]
+                ok = np.count_nonzero(have[seen], axis=1) >= least
+                row = np.arange(np.count_nonzero(ok))[:, None] * len(limit)
+                held = np.bincount((row + rank[seen[ok]]).reshape(-1), minlength=len(row) * len(limit)).reshape(-1, len(limit))
+                ok[ok] = np.minimum(held, limit).sum(axis=1) >= least
+                keep[a:b] = ok
+        return item[keep], diagonal[keep]
 
 
 class Index:
-    """Word pairs and sampled walks of a block of items."""
+    """A block of items, in parts."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.items = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
-        pairs, keys, item, offset = [], [], [], []
-        for k, (_, t) in enumerate(self.items):
-            data = np.frombuffer(t + b"\0", np.uint8)
-            start, pair = word_pairs(data)
-            got = samples(data, start)
-            # Near its end an item's walk reads what follows in the document: only walks within the item are kept.
-            keep = start + STEPS // 2 <= len(data)
-            if not keep.any():
-                keep[:1] = True
-            pairs.append(pair[keep])
-            keys.append((got[keep] ^ pair[keep][:, None]).reshape(-1))
-            n = int(keep.sum())
-            item.append(np.full(n * WALKS * SAMPLES, k))
-            offset.append(np.repeat(start[keep], WALKS * SAMPLES))
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U64)
-        key = np.concatenate(keys) if keys else np.zeros(0, U64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.offset = (np.concatenate(offset) if offset else np.zeros(0, np.int64))[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.pairs & U64((1 << 20) - 1)).astype(np.int64)] = True
+        self.parts = [Part([t for _, t in self.items[a : a + PART_ITEMS]]) for a in range(0, len(self.items), PART_ITEMS)]
+        self.reach = 3 * max((len(t) for _, t in self.items), default=0) + 4
 
     def candidates(self, texts: list[bytes]) -> np.ndarray:
         """Distinct (text, item, start of the item's window), sorted, of normalised texts."""
-        none = np.zeros((0, 3), np.int64)
         data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
-        start, pair = word_pairs(data)
-        near = self.filter[(pair & U64((1 << 20) - 1)).astype(np.int64)]
-        start, pair = start[near], pair[near]
-        if not len(start):
-            return none
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        exact = self.pairs[at] == pair
-        start, pair = start[exact], pair[exact]
-        if not len(start):
-            return none
-        keys = (samples(data, start) ^ pair[:, None]).reshape(-1)
-        lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-        size = hi - lo
-        if not size.sum():
-            return none
-        hit = np.repeat(np.arange(len(keys)), size)
-        row = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(len(hit))
         begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        own = start[hit // (WALKS * SAMPLES)]
-        text = np.searchsorted(begin, own, "right") - 1
-        return np.unique(np.column_stack((text, self.item[row], own - begin[text] - self.offset[row])), axis=0)
+        kind = kinds(np.concatenate((np.zeros(self.reach, np.uint8), data, np.zeros(self.reach + 3, np.uint8))))
+        found, by_size = [np.zeros((0, 3), np.int64)], {}
+        for p, part in enumerate(self.parts):
+            item, start = part.candidates(data, kind, self.reach, by_size)
+            # The middle of a window lies in the copy, so in the copy's text.
+            text = np.searchsorted(begin, np.clip(start + part.size[item] // 2, 0, len(data) - 1), "right") - 1
+            found.append(np.column_stack((text, item + p * PART_ITEMS, start - begin[text])))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, texts: list[bytes]) -> list[dict[int, tuple[int, int]]]:
         """For each normalised text: item number to least edit distance and its end in the text, of each item in the text."""
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        searched = (-1, -1, 0)
+        # Windows of one item that overlap are searched as one.
+        areas: list[list[int]] = []
         for n, k, start in self.candidates(texts).tolist():
+            size = len(self.items[k][1])
+            slack = int(MAX_EDITS * size)
+            lo, hi = max(0, start - slack), min(len(texts[n]), start + slack // 2 + 1 + size + slack)
+            if areas and areas[-1][:2] == [n, k] and lo <= areas[-1][3]:
+                areas[-1][3] = max(hi, areas[-1][3])
+            else:
+                areas.append([n, k, lo, hi])
+        for n, k, lo, hi in areas:
             item, text, found = self.items[k][1], texts[n], best[n]
-            slack = int(MAX_EDITS * len(item))
-            # Windows of one item within half the slack of one another are searched once.
-            if (n, k) == searched[:2] and start <= searched[2] or found.get(k, (1,))[0] == 0:
+            if found.get(k, (1,))[0] == 0:
                 continue
-            searched = (n, k, start + slack // 2)
-            lo, hi = max(0, start - slack), min(len(text), start + len(item) + 2 * slack)
             at = text.find(item, lo, hi)
             distance, end = (0, at - lo + len(item)) if at >= 0 else edit_search(item, text[lo:hi])
-            if distance <= slack and distance < found.get(k, (1 << 60,))[0]:
+            if distance <= int(MAX_EDITS * len(item)) and distance < found.get(k, (1 << 60,))[0]:
                 found[k] = (distance, lo + end)
         return best
 

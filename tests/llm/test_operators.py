@@ -273,6 +273,26 @@ def test_leaks_are_found_with_edits_and_clean_documents_left_alone(spark, none):
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def damaged(text: str, edits: int, rng: random.Random) -> str:
+    """The text with so many random edits of one character, none of which makes a space."""
+    out = list(text)
+    for _ in range(edits):
+        at, way = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (way < 2)] = [rng.choice("abcdefghijk")] if way else []
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("words", "share"), [(9, 0.12), (9, 0.15), (20, 0.12), (20, 0.15), (60, 0.15)])
+def test_leaks_are_all_found_up_to_the_declared_share_of_edits(words, share):
+    rng = random.Random(words)
+    items = [decontamination.normalised(prose(words, rng)) for _ in range(60)]
+    index = decontamination.Index(list(enumerate(items)))
+    texts = [decontamination.normalised(f"{prose(30, rng)} {damaged(x.decode(), int(share * len(x.decode())), rng)} {prose(30, rng)}") for x in items]
+    want = {k: d for k, (x, t) in enumerate(zip(items, texts)) if (d := decontamination.edit_search(x, t)[0]) <= decontamination.MAX_EDITS * len(x)}
+    got = {k: found[k][0] for k, found in enumerate(index.matches(texts)) if k in found}
+    assert len(want) > 40 and got == want
+
+
 # --- 7 secrets
 
 
