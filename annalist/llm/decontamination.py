@@ -7,8 +7,8 @@ of a document is looked up among the pieces, and where so many of an item's piec
 the window and the item share are counted, each as often as both have it: a copy keeps n - 3 - 4 k of them. Neither filter loses a
 copy within the limit. What passes is verified by exact edit distance of the whole item against the document around the window.
 
-Defined results: null and empty texts and items match nothing; items with under MIN_CHARS normalised characters are not looked
-for; ties of distance give the first place; rows that repeat an id or an item give rows of their own; empty tables give empty tables;
+Defined results: null and empty texts and items match nothing; items of any length and script are looked for, those too short for
+an edit (under 7 bytes) as whole words, where a change of script ends a word too; ties of distance give the first place; rows that repeat an id or an item give rows of their own; empty tables give empty tables;
 only the named columns are read. The benchmark is read in blocks of bounded size, so that what each worker holds is bounded.
 """
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import U64, chunks, mapped, session_defaults
 
-#: Edits that an item may have, as a share of its length; least normalised length of an item.
-MAX_EDITS, MIN_CHARS = 0.15, 32
+#: Edits that an item may have, as a share of its length.
+MAX_EDITS = 0.15
 #: Benchmark rows, and characters of them, that one pass holds.
 BLOCK_ROWS, BLOCK_CHARS = 20_000, 8 << 20
 
@@ -118,7 +118,7 @@ class Index:
     """A block of items, in parts."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.items = [(i, t) for i, t in items if len(t) >= MIN_CHARS]
+        self.items = [(i, t) for i, t in items if t]
         self.parts = [Part([t for _, t in self.items[a : a + PART_ITEMS]]) for a in range(0, len(self.items), PART_ITEMS)]
         self.reach = 3 * max((len(t) for _, t in self.items), default=0) + 4
 
@@ -153,12 +153,23 @@ class Index:
             if found.get(k, (1,))[0] == 0:
                 continue
             at = text.find(item, lo, hi)
+            if len(item) * MAX_EDITS < 1:
+                while at >= 0 and not whole(text, at, at + len(item)):
+                    at = text.find(item, at + 1, hi)
+                if at < 0:
+                    continue
             distance, end = (0, at - lo + len(item)) if at >= 0 else edit_search(item, text[lo:hi])
             if distance <= int(MAX_EDITS * len(item)) and distance < found.get(k, (1 << 60,))[0]:
                 found[k] = (distance, lo + end)
         return best
 
 
+def whole(text: bytes, start: int, end: int) -> bool:
+    """Whether neither end of a range lies between two letters or digits of Latin script."""
+    before, item, after = (x.decode(errors="replace") for x in (text[max(0, start - 4) : start], text[start:end], text[end : end + 4]))
+    return not any(a and b and a[-1] != " " != b[0] and max(a[-1], b[0]) < "\u0250" for a, b in ((before, item), (item, after)))
+
+
 def edit_search(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance of the item to any substring of the text, and where the first such ends (bit-parallel)."""
     m = len(item)

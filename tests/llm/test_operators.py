@@ -293,6 +293,14 @@ def test_leaks_are_all_found_up_to_the_declared_share_of_edits(words, share):
     assert len(want) > 40 and got == want
 
 
+def test_leaks_of_short_and_unspaced_items():
+    items = ["short", "who is it", "what is the capital", "日本の首都はどこですか", "北京", "gpt", "新しい機械学習の手法を評価するための質問文です", "nor"]
+    index = decontamination.Index([(k, decontamination.normalised(t)) for k, t in enumerate(items)])
+    texts = ["a Short. one", "ask: who is it?", "then what is teh capital of", "問題、日本の首都はどこですか。答え", "我在北京住", "使用gpt模型 northern", "これは新しい機械学習の手法を評価するためな質問文です", "shorter egpt", ""]
+    found = index.matches([decontamination.normalised(t) for t in texts])
+    assert [sorted(f) for f in found] == [[0], [1], [2], [3], [4], [5], [6], [], []] and found[0][0] == (0, 7)
+
+
 # --- 7 secrets
 
 
