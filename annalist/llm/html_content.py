@@ -2,8 +2,8 @@
 
 Events of the standard library's HTML parser are cut into lines, one per block of text, each with its number of tags.
 The ratio of text to tags is smoothed over neighbouring lines with a Gaussian; lines above a threshold cluster into
-content regions. The regions elect the deepest element that holds most of their text; the result is every block of that
-element that isn't furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+content regions. The regions elect the deepest element that holds most of their text, which is widened to the element
+that holds all their blocks and to the main or article element around that; the result is every block of the place that isn't furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments), in page order, so that short lines of the article stay.
 
 Defined results: null or empty html, or a page with no content, gives an empty text; broken or unclosed markup is read as
@@ -72,6 +72,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []
         self.parents: list[int] = []
+        self.names: list[str] = []
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -114,6 +115,7 @@ class Lines(HTMLParser):
             self.flush()
         self.stack.append((tag, self.count, bad))
         self.parents.append(top[1])
+        self.names.append(tag)
         self.count += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -185,6 +187,16 @@ def main_text(html: str) -> str:
             element = p.parents[element]
         return element == chosen
 
+    # Most of the text isn't all of it: widen until every block of the regions is inside, then to the main or article around it.
+    while chosen >= 0 and weight[chosen] < total:
+        chosen = p.parents[chosen]
+    around, element = chosen, chosen
+    while element >= 0:
+        if p.names[element] in ("main", "article"):
+            around = element
+        element = p.parents[element]
+    chosen = around
+
     # A single block isn't a region: widen to the element that holds it and its neighbours.
     while chosen >= 0 and sum(within(line[2]) for line in good) < 2 and len(good) > 1 and p.parents[chosen] >= 0:
         chosen = p.parents[chosen]

@@ -348,6 +348,21 @@ def test_html_keeps_the_article_alone(wrap):
     assert html_content.main_text(html) == TEXT
 
 
+LONG = ("A long paragraph of the article goes on here, with many words and no tags at all in it. " * 4).strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>Head</h1><p>An intro.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></article>", f"Head An intro. {LONG} {LONG}"),
+        (f"<div id=content><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>{LONG}</p></section></div>", " ".join([LONG] * 4)),
+        (f"<main><p>An intro.</p><ul><li>{LONG}</li><li>{LONG}</li><li>{LONG}</li></ul><p>End.</p></main>", f"An intro. {LONG} {LONG} {LONG} End."),
+    ],
+)
+def test_html_keeps_nested_bodies_and_uneven_sections_whole(body, text):
+    assert html_content.main_text(PAGE % body) == text
+
+
 def test_html_edges(spark):
     frame = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>only", "x"), (None, "u", "<nav>menu</nav>", "x"), (5, "u", "plain &lt;text&gt; &am", "x"), (6, "u", "<div>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
     got = {r.id: (r.text, r.n_chars) for r in html_content.extract(frame).collect()}
