@@ -51,7 +51,7 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(documents(spark, sf_dir), vocabulary(PIECES_FILE)).withColumnRenamed("id", "doc_id")
+    return wordpiece.token_counts(documents(spark, sf_dir), vocabulary(PIECES_FILE), bare_start=True).withColumnRenamed("id", "doc_id")
 
 
 def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

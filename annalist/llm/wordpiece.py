@@ -1,7 +1,8 @@
 """Token counts by a linear longest-match automaton.
 
 Words are cut greedily from the left into the longest pieces of a vocabulary: initial pieces at the start of a word,
-continuation pieces after it; a word that can't be cut is one unknown token. The automaton is a trie over both kinds with
+continuation pieces after it; a word that can't be cut is one unknown token. With a bare start a word that no initial piece
+begins starts with the bare word-start piece, a token of its own, and goes on with continuation pieces. The automaton is a trie over both kinds with
 failure links: when no child fits, it pops the pieces that greedy matching would emit and goes on in the node that
 stands for what is left. Only the number of popped pieces is kept at each node, so a word of n characters takes O(n)
 steps and no piece is ever built.
@@ -29,9 +30,9 @@ WORD_START = "▁"
 
 
 class Automaton:
-    """Greedy longest-match counts. `initial` and `following` are the two kinds of pieces."""
+    """Greedy longest-match counts. `initial` and `following` are the two kinds of pieces; bare_start: the empty initial piece is one too."""
 
-    def __init__(self, initial: set[str], following: set[str]) -> None:
+    def __init__(self, initial: set[str], following: set[str], bare_start: bool = False) -> None:
         self.children: list[dict[str, int]] = [{}, {}]
         self.initial_root, self.following_root = 0, 1
         ends: list[bool] = [False, False]
@@ -49,12 +50,14 @@ class Automaton:
                         ends.append(False)
                     node = nxt
                 ends[node] = True
-        self._link(ends)
+        self._link(ends, bare_start)
 
-    def _link(self, ends: list[bool]) -> None:
+    def _link(self, ends: list[bool], bare_start: bool) -> None:
         """Failure link and popped count of each node, breadth first; -1: greedy matching fails from here on."""
         n = len(self.children)
         self.fail, self.popped = [-1] * n, [0] * n
+        if bare_start:
+            self.fail[0], self.popped[0] = 1, 1
         queue = [(0, c, v) for c, v in self.children[0].items()] + [(1, c, v) for c, v in self.children[1].items()]
         for parent, c, node in queue:
             if ends[node]:
@@ -89,8 +92,8 @@ class Automaton:
         return total, True
 
 
-def pieces_of(model_path: str) -> tuple[set[str], set[str]]:
-    """Initial and continuation pieces of a sentencepiece file; control, unknown and byte pieces are left out."""
+def all_pieces(model_path: str) -> tuple[set[str], set[str]]:
+    """Initial pieces, the bare one as an empty string, and continuation pieces; control, unknown and byte pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -100,12 +103,19 @@ def pieces_of(model_path: str) -> tuple[set[str], set[str]]:
             continue
         piece = model.id_to_piece(k)
         (initial if piece.startswith(WORD_START) else following).add(piece.removeprefix(WORD_START))
+    return initial, following
+
+
+def pieces_of(model_path: str) -> tuple[set[str], set[str]]:
+    """Initial and continuation pieces of a sentencepiece file without the bare start."""
+    initial, following = all_pieces(model_path)
     return initial - {""}, following
 
 
 class Counter:
-    def __init__(self, model_path: str) -> None:
-        self.automaton = Automaton(*pieces_of(model_path))
+    def __init__(self, model_path: str, bare_start: bool) -> None:
+        initial, following = all_pieces(model_path)
+        self.automaton = Automaton(initial, following, bare_start and "" in initial)
         self.find = re.compile(WORDS).findall
         self.cache: dict[str, tuple[int, bool]] = {}
 
@@ -129,16 +139,16 @@ class Counter:
 
 
 @lru_cache(2)
-def counter(model_path: str) -> Counter:
-    return Counter(model_path)
+def counter(model_path: str, bare_start: bool) -> Counter:
+    return Counter(model_path, bare_start)
 
 
-def token_counts(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, n_words, n_tokens, n_unknown."""
+def token_counts(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", bare_start: bool = False) -> DataFrame:
+    """Columns id, n_words, n_tokens, n_unknown. bare_start: the file's bare word-start piece is used too."""
     session_defaults(documents.sparkSession)
 
     def make(batch: pa.RecordBatch):
-        c = counter(model_path)
+        c = counter(model_path, bare_start)
         rows = [c.text(t or "") for t in batch.column(1).to_pylist()]
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n_words", "n_tokens", "n_unknown"])

@@ -200,6 +200,22 @@ def test_token_counts(docs, rows, none):
     assert wordpiece.token_counts(none, path).count() == 0
 
 
+def test_token_counts_with_the_bare_start(spark, tmp_path):
+    initial, following = wordpiece.all_pieces(queries.vocabulary(queries.PIECES_FILE))
+    assert "" in initial
+
+    def whole(word: str) -> int:
+        if any(word[:e] in initial for e in range(1, len(word) + 1)):
+            return greedy(word, initial, following)
+        cut = greedy(word, following, following)
+        return 1 + cut if cut > 1 or word in following else 1
+
+    words = ["2024", "7" * 19, "9" + "a1f" * 10 + "b", "ñandú", "çava", "casa", "日本語", "x"]
+    spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {k: whole(w) for k, w in enumerate(words)} and got[0] == 5 and got[1] == 20
+
+
 # --- 5 sharding
 
 
