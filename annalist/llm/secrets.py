@@ -1,7 +1,8 @@
 """Secret scans: fixed shapes, and guess cost of values that stand in a credential context.
 
 Base spans are those of three patterns. The method adds spans of kind `guess`: in a wider credential context (more key
-words, values of any visible characters) the value is cut into words, dates, repeats, sequences, keyboard walks and
+words, key boundaries by a change of case too; values of any visible characters, in quotes up to the same quote, else up to white space)
+the value is cut into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the number of guesses is least; a value that takes at least 10**MIN_LOG10 guesses is a secret.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive, sorted by start, then by
@@ -30,9 +31,11 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "auth", "bearer", "_key", "-key", "privatekey", "accesskey", "signingkey")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,24}[_-]){0,3}(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]{0,8}(?:[:=]|=>)[\x20\t]{0,8}(?:bearer\x20|basic\x20)?["']?([^\s"'`<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:[A-Za-z0-9]{1,24}[_-]){0,3}(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]{0,8}(?:[:=]|=>)[\x20\t]{0,8}(?:bearer\x20|basic\x20)?""",
     re.I | re.A,
 )
+#: What follows a context: a value in quotes up to the same quote in its line, or visible characters.
+VALUE = re.compile(r"""(?:"((?:[^"\\\r\n]|\\.)*)"|'((?:[^'\\\r\n]|\\.)*)'|`((?:[^`\\\r\n]|\\.)*)`)|["'`]?(\S+)""")
 #: Guesses (power of ten) from which a value counts as a secret.
 MIN_LOG10 = 9.0
 
@@ -150,8 +153,12 @@ def guess_spans(text: str) -> list[tuple[Span, tuple[int, int]]]:
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        e = s + len(m[1].rstrip(".:!?)]}"))
+        value = VALUE.match(text, m.end())
+        if not value:
+            continue
+        s, e = value.span(value.lastindex)
+        if value.lastindex == 4:
+            e = s + len(value[4].rstrip(".:!?)]},;\"'`>"))
         if e - s >= MIN_VALUE and guess_cost(text[s:e]) >= MIN_LOG10:
             found.append((("guess", s, e), (s, e)))
     return found

@@ -346,6 +346,23 @@ def test_secret_scan_frames(docs, rows, none):
     assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('password = "Xk;9#mQ2$vL8!"', "Xk;9#mQ2$vL8!"),
+        ('password = "Zq8!kf,T2#pLm77", user = "x"', "Zq8!kf,T2#pLm77"),
+        ("pwd: Zq8!kf,T2#p<Lm77, then", "Zq8!kf,T2#p<Lm77"),
+        ("pass: 'Zq8 \"kf;T2#pLm'", 'Zq8 "kf;T2#pLm'),
+        ('dbPwd: "Zq8!kfT2#pLm"', "Zq8!kfT2#pLm"),
+        ('HTTPToken = "Zq8!kfT2#pLm"', "Zq8!kfT2#pLm"),
+        ('pass = "abc token = "Zq8!kfT2#pLm', "Zq8!kfT2#pLm"),
+    ],
+)
+def test_guess_spans_take_whole_values(text, value):
+    assert value in [text[a:b] for (_, a, b), _ in secrets.guess_spans(text)]
+    assert value not in secrets.redact_text(text)
+
+
 # --- 8 html
 
 
