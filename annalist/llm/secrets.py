@@ -29,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS = 6, 20
 #: Base key words; a text without any has no assign span and needs no search for one.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "auth", "bearer", "_key", "-key", "privatekey", "accesskey", "signingkey")
+#: Each alternative of CONTEXT has one of these.
+CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:[A-Za-z0-9]{1,24}[_-]){0,3}(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]{0,8}(?:[:=]|=>)[\x20\t]{0,8}(?:bearer\x20|basic\x20)?""",
     re.I | re.A,

@@ -363,6 +363,11 @@ def test_guess_spans_take_whole_values(text, value):
     assert value not in secrets.redact_text(text)
 
 
+@pytest.mark.parametrize("word", "password passwd passphrase passcode pwd pass secret token credential credentials auth authorization bearer".split() + [f"{a}{b}{c}" for a in "api private access signing encryption secret client".split() for b in ("", "_", "-") for c in ("key", "secret")])
+def test_each_context_passes_the_word_filter_alone(word):
+    assert [s[0] for s, _ in secrets.guess_spans(f'{word} = "Zq8!kfT2#pLm"')] == ["guess"]
+
+
 # --- 8 html
 
 
