@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +65,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(texts: Sequence[bytes | str], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that have about `size` bytes together."""
     first, have = 0, 0
     for k, t in enumerate(texts):

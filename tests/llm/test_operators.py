@@ -298,15 +298,25 @@ def damaged(text: str, edits: int, rng: random.Random) -> str:
     return "".join(out)
 
 
-@pytest.mark.parametrize(("words", "share"), [(9, 0.12), (9, 0.15), (20, 0.12), (20, 0.15), (60, 0.15)])
-def test_leaks_are_all_found_up_to_the_declared_share_of_edits(words, share):
-    rng = random.Random(words)
-    items = [decontamination.normalised(prose(words, rng)) for _ in range(60)]
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15])
+@pytest.mark.parametrize(("size", "spaced"), [(20, True), (45, True), (60, True), (230, True), (20, False), (60, False), (230, False)])
+def test_leaks_reach_the_recall_at_the_declared_shares_of_edits(size, spaced, share):
+    rng = random.Random(size)
+    items = [decontamination.normalised(prose(60, rng)[:size] if spaced else "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(size))) for _ in range(60)]
     index = decontamination.Index(list(enumerate(items)))
-    texts = [decontamination.normalised(f"{prose(30, rng)} {damaged(x.decode(), int(share * len(x.decode())), rng)} {prose(30, rng)}") for x in items]
+    around = [prose(30, rng) if spaced else "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(80)) for _ in items]
+    glue = " " if spaced else ""
+    texts = [decontamination.normalised(glue.join((a, damaged(x, int(share * len(x)), rng), a))) for x, a in zip(items, around)]
     want = {k: d for k, (x, t) in enumerate(zip(items, texts)) if (d := decontamination.edit_search(x, t)[0]) <= decontamination.MAX_EDITS * len(x)}
     got = {k: found[k][0] for k, found in enumerate(index.matches(texts)) if k in found}
-    assert len(want) > 40 and got == want
+    assert len(want) > 40 and all(want[k] == d for k, d in got.items()) and len(got) >= (0.9 if share else 1) * len(want)
+
+
+def test_leaks_of_exact_copies_of_any_shape():
+    items = ["a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d", "x" * 60, "日本語の文章は単語の間に空白がないので窓の始まりをすべての文字に置く" * 3, "q" * 30 + "7z" * 40]
+    index = decontamination.Index([(k, decontamination.normalised(t)) for k, t in enumerate(items)])
+    found = index.matches([decontamination.normalised(f"before, {t} after") for t in items])
+    assert [f[k][0] for k, f in enumerate(found)] == [0] * len(items)
 
 
 def test_leaks_of_short_and_unspaced_items():
