@@ -2,12 +2,18 @@
 
 Events of the standard library's HTML parser are cut into lines, one per block of text, each with its number of tags.
 The ratio of text to tags is smoothed over neighbouring lines with a Gaussian; lines above a threshold cluster into
-content regions. The regions elect the deepest element that holds most of their text, which is widened to the element
-that holds all their blocks and to the main or article element around that; the result is every block of the place that isn't furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments), in page order, so that short lines of the article stay.
+content regions. The regions decide: they elect the deepest element that holds most of their text, which is widened to the element
+that holds all their blocks without a mark and to the main or article element around that. The result is every block of that
+place, in page order, so that short lines of the article stay.
+
+Elements that are never article text go: menus, headers, footers, sidebars, forms, scripts, styles by their tag or role. Class and
+id names are marks: a marked block doesn't widen the place, and one inside it goes if its name says nothing but furniture
+(cookie-notice, comment-list, ad) or if the regions agree (a related-links box of short lines, but not a related-work section of prose).
+Work is linear in the page's length, whatever its nesting.
 
 Defined results: null or empty html, or a page with no content, gives an empty text; broken or unclosed markup is read as
-far as it goes; an empty table gives an empty table; only the named columns are read; a null id or url is passed through.
+far as it goes; an empty table gives an empty table; only the named columns are read; ids are read as long, a null id or url is passed through;
+rows that repeat give rows of their own.
 """
 
 from __future__ import annotations
@@ -34,63 +40,91 @@ FURNITURE_WORDS = frozenset(
     "login search skip copyright toolbar teaser".split()
 )
 NEGATING = frozenset("has with no without".split())
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset("list box block area section wrap wrapper container item items post posts link links bar panel inner outer top bottom left right site page global module message main body content".split())
 HEADING_OF = frozenset("article post entry content story".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 blockquote pre section article aside header footer nav form figure hr main address fieldset details".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+#: Open elements that a tag ends.
+ENDS: dict[str, list[str]] = {}
+for _name, _enders in CLOSED_BY.items():
+    for _tag in _enders:
+        ENDS.setdefault(_tag, []).append(_name)
 STAYS_OPEN_IN = frozenset("ul ol dl table div section article body".split())
 #: Gaussian of the smoothing (lines), share of the standard deviation that is the threshold, share of region text an element must hold.
 SIGMA, LEVEL, SHARE = 1.0, 0.5, 0.7
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return any(k == "class" and v and "comment" in _WORDS.findall(v.lower()) for k, v in attrs) if tag == "article" else False
-    if tag in FURNITURE_TAGS:
-        return not (tag == "header" and in_article)
+HARD, STRONG, WEAK = 3, 2, 1
+_PAGE = ("", -1, 0, -1)
+
+
+def furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """HARD: never article text. STRONG and WEAK: marked by a name of furniture words alone, or of others too. 0: none."""
+    if tag in ("html", "body", "main"):
+        return 0
+    if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
+        return HARD
+    mark = 0
     for k, v in attrs:
         if not v:
             if k == "hidden":
-                return True
+                return HARD
             continue
-        if k == "role" and v.lower() in FURNITURE_ROLES:
-            return True
-        if k == "aria-hidden" and v.lower() == "true" and tag not in INLINE:
-            return True
+        if k == "role" and v.lower() in FURNITURE_ROLES or k == "aria-hidden" and v.lower() == "true" and tag not in INLINE:
+            return HARD
         if k in ("class", "id") and tag not in INLINE:
             for name in v.split():
                 words = {w.lower() for w in _WORDS.findall(name)}
                 hit = words & FURNITURE_WORDS
+                if tag == "article":
+                    hit &= {"comment"}
                 if hit and not words & NEGATING and not (hit == {"header"} and (in_article or words & HEADING_OF)):
-                    return True
-    return False
+                    mark = max(mark, STRONG if words <= FURNITURE_WORDS | NEUTRAL else WEAK)
+    return mark
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path of open elements, is furniture) of each block from the event stream."""
+    """Collects (text, tags, innermost element, its worst mark, the outermost element with a mark) of each block from the event stream.
+
+    Elements are numbered as they open, so an element holds the numbers from its own to its `last`. For each tag the places
+    where it is open in the stack are kept, so no event walks the stack.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []
+        self.stack: list[tuple[str, int, int, int]] = []
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.fences: list[int] = []
+        self.articles = 0
         self.parents: list[int] = []
+        self.last: list[int] = []
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.count = 0
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                top = self.stack[-1] if self.stack else ("", -1, False)
-                self.lines.append((text, self.tags, top[1], top[2]))
+                _, number, mark, marked = self.stack[-1] if self.stack else _PAGE
+                self.lines.append((text, self.tags, number, mark, marked))
                 self.tags = 0
 
     def pop(self, depth: int) -> None:
-        if any(tag not in INLINE for tag, _, _ in self.stack[depth:]):
+        if self.blocks and self.blocks[-1] >= depth:
             self.flush()
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag, number, _, _ = self.stack.pop()
+            self.last[number] = len(self.names) - 1
+            self.open[tag].pop()
+            self.articles -= tag in ("article", "main")
+        for places in (self.blocks, self.fences):
+            while places and places[-1] >= depth:
+                places.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -101,22 +135,25 @@ class Lines(HTMLParser):
                 self.flush()
             return
         if tag not in INLINE:
-            for k in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[k][0]
-                if tag in CLOSED_BY.get(name, ()):
-                    self.pop(k)
-                    break
-                if name in STAYS_OPEN_IN:
-                    break
+            ended = max((self.open[name][-1] for name in ENDS.get(tag, ()) if self.open.get(name)), default=-1)
+            if ended >= 0 and (not self.fences or ended > self.fences[-1]):
+                self.pop(ended)
             self.flush()
-        top = self.stack[-1] if self.stack else ("", -1, False)
-        bad = top[2] or is_furniture(tag, attrs, any(x[0] in ("article", "main") for x in self.stack))
-        if bad and not top[2]:
+        top = self.stack[-1] if self.stack else _PAGE
+        own = furniture(tag, attrs, self.articles > 0)
+        if own > top[2]:
             self.flush()
-        self.stack.append((tag, self.count, bad))
+        depth, number = len(self.stack), len(self.names)
+        self.stack.append((tag, number, max(own, top[2]), number if own and not top[2] else top[3]))
+        self.open.setdefault(tag, []).append(depth)
+        self.articles += tag in ("article", "main")
+        if tag not in INLINE:
+            self.blocks.append(depth)
+        if tag in STAYS_OPEN_IN:
+            self.fences.append(depth)
         self.parents.append(top[1])
+        self.last.append(-1)
         self.names.append(tag)
-        self.count += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -125,20 +162,24 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if self.stack[k][2] and (k == 0 or not self.stack[k - 1][2]):
-                    self.flush()
-                self.pop(k)
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return
+        at = self.open.get(tag)
+        if not at or tag in INLINE and self.blocks and self.blocks[-1] > at[-1]:
+            return
+        depth = at[-1]
+        if self.stack[depth][2] > (self.stack[depth - 1][2] if depth else 0):
+            self.flush()
+        self.pop(depth)
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        self.pop(0)
+
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing; the kernel is normalised over the lines that exist."""
@@ -152,55 +193,75 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def level_of(smooth: list[float]) -> float:
+    """The threshold: LEVEL standard deviations of the smoothed ratios."""
+    mean = sum(smooth) / len(smooth)
+    return LEVEL * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+
+
 def content_regions(ratios: list[float]) -> list[bool]:
-    """Lines in a content region: smoothed ratio at or over LEVEL standard deviations, and not below half the mean of the rest."""
+    """Lines in a content region: smoothed ratio at or over the threshold."""
     if not ratios:
         return []
     smooth = smoothed(ratios)
-    mean = sum(smooth) / len(smooth)
-    level = LEVEL * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    level = level_of(smooth)
     return [x >= level for x in smooth]
 
 
+def totals(parents: list[int], own: dict[int, int]) -> list[int]:
+    """Sum of each element's own value and those of all elements inside it. The last one is of the page."""
+    out = [own.get(e, 0) for e in range(len(parents))] + [own.get(-1, 0)]
+    for e in range(len(parents) - 1, -1, -1):
+        out[parents[e]] += out[e]
+    return out
+
+
 def main_text(html: str) -> str:
     p = Lines()
     p.feed(html)
-    p.close()
-    p.flush()
-    good = [line for line in p.lines if not line[3]]
-    if not good:
+    p.finish()
+    lines = [line for line in p.lines if line[3] < HARD]
+    if not lines:
         return ""
-    inside = content_regions([0.0 if bad else len(text) / max(1, tags) for text, tags, _, bad in p.lines])
+    ratios = [0.0 if mark == HARD else len(text) / max(1, tags) for text, tags, _, mark, _ in p.lines]
+    inside = content_regions(ratios)
+    content = [x for x, line in zip(inside, p.lines) if line[3] < HARD]
     weight: dict[int, int] = {}
-    total = 0
-    for (text, _, element, bad), content in zip(p.lines, inside):
-        if content and not bad:
-            total += len(text)
-            while element >= 0:
-                weight[element] = weight.get(element, 0) + len(text)
-                element = p.parents[element]
-    # Of the elements with enough of the text, the last opened one is the deepest.
-    chosen = max((e for e, w in weight.items() if w >= SHARE * total), default=-1)
-
-    def within(element: int) -> bool:
-        while element > chosen:
-            element = p.parents[element]
-        return element == chosen
-
-    # Most of the text isn't all of it: widen until every block of the regions is inside, then to the main or article around it.
-    while chosen >= 0 and weight[chosen] < total:
+    plain: dict[int, int] = {}
+    good: dict[int, int] = {}
+    held: dict[int, list[int]] = {}
+    for (text, tags, element, mark, marked), region in zip(lines, content):
+        if mark == WEAK:
+            size = held.setdefault(marked, [0, 0])
+            size[0] += len(text) * region
+            size[1] += tags
+        if region:
+            weight[element] = weight.get(element, 0) + len(text)
+            plain[element] = plain.get(element, 0) + (not mark)
+        good[element] = good.get(element, 0) + (mark < STRONG)
+    by_weight, by_plain, by_good = (totals(p.parents, x) for x in (weight, plain, good))
+    if not by_weight[-1]:
+        return ""
+    # Of the elements with enough of the text, the last opened one is the deepest; -1 is the page.
+    need = SHARE * by_weight[-1]
+    chosen = max((e for e in range(len(p.parents)) if by_weight[e] >= need), default=-1)
+    # Most of the text isn't all of it: widen until every block of the regions without a mark is inside.
+    while chosen >= 0 and by_plain[chosen] < by_plain[-1]:
         chosen = p.parents[chosen]
-    around, element = chosen, chosen
+    # Then to the main or article around it.
+    element = chosen
     while element >= 0:
         if p.names[element] in ("main", "article"):
-            around = element
+            chosen = element
         element = p.parents[element]
-    chosen = around
-
     # A single block isn't a region: widen to the element that holds it and its neighbours.
-    while chosen >= 0 and sum(within(line[2]) for line in good) < 2 and len(good) > 1 and p.parents[chosen] >= 0:
+    while chosen >= 0 and by_good[chosen] < 2 <= by_good[-1] and p.parents[chosen] >= 0:
         chosen = p.parents[chosen]
-    return " ".join(text for text, _, element, _ in good if chosen < 0 or within(element))
+    last = p.last[chosen] if chosen >= 0 else len(p.parents)
+    # A marked element whose name leaves it open is prose if its text in the regions is, tag for tag, over the threshold too.
+    level = level_of(smoothed(ratios))
+    prose = {e for e, (text, tags) in held.items() if text >= level * max(1, tags)}
+    return " ".join(text for text, _, e, mark, marked in lines if chosen <= e <= last and (not mark or mark == WEAK and marked in prose))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -211,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         texts = [main_text(h or "") for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    return mapped(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), make, "id long, url string, text string, n_chars long")
+    return mapped(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), make, "id long, url string, text string, n_chars long")

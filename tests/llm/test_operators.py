@@ -411,10 +411,50 @@ def test_html_keeps_nested_bodies_and_uneven_sections_whole(body, text):
     assert html_content.main_text(PAGE % body) == text
 
 
+@pytest.mark.parametrize("name", ["social-history", "related-work", "advert-of-1912"])
+def test_html_keeps_prose_whose_name_only_resembles_furniture(name):
+    body = f"<article><h1>Head</h1><p>{LONG}</p><section id={name}><p>{LONG}</p><p>{LONG}</p></section><div class=related-reads><p>One</p><p>Two</p></div><div class=comment-list><p>{LONG}</p></div></article>"
+    assert html_content.main_text(PAGE % body) == f"Head {LONG} {LONG} {LONG}"
+
+
+def test_html_regions_decide(monkeypatch):
+    """Blocks without any mark outside the article go by their ratio alone."""
+    links = "<div>" + "".join(f"<div><a href=/{k}>Go {k}</a></div>" for k in range(12)) + "</div>"
+    page = f"<body>{links}<div class=ad>An advert that is long enough to look like some text of the page, so it is.</div><div id=a><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div>{links}</body>"
+    want = f"{LONG} {LONG} Short."
+    assert html_content.main_text(page) == want
+    for other in (False, True):
+        monkeypatch.setattr(html_content, "content_regions", lambda ratios, other=other: [other] * len(ratios))
+        assert html_content.main_text(page) != want
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<i>", "<p><i>", "<ul><li>", "<div><p>x", "</b><i>x", "<article>x", "<table><tr><td>x"])
+def test_html_work_is_linear_in_nesting(piece):
+    import time
+
+    began = time.process_time()
+    html_content.main_text(piece * 100_000)
+    assert time.process_time() - began < 20
+
+
+def test_html_regions_decide_on_pages(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    texts = [html_content.main_text(h) for h in pages]
+    for html, text in zip(pages, texts):
+        article = html_content.Lines()
+        article.feed(html[html.index("<article>") : html.index("</article>")])
+        article.finish()
+        assert text == " ".join(x[0] for x in article.lines)
+    monkeypatch.setattr(html_content, "content_regions", lambda ratios: [False] * len(ratios))
+    assert all(html_content.main_text(h) != t for h, t in zip(pages, texts))
+
+
 def test_html_edges(spark):
-    frame = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>only", "x"), (None, "u", "<nav>menu</nav>", "x"), (5, "u", "plain &lt;text&gt; &am", "x"), (6, "u", "<div>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
-    got = {r.id: (r.text, r.n_chars) for r in html_content.extract(frame).collect()}
-    assert got == {1: ("", 0), 2: ("", 0), 3: ("only", 4), None: ("", 0), 5: ("plain <text> &am", 16), 6: ("deep", 4)}
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>only"), (None, "u", "<nav>menu</nav>"), (5, "u", "plain &lt;text&gt; &am"), (6, "u", "<div>" * 3000 + "deep"), (6, "u", "<div>" * 3000 + "deep")]
+    frame = spark.createDataFrame([(*r, "x", "i", 7, "l") for r in rows], "page_id int, url string, html string, text string, id string, n_chars int, lines string")
+    every = html_content.extract(frame).collect()
+    got = {r.id: (r.text, r.n_chars) for r in every}
+    assert len(every) == len(rows) and got == {1: ("", 0), 2: ("", 0), 3: ("only", 4), None: ("", 0), 5: ("plain <text> &am", 16), 6: ("deep", 4)}
     assert html_content.extract(frame.limit(0)).count() == 0
 
 
