@@ -7,7 +7,7 @@ pre-token gets the ids of the original encoder. A pre-token that is a piece itse
 Decoding is the inverse mapping: ids to byte strings.
 
 Defined results: null text is an empty text with no ids; an empty table gives an empty table; only the named columns
-are read; a null id is passed through; ids of a text depend on that text alone.
+are read; document ids are read as long, a null id is passed through; repeated rows give rows of their own; ids of a text depend on that text alone.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], ["id", "n_tokens", "ids"])
 
-    return mapped(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "id long, n_tokens long, ids array<int>")
+    return mapped(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, n_tokens long, ids array<int>")
 
 
 def digests(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

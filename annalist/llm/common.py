@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -21,7 +20,10 @@ MASK = (1 << 64) - 1
 
 
 def session_defaults(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so that a worker's memory doesn't follow text length."""
+    """Bound Arrow batches by rows and bytes, so that a worker's memory doesn't follow text length.
+
+    Spark reads both when a plan runs, after the operator has returned, so they are set for the session and stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -31,35 +33,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is set on a single machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/annalist-shared")
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/annalist-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path
+
+
+#: Removes the shuffle files of a query as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the frame to the shared folder and read it back.
 
-    Lost executors cost only a rerun of the tasks that they had, as the files outlive them.
+    Lost executors cost only a rerun of the tasks that they had, as the files outlive them. Shuffle files of the step go with it.
     """
-    path = f"{shared_folder(spark)}/annalist-{name}-{uuid.uuid4().hex}"
-    # The step before is garbage only now that its caller has dropped its frame.
-    release(spark)
-    frame.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go once the driver's garbage is collected; otherwise they stay for all later steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each row; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -11,7 +11,7 @@ and scored where the documents are.
 Defined results: null and empty texts have the features of an empty text and get a score like any other; without labelled rows
 every score is 0.5, with labels of one kind it is their smoothed share; of labels that repeat an id the least counts, null
 ids or labels are left out; an empty table gives an empty table; only the named columns are read (good_documents keeps all
-others); a null id counts as not held out.
+others); ids are read as long, a null id counts as not held out; repeated rows give rows of their own.
 """
 
 from __future__ import annotations
@@ -211,10 +211,10 @@ def held_out(id_: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `rows` labelled documents that aren't held out."""
     session_defaults(documents.sparkSession)
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     sample = usable.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     # The sample's size is bounded by `rows`, so it may be broadcast.
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
 
     def make(batch: pa.RecordBatch):
         every = texts_of(batch.column(2))
@@ -238,7 +238,7 @@ def scored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         x = [model.score(features(every[a:b])) for a, b in chunks(every)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(x) if x else [], pa.float64())], ["id", "score"])
 
-    return mapped(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "id long, score double")
+    return mapped(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, score double")
 
 
 def good_documents(documents: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -3,11 +3,12 @@
 Base spans are those of three patterns. The method adds spans of kind `guess`: in a wider credential context (more key
 words, key boundaries by a change of case too; values of any visible characters, in quotes up to the same quote, else up to white space)
 the value is cut into words, dates, repeats, sequences, keyboard walks and
-brute-force spans so that the number of guesses is least; a value that takes at least 10**MIN_LOG10 guesses is a secret.
+brute-force spans so that the number of guesses is least; a value that takes at least 10**MIN_LOG10 guesses is a secret. Words are
+guessed by their rank in a list: frequent password parts, then the words of a tokenizer's rank file in its order, if its path is given.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive, sorted by start, then by
 kind in the order assign, access, hex, guess; a base span is never dropped; an empty table gives an empty table; only
-the named columns are read (redact keeps all others as they are); a null id is passed through.
+the named columns are read (redact keeps all others as they are); ids are read as long, a null id is passed through; repeated rows give rows of their own.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.bpe import read_ranks
 from annalist.llm.common import mapped, session_defaults
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -32,7 +35,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Each alternative of CONTEXT has one of these.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:[A-Za-z0-9]{1,24}[_-]){0,3}(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]{0,8}(?:[:=]|=>)[\x20\t]{0,8}(?:bearer\x20|basic\x20)?""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20|basic\x20)?""",
     re.I | re.A,
 )
 #: What follows a context: a value in quotes up to the same quote in its line, or visible characters.
@@ -55,7 +58,8 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "789456123
 
 _RANK = {w: k + 1 for k, w in enumerate(COMMON)}
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
-_LONGEST = max(map(len, COMMON))
+#: Letters of a listed word.
+MIN_WORD, MAX_WORD = 3, 24
 _NEAR: dict[str, set[str]] = {}
 for _row in ROWS:
     for _a, _b in zip(_row, _row[1:]):
@@ -66,6 +70,30 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\
 _SEGMENT, _FULL_DATE, _YEAR, _BRUTE = 0.3, math.log10(365 * 120), math.log10(120), 1.0
 
 
+def _word_cost(word: str, low: str, plain: str, ranks: dict[str, int]) -> float | None:
+    """Cost of a listed word, more for capitals and for marks in place of letters."""
+    rank, extra = ranks.get(low), 0.0
+    if rank is None:
+        rank, extra = ranks.get(plain), 0.6
+    if rank is None:
+        return None
+    upper = sum(map(str.isupper, word))
+    return math.log10(rank + 1) + extra + (0.0 if not upper else 0.3 if upper in (1, len(word)) else 0.3 * upper)
+
+
+@lru_cache(2)
+def word_ranks(ranks_path: str | None = None) -> dict[str, int]:
+    """Guess rank of each listed word: COMMON first, then the words of a rank file in its order."""
+    out = dict(_RANK)
+    if ranks_path:
+        with open(ranks_path, "rb") as f:
+            for raw, _ in sorted(read_ranks(f.read()).items(), key=lambda x: x[1]):
+                word = raw.strip().lower()
+                if MIN_WORD <= len(word) <= MAX_WORD and word.isalpha():
+                    out.setdefault(word.decode("ascii"), len(out) + 1)
+    return out
+
+
 def _runs(value: str) -> list[tuple[int, int, float]]:
     """Maximal spans of one repeated unit of 1 to 4 characters, of code-point sequences and of keyboard walks, with costs."""
     found, n = [], len(value)
@@ -98,7 +126,7 @@ def _runs(value: str) -> list[tuple[int, int, float]]:
     return found
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the least number of guesses over all segmentations. Linear in the value's length."""
     n = len(value)
     if not n:
@@ -112,15 +140,10 @@ def guess_cost(value: str) -> float:
         m = _DATE.match(value, s)
         if m:
             ending.setdefault(m.end(), []).append((s, _YEAR if m.end() - s == 4 else _FULL_DATE))
-        for e in range(s + 3, min(n, s + _LONGEST) + 1):
-            rank = _RANK.get(low[s:e])
-            extra = 0.0
-            if rank is None:
-                rank, extra = _RANK.get(plain[s:e]), 0.6
-            if rank is not None:
-                upper = sum(map(str.isupper, value[s:e]))
-                extra += 0.0 if not upper else 0.3 if upper in (1, e - s) else 0.3 * upper
-                ending.setdefault(e, []).append((s, math.log10(rank + 1) + extra))
+        for e in range(s + MIN_WORD, min(n, s + MAX_WORD) + 1):
+            cost = _word_cost(value[s:e], low[s:e], plain[s:e], ranks)
+            if cost is not None:
+                ending.setdefault(e, []).append((s, cost))
     # least[k]: cost of the first k characters; brute[k]: the same with a brute-force span at the end.
     least, brute = [0.0] * (n + 1), [math.inf] * (n + 1)
     for k in range(1, n + 1):
@@ -147,7 +170,7 @@ def base_spans(text: str) -> list[tuple[Span, tuple[int, int]]]:
     return found
 
 
-def guess_spans(text: str) -> list[tuple[Span, tuple[int, int]]]:
+def guess_spans(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[Span, tuple[int, int]]]:
     """Values in a credential context that are costly to guess."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
@@ -160,19 +183,19 @@ def guess_spans(text: str) -> list[tuple[Span, tuple[int, int]]]:
         s, e = value.span(value.lastindex)
         if value.lastindex == 4:
             e = s + len(value[4].rstrip(".:!?)]},;\"'`>"))
-        if e - s >= MIN_VALUE and guess_cost(text[s:e]) >= MIN_LOG10:
+        if e - s >= MIN_VALUE and guess_cost(text[s:e], ranks) >= MIN_LOG10:
             found.append((("guess", s, e), (s, e)))
     return found
 
 
-def scan_text(text: str) -> list[tuple[Span, tuple[int, int]]]:
-    return sorted(base_spans(text) + guess_spans(text), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
+def scan_text(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[Span, tuple[int, int]]]:
+    return sorted(base_spans(text) + guess_spans(text, ranks), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
 
 
-def redact_text(text: str, mark: str = "[SECRET]") -> str:
+def redact_text(text: str, mark: str = "[SECRET]", ranks: dict[str, int] = _RANK) -> str:
     """Each value that a span covers becomes the mark; overlapping ranges are one."""
     out, at = [], 0
-    for s, e in sorted(v for _, v in scan_text(text)):
+    for s, e in sorted(v for _, v in scan_text(text, ranks)):
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
@@ -183,29 +206,30 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """Columns id, spans array<struct<kind, start, end>>, n_assign, n_access, n_hex, n_guess, base_sha256."""
     session_defaults(documents.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def make(batch: pa.RecordBatch):
-        every = [[x for x, _ in scan_text(t or "")] for t in batch.column(1).to_pylist()]
+        ranks = word_ranks(ranks_path)
+        every = [[x for x, _ in scan_text(t or "", ranks)] for t in batch.column(1).to_pylist()]
         counts = [pa.array([sum(x[0] == k for x in spans) for spans in every], pa.int64()) for k in KINDS]
         digest = [hashlib.sha256(joined([x for x in spans if x[0] != "guess"]).encode()).hexdigest() for spans in every]
         found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in every], pa.list_(kind))
         yield pa.RecordBatch.from_arrays([batch.column(0), found, *counts, pa.array(digest, pa.string())], ["id", "spans", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256"])
 
     schema = "id long, spans array<struct<kind: string, start: long, end: long>>, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string"
-    return mapped(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, schema)
+    return mapped(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, schema)
 
 
-def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(documents: DataFrame, text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """The same rows and columns; found values are replaced in the text column, null stays null."""
     session_defaults(documents.sparkSession)
     at = documents.columns.index(text_col)
 
     def make(batch: pa.RecordBatch):
-        texts = pa.array([None if t is None else redact_text(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+        texts = pa.array([None if t is None else redact_text(t, ranks=word_ranks(ranks_path)) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
         yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(batch.num_columns)], schema=batch.schema)
 
     return mapped(documents, make, documents.schema)

@@ -5,8 +5,9 @@ hash of (id, child), and the least draw wins, so a child gets a share in proport
 a row moves only if the changed child's draw wins or loses, so movement stays within the subtrees whose weights change.
 A shard that is added comes as a region of its own: the only draw that is new is its own, so it takes rows only into itself.
 
-Only SQL functions are used. Slots are numbered gaplessly in each shard by parts of bounded size: rows are counted by
-(shard, part), the parts' offsets are summed over that small table, and rows are numbered within a part.
+Only SQL functions are used. Slots are numbered gaplessly in each shard: rows equal in id, size and checksum are counted first, so that a
+hot group is one row in every shuffle; counts are summed by (shard, part), the parts' offsets over that small table, and groups get
+the numbers from their running sum on, which are expanded last, in runs of RUN.
 
 Defined results: a null id is hashed as a value of its own; a null text has size 1 and the checksum of no bytes; rows that
 repeat an id go to the same shard and get slots of their own; an empty table gives an empty table; only the named columns
@@ -21,8 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that a shard's rows are numbered in.
-PARTS = 512
+#: Parts that a shard's rows are numbered in; most rows that one array expands to.
+PARTS, RUN = 4096, 4096
 
 
 @dataclass(frozen=True)
@@ -76,10 +77,14 @@ def assign(documents: DataFrame, tree: Node, new_tree: Node, id_col: str = "doc_
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = documents.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.select("*", shard_of(F.col("id"), tree).alias("shard"), shard_of(F.col("id"), new_tree).alias("grown_shard"), F.pmod(F.xxhash64("id", "text_crc32"), F.lit(parts)).cast("int").alias("_part"))
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("shard", "_part").orderBy("id", "text_crc32", "size")
-    numbered = rows.withColumn("_row", F.row_number().over(within))
+    within = Window.partitionBy("shard", "_part").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0))
     # At most parts x shards rows: a bound that doesn't depend on the data.
-    return numbered.join(F.broadcast(offsets), ["shard", "_part"]).select("id", "size", "text_crc32", "shard", "grown_shard", (F.col("_offset") + F.col("_row") - 1).alias("slot"))
+    numbered = groups.join(F.broadcast(offsets), ["shard", "_part"]).select("id", "size", "text_crc32", "shard", "grown_shard", "_n", first.alias("_first"))
+    runs = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {RUN}"))).alias("_run"))
+    place = F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1))
+    return runs.select("id", "size", "text_crc32", "shard", "grown_shard", "_first", place.alias("_place")).select("id", "size", "text_crc32", "shard", "grown_shard", (F.col("_first") + F.col("_place")).alias("slot"))

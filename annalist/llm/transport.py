@@ -2,12 +2,15 @@
 
 `mux` stores a payload as one program: a PAT, a PMT and one private elementary stream whose
 access units are PES packets with presentation timestamps; random access points are marked in the
-adaptation field, which also carries the program clock. `demux` parses any such stream again: it
-reads the program tables, checks the continuity counter of every packet, puts the elementary packets
-together and keeps each one's timestamp, random-access mark and place.
+adaptation field, which also carries the program clock. `demux` parses streams again, its own and others: it
+reads the program tables (sections may span packets), checks the continuity counter of every packet identifier, leaves out legal repeats of
+a packet, puts the elementary packets of each stream together (of declared or of open length) and keeps each one's timestamp, random-access mark and place.
+
+Damage never raises. What can't be trusted is left out and counted: bytes between packets (sync_errors), breaks of a counter (continuity_errors), table
+sections with a wrong checksum (table_errors), elementary packets that are cut short, lost their start code or had a break inside (unit_errors).
 
 Defined results: null text is an empty text (one padding unit of 255 bytes); equal texts give equal
-streams; an empty table gives an empty table; only the named columns are read, so extra columns don't
+streams; null media gives status `null` and null digests, a stream with any error `damaged`, any other `ok`; an empty table gives an empty table; only the named columns are read, so extra columns don't
 matter; a null id is passed through.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from annalist.llm.common import mapped, session_defaults, texts_of
 # Fixed values of the format.
 PACKET = 188
 SYNC = 0x47
-PAT_PID, PMT_PID, ES_PID = 0x0000, 0x1000, 0x0100
+PAT_PID, PMT_PID, ES_PID, NULL_PID = 0x0000, 0x1000, 0x0100, 0x1FFF
 STREAM_TYPE_PRIVATE = 0x06
 PRIVATE_STREAM = 0xBD
 CLOCK = 90_000
@@ -39,8 +43,9 @@ RAP_EVERY = 8
 FRAME_TICKS = 3_600
 
 
+@lru_cache(1024)
 def crc32_mpeg(data: bytes) -> int:
-    """CRC-32/MPEG-2 of a table section: polynomial 0x04C11DB7, unreflected."""
+    """CRC-32/MPEG-2 of a table section: polynomial 0x04C11DB7, unreflected. Tables repeat, so their checksums are kept."""
     crc = 0xFFFFFFFF
     for byte in data:
         crc ^= byte << 24
@@ -122,104 +127,195 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
+@dataclass
+class Elementary:
+    """One elementary stream: its access units, their timestamps, and which of them are random access points."""
+
+    stream_type: int
+    units: list[bytes] = field(default_factory=list)
+    pts: list[int] = field(default_factory=list)
+    random_access: list[int] = field(default_factory=list)
+
+
 @dataclass
 class Stream:
     """What a transport stream holds."""
 
     programs: dict[int, int] = field(default_factory=dict)
-    streams: dict[int, int] = field(default_factory=dict)
+    elementary: dict[int, Elementary] = field(default_factory=dict)
     packets: int = 0
+    repeats: int = 0
+    sync_errors: int = 0
     continuity_errors: int = 0
     table_errors: int = 0
-    pts: list[int] = field(default_factory=list)
-    random_access: list[int] = field(default_factory=list)
-    payload: bytes = b""
+    unit_errors: int = 0
+
+    @property
+    def streams(self) -> dict[int, int]:
+        return {pid: e.stream_type for pid, e in self.elementary.items()}
+
+    @property
+    def payload(self) -> bytes:
+        """Access units of all streams, stream after stream by packet identifier."""
+        return b"".join(u for _, e in sorted(self.elementary.items()) for u in e.units)
+
+    @property
+    def status(self) -> str:
+        return "damaged" if self.sync_errors or self.continuity_errors or self.table_errors or self.unit_errors else "ok"
+
+    def first(self) -> Elementary:
+        return min(self.elementary.items())[1] if self.elementary else Elementary(0)
 
     def feature(self) -> str:
-        step = self.pts[1] - self.pts[0] if len(self.pts) > 1 else 0
+        pts, access = self.first().pts, self.first().random_access
         return (
             f"packets={self.packets};programs={len(self.programs)};stream_type={','.join(str(v) for _, v in sorted(self.streams.items()))};"
-            f"continuity_errors={self.continuity_errors};table_errors={self.table_errors};access_units={len(self.pts)};"
-            f"first_pts={self.pts[0] if self.pts else -1};last_pts={self.pts[-1] if self.pts else -1};pts_step={step};"
-            f"random_access_points={len(self.random_access)};last_random_access={self.random_access[-1] if self.random_access else -1}"
+            f"continuity_errors={self.continuity_errors};table_errors={self.table_errors};access_units={len(pts)};"
+            f"first_pts={pts[0] if pts else -1};last_pts={pts[-1] if pts else -1};pts_step={pts[1] - pts[0] if len(pts) > 1 else 0};"
+            f"random_access_points={len(access)};last_random_access={access[-1] if access else -1}"
         )
 
 
-def _continuity(counters: np.ndarray, has_payload: np.ndarray, jumps: np.ndarray) -> int:
-    """Breaks of one packet identifier's counters: up by one with a payload; equal without one or as one repeat."""
-    if len(counters) < 2:
-        return 0
+def packet_rows(stream: bytes) -> tuple[np.ndarray, int]:
+    """The packets as rows, and how many runs of bytes between them were passed over."""
+    whole = len(stream) // PACKET * PACKET
+    rows = np.frombuffer(stream[:whole], np.uint8).reshape(-1, PACKET)
+    if whole == len(stream) and np.all(rows[:, 0] == SYNC):
+        return rows, 0
+    at, found, lost = 0, [], 0
+    while at + PACKET <= len(stream):
+        if stream[at] == SYNC and (at + PACKET == len(stream) or stream[at + PACKET] == SYNC or found and found[-1] == at - PACKET):
+            found.append(at)
+            at += PACKET
+            continue
+        lost += 1
+        at = stream.find(SYNC, at + 1)
+        while 0 <= at and at + PACKET < len(stream) and stream[at + PACKET] != SYNC:
+            at = stream.find(SYNC, at + 1)
+        if at < 0:
+            break
+    rest = found[-1] + PACKET if found else 0
+    lost += bool(0 <= at < len(stream) and at == rest)
+    return np.frombuffer(b"".join(stream[k : k + PACKET] for k in found), np.uint8).reshape(-1, PACKET), lost
+
+
+def continuity(rows: np.ndarray, has_payload: np.ndarray, offset: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one packet identifier's packets: which break the count, and which only repeat the one before.
+
+    The counter goes up by one with a payload and stays without one; one packet may be sent twice; a marked discontinuity is no break.
+    """
+    counters = rows[:, 3] & 15
+    broken, repeated = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     due = (counters[:-1] + has_payload[1:]) & 15
-    repeated = counters[1:] == counters[:-1]
-    return int(np.count_nonzero((counters[1:] != due) & ~repeated & ~jumps[1:]))
+    broken[1:] = (counters[1:] != due) & ~jumps[1:]
+    for k in np.flatnonzero(broken & (np.concatenate(([255], counters[:-1])) == counters)).tolist():
+        before = k - 1
+        if has_payload[before] and not repeated[before] and offset[k] == offset[before] and np.array_equal(rows[k, offset[k] :], rows[before, offset[before] :]):
+            repeated[k], broken[k] = True, False
+    return broken, repeated
+
+
+def sections(rows: np.ndarray, starts: np.ndarray, offset: np.ndarray, out: Stream) -> list[bytes]:
+    """Distinct table sections of one identifier's packets, put together over packets; those with a wrong checksum are counted."""
+    found: dict[bytes, None] = {}
+    held = b""
+
+    def take(more: bytes, last: bool) -> None:
+        nonlocal held
+        held += more
+        while len(held) >= 3 and held[0] != 0xFF:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                break
+            if size < 12 or crc32_mpeg(held[: size - 4]) != int.from_bytes(held[size - 4 : size], "big"):
+                out.table_errors += 1
+            else:
+                found[held[:size]] = None
+            held = held[size:]
+        if last:
+            # A section that doesn't end before the next one begins is cut.
+            out.table_errors += bool(held and held[0] != 0xFF)
+            held = b""
+
+    begun = False
+    for row, start, skip in zip(rows, starts.tolist(), offset.tolist()):
+        body = row[skip:].tobytes()
+        if start and body:
+            if begun:
+                take(body[1 : 1 + body[0]], True)
+            held, begun = b"", True
+            take(body[1 + body[0] :], False)
+        elif begun:
+            take(body, False)
+    if begun:
+        take(b"", True)
+    return list(found)
+
+
+def elementary(out: Elementary, rows: np.ndarray, starts: np.ndarray, offset: np.ndarray, access: np.ndarray, broken: np.ndarray) -> int:
+    """Put the access units of one stream together; returns how many were left out."""
+    lost = 0
+    data = rows[np.arange(PACKET)[None, :] >= offset[:, None]].tobytes()
+    at = np.concatenate(([0], np.cumsum(PACKET - offset)))
+    heads = np.flatnonzero(starts)
+    breaks = np.concatenate(([0], np.cumsum(broken)))
+    for first, last in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)]):
+        pes = data[at[first] : at[last]]
+        size = 6 + (pes[4] << 8 | pes[5]) if len(pes) > 8 else 0
+        open_length = size == 6
+        # A break inside spoils the unit; one at the next head may have cut the end of a unit of open length.
+        spoilt = breaks[last] - breaks[first + 1] > 0 or open_length and last < len(rows) and broken[last]
+        if spoilt or pes[:3] != b"\x00\x00\x01" or len(pes) < max(9, size) or 9 + pes[8] > (len(pes) if open_length else size):
+            lost += 1
+            continue
+        if pes[7] & 0x80 and pes[8] >= 5:
+            out.pts.append(read_timestamp(pes[9:14]))
+        if access[first]:
+            out.random_access.append(len(out.units))
+        out.units.append(pes[9 + pes[8] :] if open_length else pes[9 + pes[8] : size])
+    return lost
 
 
 def demux(stream: bytes) -> Stream:
-    """Parse a transport stream; raises ValueError on lost sync or on a damaged elementary packet."""
-    if len(stream) % PACKET:
-        raise ValueError("not a whole number of packets")
-    rows = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
-    if np.any(rows[:, 0] != SYNC):
-        raise ValueError("sync byte missing")
-    out = Stream(packets=len(rows))
+    """Parse a transport stream; damaged parts are left out and counted."""
+    rows, lost = packet_rows(stream)
+    out = Stream(packets=len(rows), sync_errors=lost)
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     control = rows[:, 3] >> 4 & 3
     has_adaptation, has_payload = (control & 2) > 0, (control & 1) > 0
     length = np.where(has_adaptation, rows[:, 4].astype(np.int32), -1)
     flags = np.where(length > 0, rows[:, 5], 0)
-    offset = np.where(has_adaptation, 5 + length, 4)
+    offset = np.minimum(np.where(has_adaptation, 5 + length, 4), PACKET)
     starts = (rows[:, 1] & 0x40) > 0
+    broken, repeated = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
     for p in np.unique(pid).tolist():
         own = pid == p
-        out.continuity_errors += _continuity(rows[own, 3] & 15, has_payload[own], (flags[own] & 0x80) > 0)
-
-    def sections(wanted: int) -> list[bytes]:
-        found = []
-        for k in np.flatnonzero((pid == wanted) & starts).tolist():
-            raw = rows[k].tobytes()
-            raw = raw[offset[k] + 1 + raw[offset[k]] :]
-            size = 3 + ((raw[1] & 0x0F) << 8 | raw[2])
-            if size > len(raw) or crc32_mpeg(raw[: size - 4]) != int.from_bytes(raw[size - 4 : size], "big"):
-                out.table_errors += 1
-            elif raw[:size] not in found:
-                found.append(raw[:size])
-        return found
+        if p != NULL_PID:
+            broken[own], repeated[own] = continuity(rows[own], has_payload[own], offset[own], (flags[own] & 0x80) > 0)
+    out.continuity_errors, out.repeats = int(broken.sum()), int(repeated.sum())
+
+    def of(wanted: int) -> np.ndarray:
+        return np.flatnonzero((pid == wanted) & has_payload & ~repeated)
+
+    def tables(wanted: int) -> list[bytes]:
+        own = of(wanted)
+        return sections(rows[own], starts[own], offset[own], out)
 
-    for table in sections(PAT_PID):
+    for table in tables(PAT_PID):
         for at in range(8, len(table) - 4, 4):
             number = table[at] << 8 | table[at + 1]
             if number:
                 out.programs[number] = (table[at + 2] & 0x1F) << 8 | table[at + 3]
-    for map_pid in set(out.programs.values()):
-        for table in sections(map_pid):
+    for map_pid in sorted(set(out.programs.values())):
+        for table in tables(map_pid):
             at = 12 + ((table[10] & 0x0F) << 8 | table[11])
-            while at < len(table) - 4:
-                out.streams[(table[at + 1] & 0x1F) << 8 | table[at + 2]] = table[at]
+            while at + 5 <= len(table) - 4:
+                out.elementary.setdefault((table[at + 1] & 0x1F) << 8 | table[at + 2], Elementary(table[at]))
                 at += 5 + ((table[at + 3] & 0x0F) << 8 | table[at + 4])
-    units = []
-    for es in sorted(out.streams):
-        own = np.flatnonzero((pid == es) & has_payload)
-        if not len(own):
-            continue
-        body = rows[own]
-        keep = np.arange(PACKET)[None, :] >= offset[own][:, None]
-        data = body[keep].tobytes()
-        sizes = PACKET - offset[own]
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        heads = np.flatnonzero(starts[own])
-        for first, last in zip(heads.tolist(), [*heads[1:].tolist(), len(own)]):
-            pes = data[at[first] : at[last]]
-            if pes[:3] != b"\x00\x00\x01":
-                raise ValueError("start code missing")
-            size = 6 + (pes[4] << 8 | pes[5])
-            if len(pes) < size:
-                raise ValueError("elementary packet cut short")
-            if pes[7] & 0x80:
-                out.pts.append(read_timestamp(pes[9:14]))
-            if flags[own[first]] & 0x40:
-                out.random_access.append(len(units))
-            units.append(pes[9 + pes[8] : size])
-    out.payload = b"".join(units)
+    for es, held in out.elementary.items():
+        own = of(es)
+        if len(own):
+            out.unit_errors += elementary(held, rows[own], starts[own], offset[own], (flags[own] & 0x40) > 0, broken[own])
     return out
 
 
@@ -229,7 +325,7 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 
 
 SCHEMA = "id long, n_bytes long, media binary"
-FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, continuity_errors long, access_units long, pts array<long>, random_access array<int>"
+FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, status string, continuity_errors long, access_units long, streams array<struct<pid: int, stream_type: int, pts: array<long>, random_access: array<int>>>"
 
 
 def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,16 +340,22 @@ def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Read stored streams back. Columns as in FEATURES: digests of what was read, timestamps, random access points."""
+    """Read stored streams back. Columns as in FEATURES: digests of what was read, and of each elementary stream its timestamps and random access points."""
     session_defaults(media.sparkSession)
+    kind = pa.list_(pa.struct([("pid", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32()))]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), kind]
+
+    def row(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None, None, None, None, None, None, "null", None, None, None)
+        s = demux(raw)
+        payload = s.payload
+        streams = [{"pid": pid, "stream_type": e.stream_type, "pts": e.pts, "random_access": e.random_access} for pid, e in sorted(s.elementary.items())]
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), s.feature(), s.status, s.continuity_errors, sum(len(e.units) for e in s.elementary.values()), streams)
 
     def make(batch: pa.RecordBatch):
-        rows = []
-        for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            s = demux(raw)
-            rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), s.feature(), s.continuity_errors, len(s.pts), s.pts, s.random_access))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        rows = [row(raw) for raw in batch.column(2).to_pylist()]
         cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], [c.split()[0] for c in FEATURES.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "status", "continuity_errors", "access_units", "streams"])
 
-    return mapped(media.select("id", "n_bytes", "media"), make, FEATURES)
+    return mapped(media.select(F.col("id").cast("long").alias("id"), "n_bytes", "media"), make, FEATURES)

@@ -8,7 +8,7 @@ stands for what is left. Only the number of popped pieces is kept at each node,
 steps and no piece is ever built.
 
 Defined results: null and empty texts have 0 words and 0 tokens; an empty table gives an empty table; only the named
-columns are read; a null id is passed through; there is no limit on a word's length.
+columns are read; ids are read as long, a null id is passed through; repeated rows give rows of their own; there is no limit on a word's length.
 """
 
 from __future__ import annotations
@@ -153,4 +153,4 @@ def token_counts(documents: DataFrame, model_path: str, id_col: str = "doc_id",
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    return mapped(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "id long, n_words long, n_tokens long, n_unknown long")
+    return mapped(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, n_words long, n_tokens long, n_unknown long")

@@ -77,26 +77,70 @@ def test_transport_sizes(n):
     assert found.payload == payload and len(stream) % 188 == 0
     assert found.programs == {1: transport.PMT_PID} and found.streams == {transport.ES_PID: 6}
     assert found.continuity_errors == found.table_errors == 0
-    assert found.pts == [90000 + 3600 * k for k in range(max(1, -(-n // 9216)))] and found.random_access == list(range(0, len(found.pts), 8))
+    held = found.elementary[transport.ES_PID]
+    assert found.status == "ok" and held.pts == [90000 + 3600 * k for k in range(max(1, -(-n // 9216)))] and held.random_access == list(range(0, len(held.pts), 8))
 
 
 def test_transport_finds_lost_packets_and_damage():
-    stream = transport.mux(random.Random(1).randbytes(50_000))
+    payload = random.Random(1).randbytes(50_000)
+    units = [payload[k : k + 9216] for k in range(0, len(payload), 9216)]
+    stream = transport.mux(payload)
     rows = [stream[k : k + 188] for k in range(0, len(stream), 188)]
-    with pytest.raises(ValueError):
-        transport.demux(b"".join(rows[:5] + rows[6:]))
+    lost = transport.demux(b"".join(rows[:5] + rows[6:]))
+    assert (lost.status, lost.continuity_errors, lost.unit_errors, lost.payload) == ("damaged", 1, 1, b"".join(units[1:]))
     heads = [k for k, r in enumerate(rows) if r[1] & 0x40 and r[1] & 0x1F == 1]
     cut = transport.demux(b"".join(rows[: heads[1]] + rows[heads[2] :]))
-    assert cut.continuity_errors == 1 and len(cut.pts) == 5
+    assert cut.continuity_errors == 1 and len(cut.first().pts) == 5 and cut.payload == b"".join(units[:1] + units[2:])
     damaged = bytearray(stream)
     damaged[10] ^= 1
     assert transport.demux(bytes(damaged)).table_errors == 1
-    with pytest.raises(ValueError):
-        transport.demux(stream[1:])
+    shifted = transport.demux(stream[1:])
+    assert shifted.sync_errors == 1 and shifted.packets == len(rows) - 1 and shifted.status == "damaged"
+    between = transport.demux(b"".join(rows[:7]) + b"junk" + b"".join(rows[7:]) + b"G")
+    assert between.sync_errors == 2 and between.payload == payload
+    for junk in (b"", b"G", b"x" * 1000, b"G" * 188, b"G" * 1000):
+        assert transport.demux(junk).payload == b""
     for pts in (0, 1, 90000, (1 << 33) - 1):
         assert transport.read_timestamp(transport.pack_timestamp(2, pts)) == pts
 
 
+def test_transport_reads_legal_streams_of_others():
+    payload = random.Random(2).randbytes(30_000)
+    stream = transport.mux(payload)
+    rows = [stream[k : k + 188] for k in range(0, len(stream), 188)]
+    twice = transport.demux(b"".join(r for k, r in enumerate(rows) for _ in range(1 + (k % 5 == 4))))
+    assert twice.status == "ok" and twice.repeats > 0 and twice.payload == payload
+    thrice = transport.demux(b"".join(rows[:5] + [rows[4], rows[4]] + rows[5:]))
+    assert thrice.continuity_errors == 1 and thrice.status == "damaged"
+    # A length of 0 is open: the unit goes on to the next head.
+    loose = [bytearray(r) for r in rows]
+    for r in loose:
+        if r[1] & 0x40 and r[1] & 0x1F == 1:
+            at = bytes(r).index(b"\0\0\1\xbd")
+            r[at + 4 : at + 6] = b"\0\0"
+    assert transport.demux(b"".join(map(bytes, loose))).payload == payload
+    # A map of two streams whose section spans three packets.
+    info = b"".join(bytes((0x0A, 4)) + b"eng\0" for _ in range(60))
+    body = bytes((0xE0 | 1, 0, 0xF0 | len(info) >> 8, len(info) & 255)) + info
+    entries = bytes((6,)) + body[:1] + bytes((0,)) + bytes((0xF0, 0)) + bytes((0x0F, 0xE0 | 2, 0, 0xF0 | len(info) >> 8, len(info) & 255)) + info
+    size = 9 + len(entries) + 4
+    section = bytes((2, 0xB0 | size >> 8, size & 255, 0, 1, 0xC1, 0, 0, 0xE1, 0, 0xF0, 0)) + entries
+    section += transport.crc32_mpeg(section).to_bytes(4, "big")
+    data, packets = b"\0" + section, []
+    for k in range(0, len(data), 184):
+        packets.append(bytes((0x47, (0x50 if k == 0 else 0x10), 0, 0x10 | len(packets))) + data[k : k + 184].ljust(184, b"\xff"))
+    own = [r for r in rows if (r[1] & 0x1F) << 8 | r[2] not in (0, transport.PMT_PID)]
+    found = transport.demux(rows[0] + b"".join(packets) + b"".join(own))
+    assert len(packets) > 2 and found.streams == {0x100: 6, 0x200: 0x0F} and found.table_errors == 0 and found.payload == payload
+
+
+def test_transport_rows_without_media(spark, none):
+    frame = spark.createDataFrame([(1, 3, None), (None, 3, bytearray(b"G" * 500)), (2, 0, bytearray(transport.mux(b"abc"))), (2, 0, bytearray(transport.mux(b"abc")))], "id int, n_bytes long, media binary")
+    got = [(r.id, r.status, r.payload_bytes, r.access_units) for r in transport.features(frame).collect()]
+    assert got == [(1, "null", None, None), (None, "damaged", 0, 0), (2, "ok", 3, 1), (2, "ok", 3, 1)]
+    assert transport.features(transport.store(none)).count() == 0
+
+
 # --- 2 byte-level BPE
 
 
@@ -124,6 +168,15 @@ def test_bpe_odd_texts(text):
     assert c.decode(ids) == text.encode()
 
 
+def test_integer_ids_and_empty_tables(spark, none):
+    """Ids of other integer types are read as long; empty tables give empty tables."""
+    path, model = queries.vocabulary(queries.RANKS_FILE), quality.Model()
+    frame = spark.createDataFrame([(3, "some text"), (None, None)], "doc_id int, text string")
+    calls = (lambda d: bpe.digests(bpe.encode(d, path, queries.pattern()), path, queries.pattern()), lambda d: wordpiece.token_counts(d, queries.vocabulary(queries.PIECES_FILE)), lambda d: quality.scored(d, model), secrets.scan, near_dedup.groups, repeats.removal)
+    for call in calls:
+        assert {r.id for r in call(frame).collect()} == {3, None} and call(none).count() == 0
+
+
 # --- 3 quality
 
 
@@ -234,6 +287,40 @@ def test_sharding_law_slots_and_growth(spark, docs, rows, none):
     assert sharding.assign(none, tree, tree).count() == 0
 
 
+def shard_by_force(key: int | None, node: sharding.Node) -> int:
+    """Descend by draws recomputed from the hash's definition: 64-bit xxHash chained over name and little-endian key."""
+    import math
+
+    import xxhash
+
+    while node.children:
+        draws = []
+        for c in node.children:
+            seed = xxhash.xxh64_intdigest(c.name.encode(), 42)
+            h = seed if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed)
+            draws.append(-math.log(((h >> 12) + 0.5) / (1 << 52)) / c.weight)
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
+def test_sharding_equals_brute_force(spark):
+    tree = sharding.balanced(2, 2, 4)
+    more = sharding.grown(tree, 16)
+    frame = spark.createDataFrame([(k, "x") for k in [*range(-50, 400), 1 << 40]] + [(None, "n")], "doc_id long, text string")
+    for r in sharding.assign(frame, tree, more).collect():
+        assert r["shard"] == shard_by_force(r.id, tree) and r.grown_shard == shard_by_force(r.id, more)
+
+
+def test_sharding_numbers_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    tree = sharding.balanced(2, 2, 4)
+    rows = [(None, "")] * 100 + [(5, "same")] * 50 + [(5, "other")] * 15 + [(k, "t") for k in range(200)]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id int, text string"), tree, tree).toPandas()
+    assert len(out) == len(rows)
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_sharding_moves_only_within_changed_subtrees(spark):
     def tree(weight: float) -> sharding.Node:
         leaf = lambda n, s, w=1.0: sharding.Node(n, shard=s, own_weight=w)
@@ -348,6 +435,60 @@ def test_guess_cost_orders_passwords():
     assert cost("d0e5b6a7f8c94b1d") > 9
 
 
+def cost_by_force(value: str, ranks: dict[str, int]) -> float:
+    """Least cost over every way to cut the value and every way to guess each piece."""
+    import math
+    from functools import cache
+
+    runs = {}
+    for s, e, cost in secrets._runs(value):
+        runs.setdefault((s, e), []).append(cost)
+
+    def guesses(s: int, e: int) -> list[float]:
+        word, out = value[s:e], [float(e - s), *runs.get((s, e), [])]
+        for low, extra in ((word.lower(), 0.0), (word.lower().translate(secrets._LEET), 0.6)):
+            if low in ranks and (not extra or word.lower() not in ranks):
+                upper = sum(c.isupper() for c in word)
+                out.append(math.log10(ranks[low] + 1) + extra + (0.3 * min(upper, 1) if upper in (0, 1, len(word)) else 0.3 * upper))
+        if (m := secrets._DATE.match(value, s)) and m.end() == e:
+            out.append(math.log10(120) if e - s == 4 else math.log10(365 * 120))
+        return out
+
+    @cache
+    def least(at: int) -> float:
+        return 0.0 if at == len(value) else min(0.3 + g + least(e) for e in range(at + 1, len(value) + 1) for g in guesses(at, e))
+
+    return least(0)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng, ranks = random.Random(13), secrets.word_ranks(queries.vocabulary(queries.RANKS_FILE))
+    assert len(ranks) > 10_000 and ranks["password"] == 1
+    pieces = ["password", "P4ssw0rd", "1999", "20240131", "aaaa", "abab", "qwert", "1234", "the", "Xk9", "#", "z", "House", "!!", "cba"]
+    for _ in range(150):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))
+        assert secrets.guess_cost(value, ranks) == pytest.approx(cost_by_force(value, ranks)), value
+
+
+def test_secret_scan_equals_brute_force_on_documents(spark, sf_dir):
+    import re
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10_001, "é" * 50 + " token = 'abcdef12' " + "日本" * 30 + " AKIA" + "Z9" * 10), (10_002, None), (10_001, "x secret:" + "a" * 70_000)] * 2
+    want = Counter()
+    for i, t in rows:
+        spans = []
+        for kind, pattern, group, least in (
+            ("assign", "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+            ("access", "AKIA[A-Z0-9]+", 0, 20),
+            ("hex", "[0-9a-f]+", 0, 24),
+        ):
+            spans += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
+        want[(i, hashlib.sha256(",".join(x[2] for x in sorted(spans)).encode()).hexdigest())] += 1
+    frame = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id int, text string, n_hex int, spans string")
+    assert both(secrets.scan(frame, ranks_path=queries.vocabulary(queries.RANKS_FILE)), "id", "base_sha256") == want
+
+
 def test_secret_scan_frames(docs, rows, none):
     got = secrets.scan(docs)
     assert both(got, "id", "n_assign", "n_hex", "base_sha256") == Counter((i, 0, 0, hashlib.sha256(b"").hexdigest()) for i, _ in rows)
@@ -366,6 +507,8 @@ def test_secret_scan_frames(docs, rows, none):
         ('dbPwd: "Zq8!kfT2#pLm"', "Zq8!kfT2#pLm"),
         ('HTTPToken = "Zq8!kfT2#pLm"', "Zq8!kfT2#pLm"),
         ('pass = "abc token = "Zq8!kfT2#pLm', "Zq8!kfT2#pLm"),
+        ("pwd =" + " " * 30 + "Zq8!kfT2#pLm", "Zq8!kfT2#pLm"),
+        ("a_very_long_prefix_of_the_key_api_key=>Zq8!kfT2#pLm", "Zq8!kfT2#pLm"),
     ],
 )
 def test_guess_spans_take_whole_values(text, value):
