@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so both are bounded.
 BATCH_ROWS = 512
@@ -73,6 +74,26 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: A key with more than this share of the rows is hot; there are fewer hot keys than HEAD. Parts that a hot key is dealt over.
+HEAD, SPREAD = 4096, 64
+
+
+def spread_join(rows: DataFrame, counted: DataFrame, keys: list[str], times: str = "n") -> DataFrame:
+    """Inner join of rows with a written table of their keys, one row a key, that has each key's number of rows.
+
+    Hot keys are found by their counts, broadcast (fewer than HEAD of them can have over 1 / HEAD of all rows) and dealt over SPREAD parts.
+    """
+    total = counted.agg(F.sum(times)).first()[0] or 0
+    hot = counted.where((F.col(times) * HEAD > total) & (F.col(times) > HEAD)).select(*keys, F.lit(True).alias("_hot"))
+    if hot.isEmpty():
+        return rows.join(counted, keys)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    right = counted.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each row; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -8,12 +8,16 @@ centre on full shingle sets, so a bucket within one component costs one comparis
 then still hold several components are gone through again. In those of up to BUCKET nodes and BUCKET_SHINGLES shingles sketches are
 compared in memory, then the full sets of likely pairs of different components; only links that join two components leave it,
 fewer than the bucket has nodes. In larger ones nodes outside the main component, if few, are compared with all others; those with many
-such nodes, which a passage common to otherwise different documents fills, are cut into buckets of two bands, then of three
-and so on, where similar pairs meet again and others no longer do. What has many left after LEVELS bands is compared node by node until each pair of components has been. A pair at the threshold shares 8.9 of the 28 bands on average.
+such nodes, which a passage common to otherwise different documents fills, are cut by bands again, each time by bands of other
+groups of the bins, where similar pairs meet again and others no longer do. What has many left after LEVELS cuts is compared node by node until each pair of components has been. A pair at the threshold shares 8.9 of the 28 bands of any grouping on average, and none with probability 2.4e-5, so a
+pair whose buckets are large at every level is missed with at most LEVELS times that.
+
+Joins on a component's label or on a bucket's centre may have hot keys. They are left to the adaptive execution's splitting of skewed joins, which is
+on by default and needs to stay on; each row of theirs is a few numbers, or a text that is compared.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D after lowering A-Z; a document's set has its
 distinct five-word shingles, one shingle of all words if there are fewer, and is empty for null, empty or blank texts, which
-are linked with nothing. Rows that repeat an id are one document. A row with a null id gets a null component and isn't kept.
+are linked with nothing. Rows that repeat an id are one document. A row with a null id gets a null component and isn't kept (deduplicated passes it through).
 Empty tables give empty tables. Only the named columns are read.
 """
 
@@ -36,10 +40,10 @@ THRESHOLD = 75
 BANDS, BINS = 28, 4
 T = BANDS * BINS
 #: Nodes of a bucket, and shingles of them all (8 bytes each), that are compared in memory; the share of equal bins from which
-#: full sets are compared (at the threshold a pair has less with probability 1e-4); pairs compared at once.
-BUCKET, BUCKET_SHINGLES, LIKELY, STEP = 2048, 2_000_000, 0.6, 64
+#: full sets are compared (at the threshold a pair has less with probability 2e-8, binomial); pairs compared at once.
+BUCKET, BUCKET_SHINGLES, LIKELY, STEP = 1024, 2_000_000, 0.5, 64
 #: In larger buckets up to this many nodes outside the main component are compared with all others; those with more are cut by
-#: further bands, up to LEVELS in all.
+#: bands of another grouping of the bins, up to LEVELS in all.
 MINOR = 32
 LEVELS = 5
 #: New centres a round of what is left.
@@ -104,6 +108,12 @@ def bands(bins: np.ndarray) -> np.ndarray:
     return out
 
 
+def regrouped(level: int) -> Column:
+    """Bands of a grouping of the bins that belongs to a level, from the low bytes of the bins."""
+    order = np.argsort(seeded(T, 0x6E0 + level))
+    return F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("code", int(k) + 1, 1) for k in order[b * BINS : (b + 1) * BINS]])) for b in range(BANDS)])
+
+
 SIGNED = "id long, n_shingles long, set_id binary, bands array<long>, code binary"
 
 
@@ -274,7 +284,7 @@ def centre(order: Column) -> list[Column]:
 
 
 def shared_buckets(placed: DataFrame, order: Column) -> DataFrame:
-    """Members of buckets with two nodes or more, with the bucket's centre: (bucket, node, n, last, c)."""
+    """Members of buckets with two nodes or more, with the bucket's centre: (bucket, node, n, c)."""
     shared = placed.groupBy("bucket").agg(*centre(order), F.count("*").alias("size")).where("size > 1")
     return placed.join(shared.select("bucket", F.struct(F.col("c_node").alias("node"), F.col("c_n").alias("n")).alias("c")), "bucket")
 
@@ -300,7 +310,7 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = documents.sparkSession
     signed = written(spark, signatures(documents, id_col, text_col), "signed")
     nodes = written(spark, signed.where("n_shingles > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("code").alias("code")), "nodes")
-    placed = nodes.select("node", "n", F.posexplode("bands").alias("last", "bucket"))
+    placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     members = written(spark, shared_buckets(placed, F.col("node")), "members")
     # A node stands for one set: of rows that repeat an id, the text whose set is the node's isn't known, so each is tried.
     wanted = members.select(F.col("node").alias("id")).distinct()
@@ -326,14 +336,27 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if level == LEVELS:
             every_component(spark, large, take, lambda: labels)
             break
-        cut = several_components(large, labels).select("node", "bucket", "n", "last").join(nodes.select("node", F.posexplode("bands").alias("band", "other")), "node").where(F.col("band") > F.col("last"))
-        deeper = cut.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "n", F.col("band").alias("last"))
+        cut = several_components(large, labels).select("node", "bucket", "n").join(nodes.select("node", F.explode(regrouped(level)).alias("other")), "node")
+        deeper = cut.select(F.xxhash64("bucket", "other").alias("bucket"), "node", "n")
         members = written(spark, shared_buckets(deeper, hashed(-level)), "members")
     final = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component_id"))
     return signed.select("id", "n_shingles", "set_id").join(final, "set_id", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents, one document of each group; same columns."""
-    kept = groups(documents, id_col, text_col).where("kept").select(F.col("id").alias("_kept")).distinct()
-    return documents.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").select(*documents.columns)
+    """The rows of documents, one of each group; same columns.
+
+    Of rows that repeat a kept id the one with the least hash of its columns stays. Rows with a null id pass.
+    """
+    spark, key = documents.sparkSession, F.col(id_col).cast("long")
+    kept = written(spark, groups(documents, id_col, text_col).where("kept").groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_times")), "kept")
+    own = documents.withColumn("_id", key)
+    once = own.join(kept.where("_times = 1"), own["_id"] == kept["_kept"], "left_semi").select(*documents.columns)
+    named = documents.where(key.isNull()).unionByName(once)
+    repeated = kept.where("_times > 1")
+    if repeated.isEmpty():
+        return named
+    # Partial aggregates cut an id's rows to one before the shuffle.
+    row = F.struct(*documents.columns)
+    least = own.join(repeated, own["_id"] == repeated["_kept"], "left_semi").groupBy("_id").agg(F.min_by(row, F.xxhash64(*documents.columns)).alias("_row"))
+    return named.unionByName(least.select("_row.*"))

@@ -106,9 +106,9 @@ _ASSIGN = rf"({_KEYS})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 
 SECRET_COUNTS = rf"""
 select doc_id,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), x -> length(x) >= 6)) as n_assign,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), x -> length(x) >= 20)) as n_access,
-  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), x -> length(x) >= 24)) as n_hex
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 6)) as n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
 from documents
 """
 
@@ -117,14 +117,14 @@ with recursive words as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sets as materialized (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' '))) end as s from words),
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from words),
 sized as materialized (select doc_id, len(s) as n from sets),
 elements as materialized (select doc_id, unnest(s) as e from sets),
 shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from elements a join elements b on a.e = b.e and a.doc_id < b.doc_id group by all),
 links as materialized (
   select a, b from shared join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
-both as materialized (select a, b from links union all select b, a from links),
-reach as (select a as node, a as seen from both union select r.node, both.b from reach r join both on both.a = r.seen),
+pairs as materialized (select a, b from links union all select b, a from links),
+reach as (select a as node, a as seen from pairs union select r.node, pairs.b from reach r join pairs on pairs.a = r.seen),
 least as (select node, min(seen) as component_id from reach group by node)
 select z.doc_id, z.n as n_shingles, coalesce(l.component_id, z.doc_id) as component_id, z.doc_id = coalesce(l.component_id, z.doc_id) as kept
 from sized z left join least l on l.node = z.doc_id

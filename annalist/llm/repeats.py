@@ -1,25 +1,26 @@
 """Removal of repeated byte strings by a depth-limited suffix sort.
 
 A suffix needs sorting only through its first DEPTH bytes, and suffixes in equal groups at that depth are exactly the
-repeated windows. The sort goes most significant digits first, in three passes, and a suffix leaves it as soon as its
-group is a single one:
-
-1. Digit one is the window's anchor: the leftmost of the least hashes of its GRAM-byte grams. Equal windows have equal anchors
-   at equal places, so windows are grouped by about DEPTH / 80 anchors a window instead of one by one; anchors that occur
-   once leave.
-2. Digit two is the anchor's context, the bytes that windows with this anchor can reach. Anchors with equal contexts stand for
-   equal windows: all of them are repeated, without looking at any of them.
-3. Digit three, for anchors whose group has other contexts as well: the window itself. One anchor of each context sends its
-   context's bytes. A group of up to GROUP contexts is sorted in memory, its bytes being bounded; a larger one is sorted by
-   windows as rows, with partial aggregation. In both, equal groups of windows are the repeated ones.
-
-Digits are compared by hashes of 128 bits in all (anchor and context, or two of a window). What travels is one number for each anchor,
-then a few windows; texts are joined with what was found about them by document.
+repeated windows. A radix sort groups them digit by digit, most significant first, and a suffix leaves it as soon as its group is a
+single one. One row a suffix would be many times the text, so the first two steps sort many suffixes as one:
+
+1. Partition. A window's anchor is the leftmost of the least hashes of its GRAM-byte grams. Equal windows have equal anchors at equal places, so
+   windows with the same anchor gram form a partition that no equal window is outside of. A partition has about DEPTH / 80 times fewer
+   anchors than windows; grams that occur once are single groups and leave.
+2. Equal contexts. An anchor's context is the bytes that windows with this anchor can reach. Anchors with the same context stand for
+   the same windows: all of these are in groups of two or more at full depth, without looking at any of them.
+3. Radix passes. In partitions with different contexts one anchor of each context sends its bytes. The windows of up to GROUP contexts are sorted in
+   memory by digits of DIGIT bytes from the first to the last; each pass splits the groups that are left, and single windows leave. A larger
+   partition is dealt as rows by window, with partial aggregation, its digits being taken as two halves at once.
+
+Digits and contexts are compared by 64-bit hashes: DEPTH / DIGIT of them for a window in memory, two for one dealt as a row, and for a context a
+cryptographic one besides its gram's. What travels is one number for each anchor,
+then a few windows; texts are joined with what was found about them by document. Joins on grams deal hot grams over many tasks.
 
 Defined results: null text is an empty text; matches never cross documents but may overlap; rows that repeat a document count
 as further copies; rows are told apart by (id, text), rows equal in both get equal results; a null id is a document of its
 own kind, as any other value; texts under DEPTH bytes keep everything; an empty table gives an empty table; only the named
-columns are read.
+columns are read; ids are read as long.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, by_group, chunks, mapped, mix, session_defaults, texts_of, written
+from annalist.llm.common import CHUNK_BYTES, U64, RollingHash, by_group, chunks, mapped, mix, session_defaults, spread_join, texts_of, written
 
 DEPTH = 200
 GRAM = 40
+#: Bytes of a digit of the passes in memory.
+DIGIT = 40
 #: Contexts of one anchor that are compared in memory, of at most 2 * DEPTH bytes each.
 GROUP = 4096
 
-_A, _B = RollingHash(0x0511), RollingHash(0x7E57)
+_A = RollingHash(0x0511)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,18 +90,18 @@ class Anchors:
         self.at, self.lo, self.hi = (np.array(x, np.int64) for x in (at, lo, hi))
         self.gram = h[self.at]
 
-    def contexts(self, data: np.ndarray) -> np.ndarray:
+    def contexts(self, text: bytes) -> np.ndarray:
         """Hash of all bytes that the anchor's windows cover, with the anchor's place in them."""
-        if not len(self.at):
-            return self.gram
-        a, b = self.lo, self.hi + self.depth
-        shape = mix((self.at - a).astype(U64) * U64(1 << 20) + (b - a).astype(U64))
-        return mix(_B.ranges(_B.prefix(data), a, b) + shape)
+        out = np.zeros(len(self.at), U64)
+        for k, (p, a, b) in enumerate(zip(self.at.tolist(), self.lo.tolist(), (self.hi + self.depth).tolist())):
+            out[k] = int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8, salt=(p - a).to_bytes(4, "little")).digest(), "little")
+        return out
 
 
-def window_hashes(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _A.prefix(data), _B.prefix(data)
-    return mix(_A.ranges(a, starts, starts + depth)), mix(_B.ranges(b, starts, starts + depth))
+def window_halves(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The two digits of a window that is dealt as a row: its halves."""
+    prefix, middle = _A.prefix(data), starts + depth // 2
+    return mix(_A.ranges(prefix, starts, middle)), mix(_A.ranges(prefix, middle, starts + depth))
 
 
 def spans_of(ranges: np.ndarray) -> np.ndarray:
@@ -145,7 +148,7 @@ def anchored(texts: DataFrame) -> DataFrame:
             for text in every[a:b]:
                 data = np.frombuffer(text, np.uint8)
                 found = Anchors(data)
-                for out, x in ((at, found.at), (gram, found.gram), (context, found.contexts(data))):
+                for out, x in ((at, found.at), (gram, found.gram), (context, found.contexts(text))):
                     out.append(x)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -164,18 +167,22 @@ ALL, ALL_AND_SENDS, ASKS = 1, 2, 3
 
 def standings(docs: DataFrame) -> DataFrame:
     """(id, key, found array<struct<at, state>>) of documents with anchors that occur more than once."""
+    spark = docs.sparkSession
     anchors = docs.select("id", "key", F.explode(F.arrays_zip("at", "gram", "context")).alias("x")).select("id", "key", "x.*")
     # Partial aggregates before each shuffle keep a gram that is in every document from reaching one task as rows.
-    common = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed"))
-    again = anchors.join(common, "gram")
+    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
+    common = written(spark, grams.select("gram", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")
+    again = written(spark, spread_join(anchors, common, ["gram"]).drop("n"), "again")
     alike = again.where("not mixed").select("id", "key", "at", F.lit(ALL).alias("state"))
     several = again.where("mixed").select("id", "key", "at", "gram", "context")
     # A number for the place, as a least number takes no sort; two places with one number would only both send.
     place = F.xxhash64("id", "key", "at")
-    classes = several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    classes = written(spark, several.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")), "classes")
     state = F.when(F.col("n") == 1, ASKS).when(F.col("first") == place, ALL_AND_SENDS).otherwise(ALL)
-    other = several.join(classes, ["gram", "context"]).select("id", "key", "at", state.alias("state"))
-    return alike.unionByName(other).groupBy("id", "key").agg(F.collect_list(F.struct("at", "state")).alias("found"))
+    other = spread_join(several, classes, ["gram", "context"]).select("id", "key", "at", state.alias("state"))
+    # Rows that repeat a document bring its anchors again: one row an anchor, then one a document.
+    each = alike.unionByName(other).groupBy("id", "key", "at").agg(F.max("state").alias("state"))
+    return each.groupBy("id", "key").agg(F.collect_list(F.struct("at", "state")).alias("found"))
 
 
 _ASKING = "id long, key int, n_bytes long, text binary, starts array<int>, ends array<int>, gram array<long>, lo array<int>, context array<binary>, asks array<boolean>"
@@ -217,14 +224,32 @@ def looked_at(texts: DataFrame, found: DataFrame) -> DataFrame:
     return mapped(held, make, _ASKING)
 
 
-def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of some contexts: context number, start in it, two hashes."""
+def context_windows(contexts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of every window of some contexts: context number, start in it, start in their bytes, and those bytes."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     size = np.array([len(c) for c in contexts], np.int64)
     count = np.maximum(size - DEPTH + 1, 0)
     own = np.repeat(np.arange(len(contexts)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return own, start, *window_hashes(data, start + np.repeat(np.cumsum(size) - size, count))
+    return own, start, start + np.repeat(np.cumsum(size) - size, count), data
+
+
+def repeated_windows(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows, given by their starts in the data, occur more than once: radix passes over digits, most significant first."""
+    prefix, out = _A.prefix(data), np.zeros(len(start), bool)
+    left, group = np.arange(len(start)), np.zeros(len(start), np.int64)
+    for at in range(0, DEPTH, DIGIT):
+        first = start[left] + at
+        digit = mix(_A.ranges(prefix, first, first + min(DIGIT, DEPTH - at)))
+        order = np.lexsort((digit, group))
+        left, group, digit = left[order], group[order], digit[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(new) - 1
+        stays = np.bincount(group)[group] > 1 if len(group) else new
+        left, group = left[stays], group[stays]
+    out[left] = True
+    return out
 
 
 _RANGES = "id long, key int, start int, end int"
@@ -232,19 +257,14 @@ _RANGES = "id long, key int, start int, end int"
 
 def compared(sent: DataFrame) -> DataFrame:
     """Ranges of the asking contexts that are repeated. sent: id, key, gram, lo, context, asks."""
-    sizes = sent.groupBy("gram").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("gram", "n")
-    held = sent.join(sizes, "gram")
+    sizes = written(sent.sparkSession, sent.groupBy("gram").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("gram", "n"), "sizes")
+    held = spread_join(sent, sizes, ["gram"])
     few = held.where(F.col("n") <= GROUP).select("gram", "id", "key", "lo", "context", "asks")
 
     def within(batch: pa.RecordBatch):
         lo, asks = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
-        own, start, w1, w2 = context_windows(batch.column(4).to_pylist())
-        order = np.lexsort((w2, w1))
-        new = np.concatenate(([True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])))
-        group = np.cumsum(new) - 1
-        repeated = np.zeros(len(own), bool)
-        repeated[order] = np.bincount(group)[group] > 1
-        at = np.flatnonzero(repeated & asks[own])
+        own, start, place, data = context_windows(batch.column(4).to_pylist())
+        at = np.flatnonzero(repeated_windows(data, place) & asks[own])
         # Rows follow each other by context, then by start: a run ends where either jumps.
         cut = np.flatnonzero(np.concatenate((np.full(min(len(at), 1), True), (np.diff(own[at]) != 0) | (np.diff(start[at]) != 1))))
         first, last = at[cut], at[np.append(cut[1:], len(at)) - 1] if len(at) else at
@@ -255,7 +275,8 @@ def compared(sent: DataFrame) -> DataFrame:
 
     def windows(batch: pa.RecordBatch):
         lo, asks = batch.column(3).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
-        own, start, w1, w2 = context_windows(batch.column(4).to_pylist())
+        own, start, place, data = context_windows(batch.column(4).to_pylist())
+        w1, w2 = window_halves(data, place)
         take = pa.array(own)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((start + lo[own]).astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(asks[own])], ["id", "key", "start", "w1", "w2", "asks"])
 
@@ -293,7 +314,7 @@ def removal(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(spark, standings(docs), "standings")
     asking = written(spark, looked_at(texts, found), "asking")
     sent = asking.select("id", "key", F.explode(F.arrays_zip("gram", "lo", "context", "asks")).alias("x")).select("id", "key", "x.*")
-    hits = written(spark, compared(sent), "ranges").groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    hits = written(spark, compared(sent), "ranges").distinct().groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     a, h = asking.alias("a"), hits.alias("h")
     joined = a.join(h, F.col("a.id").eqNullSafe(F.col("h.id")) & (F.col("a.key") == F.col("h.key")), "left").select("a.id", "a.key", "a.n_bytes", "a.text", "a.starts", "a.ends", "h.more")
     done = finished(joined).alias("d")

@@ -697,7 +697,32 @@ def test_near_dedup_equals_brute_force(docs, rows, none):
     assert near_dedup.groups(none).count() == 0
     kept = near_dedup.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in groups_by_force(rows).items() if i == c}
+    want = Counter(i for i, c in groups_by_force(rows).items() if i == c) + Counter(i for i, _ in rows if i is None)
+    assert Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_deduplicated_keeps_one_of_repeated_rows_and_null_ids(spark):
+    text = prose(40)
+    rows = [(1, text, "a")] * 3 + [(1, "another text", "b"), (2, text, "c"), (None, text, "d"), (None, text, "d"), (7, None, None), (7, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, _kept string")
+    for part in (frame, frame.repartition(7)):
+        out = near_dedup.deduplicated(part)
+        assert out.columns == frame.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert [i for i, _ in got] == [1, 7, None, None] and got[0][1] in (text, "another text")
+
+
+def test_near_dedup_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for name in ("op10_near_dedup", "secret_base_counts"):
+        got = queries.queries()[name](spark, sf_dir)
+        want = db.sql(queries.oracle_sql()[name])
+        assert sorted(got.columns) == sorted(want.columns)
+        cols = sorted(got.columns)
+        assert Counter(tuple(r[c] for c in cols) for r in got.collect()) == Counter(want.select(*cols).fetchall())
 
 
 def test_near_dedup_on_documents(spark, sf_dir):
@@ -757,3 +782,26 @@ def test_pipeline_stages_agree_with_operators(spark, sf_dir):
             assert not any(secrets.base_spans(r.text) for r in out.collect()) and ids == have
         docs, have = out, ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == have
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").first().text
+    rows = [(1, None), (2, ""), (3, " "), (None, good), (None, None), (4, good), (4, good), (5, good), (6, "x " + item + " y"), (7, 'api_key = "Zq8!kfT2#pLm"'), (8, prose(30_000)), (None, "pwd: Zq8!kfT2#pLm")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 7, 1.0, "k", 3) for i, t in rows], "doc_id int, text string, lang string, source string, n_chars long, score double, _kept string, id int")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "near_dedup", "decontamination", "secrets"):
+        out = stages[name](spark, frame, sf_dir)
+        assert out.schema.fieldNames() == frame.columns and stages[name](spark, frame.limit(0), sf_dir).count() == 0
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "near_dedup":
+            assert got == Counter(rows) - Counter([(4, good), (5, good)])
+        elif name == "decontamination":
+            assert got == Counter(rows) - Counter([rows[8]])
+        elif name == "secrets":
+            assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in rows) and not any("Zq8" in (t or "") for _, t in got)
+        else:
+            assert not got - Counter(rows) and got[(4, good)] == 2 and got[(None, good)] == 1
+    assert Counter((r.doc_id, r.n_tokens == 0) for r in stages["encode"](spark, frame, sf_dir).collect()) == Counter((i, not t) for i, t in rows)
