@@ -9,8 +9,8 @@ then still hold several components are gone through again. In those of up to BUC
 compared in memory, then the full sets of likely pairs of different components; only links that join two components leave it,
 fewer than the bucket has nodes. In larger ones nodes outside the main component, if few, are compared with all others; those with many
 such nodes, which a passage common to otherwise different documents fills, are cut by bands again, each time by bands of other
-groups of the bins, where similar pairs meet again and others no longer do. What has many left after LEVELS cuts is compared node by node until each pair of components has been. A pair at the threshold shares 8.9 of the 28 bands of any grouping on average, and none with probability 2.4e-5, so a
-pair whose buckets are large at every level is missed with at most LEVELS times that.
+groups of the bins, where similar pairs meet again and others no longer do. What has many left after LEVELS cuts is compared node by node until each pair of components has been. A pair at the threshold shares 6.75 of the 16 bands of 3 bins of a cut on average, and none with probability 1.6e-4, so a
+pair whose buckets are large at every level is missed with at most 2e-5 and LEVELS times that.
 
 Joins on a component's label or on a bucket's centre may have hot keys. They are left to the adaptive execution's splitting of skewed joins, which is
 on by default and needs to stay on; each row of theirs is a few numbers, or a text that is compared.
@@ -41,11 +41,12 @@ BANDS, BINS = 28, 4
 T = BANDS * BINS
 #: Nodes of a bucket, and shingles of them all (8 bytes each), that are compared in memory; the share of equal bins from which
 #: full sets are compared (at the threshold a pair has less with probability 2e-8, binomial); pairs compared at once.
-BUCKET, BUCKET_SHINGLES, LIKELY, STEP = 1024, 2_000_000, 0.5, 64
+BUCKET, BUCKET_SHINGLES, LIKELY, STEP = 2048, 2_000_000, 0.5, 64
 #: In larger buckets up to this many nodes outside the main component are compared with all others; those with more are cut by
 #: bands of another grouping of the bins, up to LEVELS in all.
 MINOR = 32
 LEVELS = 5
+CUT_BANDS, CUT_BINS = 16, 3
 #: New centres a round of what is left.
 CENTRES = 32
 
@@ -111,7 +112,7 @@ def bands(bins: np.ndarray) -> np.ndarray:
 def regrouped(level: int) -> Column:
     """Bands of a grouping of the bins that belongs to a level, from the low bytes of the bins."""
     order = np.argsort(seeded(T, 0x6E0 + level))
-    return F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("code", int(k) + 1, 1) for k in order[b * BINS : (b + 1) * BINS]])) for b in range(BANDS)])
+    return F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("code", int(k) + 1, 1) for k in order[b * CUT_BINS : (b + 1) * CUT_BINS]])) for b in range(CUT_BANDS)])
 
 
 SIGNED = "id long, n_shingles long, set_id binary, bands array<long>, code binary"
