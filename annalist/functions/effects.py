@@ -17,7 +17,8 @@ from annalist.functions import script
 
 # Forms of title and law ids, and what names a title in a script.
 TITLE = re.compile(r"[ekdcb]_[A-Za-z0-9_-]+\Z")
-IDENTIFIER = re.compile(r"[a-z][a-z0-9_]*\Z")
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]+\Z")
+CHARACTER = re.compile(script.CHARACTER_ID)
 SCOPE = "title:"
 
 #: kind, owner (null: the operation's own title), value, second value, date on which it holds alone, order within the body.
@@ -99,35 +100,71 @@ def handled(key: str, kind: str, raw: str) -> bool:
     return key == "effect" and kind == "block" and len(capitals(key, kind, raw)) == len(_inner(raw))
 
 
+# Flags and relationship effects that change no projected state.
+IDLE_FLAGS = frozenset("do_not_generate_starting_family has_scripted_appearance".split())
+IDLE_EFFECTS = frozenset(
+    "add_opinion break_alliance create_betrothal make_concubine reverse_add_opinion set_father set_primary_spouse set_relation_best_friend set_relation_friend set_relation_lover "
+    "set_relation_nemesis set_relation_potential_friend set_relation_potential_rival set_relation_rival set_relation_soulmate".split()
+)
+
+
 def learning(key: str, kind: str, raw: str) -> list[Found]:
     """Languages that a body grants, if it does nothing else; a mixed body grants none."""
     fields = _inner(raw) if key == "effect" and kind == "block" else []
-    if not fields or any(a.key != "learn_language_of_culture" or a.kind != "scalar" for a in fields):
+    said = [_plain(a) or "" for a in fields]
+    if not fields or any(a.key != "learn_language_of_culture" or not x.startswith("culture:") or not CHARACTER.fullmatch(x[8:]) for a, x in zip(fields, said)):
         return []
-    return [("learn_language", None, (_plain(a) or "").removeprefix("culture:"), None, None) for a in fields]
+    return [("learn_language", None, x[8:], None, None) for x in said]
+
+
+def cultures(key: str, kind: str, raw: str) -> list[Found]:
+    """Cultures that a body sets, whatever else it says; one that isn't a stable id has no value."""
+    found: list[Found] = []
+    for a in _inner(raw) if key == "effect" and kind == "block" else []:
+        if a.key == "set_culture" and a.kind == "scalar":
+            said = (_plain(a) or "").removeprefix("culture:")
+            found.append(("set_culture", None, said if CHARACTER.fullmatch(said) else None, said or None, None))
+    return found
+
+
+def character_body_is_read(key: str, kind: str, raw: str) -> bool:
+    """Whether a character's effect body holds nothing but what is recognised or changes no projected state."""
+    fields = _inner(raw) if key == "effect" and kind == "block" else []
+    if learning(key, kind, raw):
+        return True
+
+    def read(a: script.Assignment) -> bool:
+        if a.key == "set_culture":
+            return a.kind == "scalar"
+        if a.key == "add_character_flag":
+            return a.kind == "scalar" and _plain(a) in IDLE_FLAGS
+        return a.key in IDLE_EFFECTS or a.key in ("give_nickname", "remove_nickname")
+
+    return bool(fields) and all(map(read, fields))
 
 
 def nickname(key: str, kind: str, raw: str) -> list[Found]:
-    """Given or removed nicknames, as a scalar or a first-level field of an effect, whatever else the body says."""
+    """Given or removed nicknames, as a scalar or a first-level field of an effect, whatever else the body says. Malformed ones raise."""
     fields = _inner(raw) if key == "effect" and kind == "block" else [script.Assignment(key, raw, kind, 0, 0)]
     found: list[Found] = []
     for a in fields:
+        if a.key not in ("give_nickname", "remove_nickname"):
+            continue
         said = _plain(a)
-        if said is not None and a.key == "give_nickname":
-            found.append(("nickname", None, said, None, None))
-        elif said == "yes" and a.key == "remove_nickname":
-            found.append(("nickname", None, None, None, None))
+        if said is None or (said != "yes" if a.key == "remove_nickname" else not CHARACTER.fullmatch(said)):
+            raise ValueError(f"malformed nickname: {a.key} = {a.raw}")
+        found.append(("nickname", None, said if a.key == "give_nickname" else None, None, None))
     return found
 
 
-RECOGNISERS: tuple[Callable[[str, str, str], list[Found]], ...] = (laws, de_jure, tributary, name, capitals, learning, nickname)
+RECOGNISERS: tuple[Callable[[str, str, str], list[Found]], ...] = (laws, de_jure, tributary, name, capitals, learning, cultures, nickname)
 
 
 def recognised(operations: DataFrame) -> DataFrame:
     """Events of operations (entity_id, effective_date, declaration_order, operation_key, value_kind, raw_value), and whether
     an operation is fully said by them. Operations that nothing recognises give no rows."""
     kept = ["entity_id", "effective_date", "declaration_order"]
-    schema = f"entity_id string, effective_date int, declaration_order int, {EVENT}, complete boolean"
+    schema = f"entity_id string, effective_date int, declaration_order long, {EVENT}, complete boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,6 +179,18 @@ def recognised(operations: DataFrame) -> DataFrame:
     return operations.select(*kept, "operation_key", "value_kind", "raw_value").mapInPandas(run, schema)
 
 
+def read_bodies(operations: DataFrame) -> DataFrame:
+    """operations with is_read: whether a character's effect body is read whole."""
+    columns = ["entity_id", "effective_date", "declaration_order"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [character_body_is_read(key, kind, raw or "") for key, kind, raw in zip(batch["operation_key"], batch["value_kind"], batch["raw_value"])]
+            yield batch[columns].assign(is_read=read).astype({"effective_date": "Int32"})
+
+    return operations.select(*columns, "operation_key", "value_kind", "raw_value").mapInPandas(run, "entity_id string, effective_date int, declaration_order long, is_read boolean")
+
+
 def known(events: DataFrame, kind: str, installed: DataFrame, column: str = "value") -> DataFrame:
     """Events of a kind whose value is installed (id) or clears, and doesn't name the entity itself."""
     ids = installed.select(F.col("id").alias("_id")).distinct()
