@@ -1,33 +1,88 @@
-"""Five-rank hierarchies: validation, flattening, capitals. Fixed-depth joins in bulk, recursion for single leaves."""
+"""Title hierarchies: ancestors of all titles, validation, flattening, capitals, and the checked chain above a starting title.
+
+Ancestors are resolved from the top. The parents of all titles are a much smaller set than the titles, their parents a smaller one again;
+each set's chains are those of the next set with one title put before. So only the first join is of full size, and the last ones
+have few rows on their right side, which AQE broadcasts once it sees their size. What is still open after HOPS levels is deep or
+cyclic; these few are settled by a recursive query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "bcdke"
 HOPS = 5
+#: Rank by letter, and the rank that a rank's parent must have.
+RANK_OF = {"e": "empire", "k": "kingdom", "d": "duchy", "c": "county", "b": "barony"}
+LADDER = ("barony", "county", "duchy", "kingdom", "empire")
+_PATH = "array<string>"
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def rank_of(title: Column) -> Column:
+    return F.try_element_at(_map(RANK_OF), F.substring(title, 1, 1))
+
+
+def declared(titles: DataFrame, last: bool = False) -> DataFrame:
+    """One row a title: (title_id, parent_title_id, n) by its first declaration (or last) and how many there are. titles: title_id, parent_title_id, source_order."""
+    pick = F.max_by if last else F.min_by
+    order = F.struct("source_order", F.coalesce("parent_title_id", F.lit("")))
+    return titles.groupBy("title_id").agg(pick(F.struct("parent_title_id"), order).alias("_p"), F.count("*").alias("n")).select("title_id", F.col("_p.parent_title_id").alias("parent_title_id"), "n")
+
+
+#: Walks up from a few titles; the path is the cycle guard. Spark refuses more levels than spark.sql.cteRecursionLevelLimit, so a chain is never cut silently.
+_WALK = """WITH RECURSIVE up(title_id, next, path, cyclic, hops) AS (
+    SELECT title_id, parent_title_id, CAST(array() AS array<string>), title_id <=> parent_title_id, 0 FROM {first}
+    UNION ALL
+    SELECT up.title_id, n.parent_title_id, array_append(up.path, up.next), n.parent_title_id <=> up.title_id OR coalesce(array_contains(array_append(up.path, up.next), n.parent_title_id), false), up.hops + 1
+    FROM up JOIN {nodes} n ON n.title_id = up.next WHERE NOT up.cyclic)
+SELECT title_id, max_by(struct(next, path, cyclic), hops) AS x FROM up GROUP BY title_id"""
+
 
+def _deep(nodes: DataFrame, first: DataFrame) -> DataFrame:
+    """Chains of few titles: (title_id, path, missing, cyclic). nodes: all (title_id, parent_title_id); first: (title_id, parent_title_id) to resolve."""
+    ends = nodes.sparkSession.sql(_WALK, first=first, nodes=nodes)
+    return ends.select("title_id", "x.path", F.when(~F.col("x.cyclic"), F.col("x.next")).alias("missing"), F.col("x.cyclic").alias("cyclic"))
 
-def chains(titles: DataFrame) -> DataFrame:
-    """Each title with its ancestors p1..p5 and the first parent on the way that doesn't exist."""
-    edges = titles.select("title_id", "parent_title_id").distinct()
-    out = edges.select("title_id", F.col("parent_title_id").alias("p1"))
-    for k in range(1, HOPS + 1):
-        step = edges.select(F.col("title_id").alias(f"p{k}"), F.col("parent_title_id").alias(f"p{k + 1}"), F.lit(True).alias(f"has{k}"))
-        out = out.join(step, f"p{k}", "left")
-    gone = F.coalesce(*[F.when(F.col(f"p{k}").isNotNull() & F.col(f"has{k}").isNull(), F.col(f"p{k}")) for k in range(1, HOPS + 1)])
-    return out.select("title_id", *[f"p{k}" for k in range(1, HOPS + 2)], gone.alias("missing"))
+
+def chains(nodes: DataFrame) -> DataFrame:
+    """(title_id, path, missing, cyclic) of every title: its ancestors from the parent up as far as they exist, the first that doesn't, and whether
+    the way up runs in a circle (the path is then of no use). nodes: title_id (unique), parent_title_id."""
+    own = nodes.select("title_id", "parent_title_id")
+    levels = [own]
+    for _ in range(HOPS):
+        parents = levels[-1].where("parent_title_id is not null").select(F.col("parent_title_id").alias("title_id")).distinct()
+        levels.append(own.join(parents, "title_id"))
+    top = levels[-1]
+    rest = top.where("parent_title_id is not null")
+    found = top.where("parent_title_id is null").select("title_id", F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("missing"), F.lit(False).alias("cyclic"))
+    if not rest.isEmpty():
+        found = found.unionByName(_deep(own, rest))
+    for level in reversed(levels[:-1]):
+        above = found.select(F.col("title_id").alias("parent_title_id"), F.col("path").alias("_path"), F.col("missing").alias("_missing"), F.col("cyclic").alias("_cyclic"))
+        rows = level.join(above, "parent_title_id", "left")
+        known = F.col("_path").isNotNull()
+        found = rows.select(
+            "title_id", F.when(known, F.concat(F.array("parent_title_id"), "_path")).otherwise(F.array().cast(_PATH)).alias("path"),
+            F.when(known, F.col("_missing")).otherwise(F.col("parent_title_id")).alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"),
+        )
+    return found
 
 
 def validated(titles: DataFrame) -> DataFrame:
-    """(title_id, selectable, warning). In order: duplicate, cycle or over-deep, missing parent, rank chain."""
-    counts = titles.groupBy("title_id").agg(F.count("*").alias("n"))
-    ranks = F.concat(F.substring("title_id", 1, 1), *[F.coalesce(F.substring(f"p{k}", 1, 1), F.lit("")) for k in range(1, HOPS + 1)])
+    """(title_id, selectable, warning). In order: duplicate, cycle, missing parent, rank chain. titles: title_id, parent_title_id, source_order."""
+    nodes = declared(titles)
+    ranks = F.concat(F.substring("title_id", 1, 1), F.array_join(F.transform("path", lambda x: F.substring(x, 1, 1)), ""))
     wanted = F.expr(f"substring('{RANKS}', instr('{RANKS}', substring(title_id, 1, 1)))")
-    warning = F.when(F.col("n") > 1, "duplicate title declarations").when(F.col(f"p{HOPS + 1}").isNotNull(), "cyclic parent hierarchy").when(F.col("missing").isNotNull(), F.concat(F.lit("missing parent title: "), "missing")).when(ranks != wanted, F.concat(F.lit("non-canonical rank chain: "), ranks))
-    one = chains(titles.groupBy("title_id").agg(F.min("parent_title_id").alias("parent_title_id")))
-    return one.join(counts, "title_id").select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
+    warning = F.when(F.col("n") > 1, "duplicate title declarations").when(F.col("cyclic"), "cyclic parent hierarchy").when(F.col("missing").isNotNull(), F.concat(F.lit("missing parent title: "), "missing")).when(ranks != wanted, F.concat(F.lit("non-canonical rank chain: "), ranks))
+    rows = chains(nodes).join(nodes.select("title_id", "n"), "title_id")
+    return rows.select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
 
 
 def first_child(titles: DataFrame, order: str) -> DataFrame:
@@ -35,6 +90,73 @@ def first_child(titles: DataFrame, order: str) -> DataFrame:
     return titles.groupBy(F.col("parent_title_id").alias("title_id")).agg(F.min_by("title_id", order).alias("capital_id"))
 
 
+def static_capitals(titles: DataFrame) -> DataFrame:
+    """(title_id, capital_id, capital_status): as declared, else a county's first barony. titles: title_id, parent_title_id, capital_title_id, source_order, one row each."""
+    first = first_child(titles.where("title_id like 'b%' and parent_title_id like 'c%'"), "source_order").withColumnRenamed("capital_id", "first")
+    rows = titles.join(first, "title_id", "left")
+    said, county, barony = F.col("capital_title_id").isNotNull(), F.col("title_id").startswith("c"), F.col("title_id").startswith("b")
+    status = F.when(said, "declared_static").when(county & F.col("first").isNotNull(), "derived_first_barony").when(barony, "not_applicable").otherwise("no_declaration")
+    return rows.select("title_id", F.coalesce("capital_title_id", F.when(county, F.col("first"))).alias("capital_id"), status.alias("capital_status"))
+
+
 def flattened(titles: DataFrame) -> DataFrame:
-    """Leaves with their four ancestors; leaves that lack the first two are dropped."""
-    return chains(titles).where("title_id like 'b%' and p1 is not null and p2 is not null").select(F.col("title_id").alias("barony"), F.col("p1").alias("county"), F.col("p2").alias("duchy"), F.col("p3").alias("kingdom"), F.col("p4").alias("empire"))
+    """Baronies with their four ancestors and whether they are their county's first; those without an installed county and duchy are dropped.
+
+    Of several declarations of a title the last counts. titles: title_id, parent_title_id, source_order.
+    """
+    nodes = declared(titles, last=True)
+    placed = titles.groupBy("title_id").agg(F.min("source_order").alias("source_order"))
+    leaves = chains(nodes).where("title_id like 'b%' and size(path) >= 2").join(placed, "title_id")
+    first = leaves.groupBy(F.get("path", F.lit(0)).alias("county")).agg(F.min_by("title_id", F.struct("source_order", "title_id")).alias("capital"))
+    rows = leaves.select(F.col("title_id").alias("barony"), *[F.get("path", F.lit(k)).alias(name) for k, name in enumerate(("county", "duchy", "kingdom", "empire"))])
+    return rows.join(first, "county").select("barony", "county", "duchy", "kingdom", "empire", (F.col("barony") == F.col("capital")).alias("is_county_capital"))
+
+
+def resolved(starts: DataFrame, titles: DataFrame) -> DataFrame:
+    """The chain above each starting title (title_id): empire, kingdom, duchy, county, barony and `error`, null where it is whole. titles: title_id, title_rank, parent_title_id, selectable."""
+    open_titles = titles.where("selectable").select("title_id", "parent_title_id", F.col("title_rank"))
+    rows = starts.select("title_id").join(chains(open_titles), "title_id", "left").join(open_titles, "title_id", "left")
+    # A title's rank is read off its letter; the ladder from the starting rank up is what the path must show.
+    below = F.array_position(F.array(*map(F.lit, LADDER)), F.col("title_rank")).cast("int")
+    whole = F.concat(F.array("title_id"), "path")
+    shown = F.transform(whole, rank_of)
+    wanted = F.slice(F.array(*map(F.lit, LADDER)), F.greatest(below, F.lit(1)), F.lit(len(LADDER)))
+    bad = F.array_position(F.transform(F.arrays_zip(shown.alias("a"), wanted.alias("b")), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))), False).cast("int")
+    at = F.when(bad > 1, F.get(whole, bad - 2))
+    size, need = F.size(whole), F.size(wanted)
+    error = (
+        F.when(F.col("title_rank").isNull(), F.concat(F.lit("Unknown or non-selectable title: "), "title_id"))
+        .when(~F.col("title_rank").isin(*LADDER), F.concat(F.lit("Unsupported title rank: "), "title_rank"))
+        .when(F.col("cyclic"), F.concat(F.lit("Invalid parent for title: "), "title_id"))
+        .when((bad > 0) & (bad <= F.least(size, need)), F.concat(F.lit("Invalid parent for title: "), at))
+        .when((size == need) & F.col("missing").isNotNull(), F.lit("Empire title cannot have a parent title"))
+        .when(size > need, F.lit("Empire title cannot have a parent title"))
+        .when(F.col("missing").isNotNull(), F.concat(F.lit("Invalid parent for title: "), F.element_at(whole, -1)))
+        .when(size < need, F.concat(F.lit("Incomplete title hierarchy above: "), F.element_at(whole, -1)))
+    )
+    ranked = F.map_from_arrays(shown, whole)
+    return rows.select("title_id", error.alias("error")).join(
+        rows.where(error.isNull()).select("title_id", *[F.try_element_at(ranked, F.lit(r)).alias(r) for r in reversed(LADDER)]), "title_id", "left"
+    )
+
+
+def ancestors(leaves: DataFrame, titles: DataFrame) -> DataFrame:
+    """(leaf, title_id, depth): each leaf (title_id) and all titles above it, as far as they exist. titles: title_id, parent_title_id, one row each."""
+    rows = chains(titles).join(leaves.select("title_id"), "title_id", "left_semi")
+    return rows.select(F.col("title_id").alias("leaf"), F.posexplode(F.concat(F.array("title_id"), "path")).alias("depth", "title_id")).select("leaf", "title_id", "depth")
+
+
+def followed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(localization_key, display_name) of keys whose label, or the label that `$other$` leads to in the end, exists. labels: localization_key, display_value, one row each."""
+    alias = F.regexp_extract("display_value", r"^\$([^$]+)\$$", 1)
+    table = labels.select(F.col("localization_key").alias("current"), "display_value", F.nullif(alias, F.lit("")).alias("next"))
+    open_keys = keys.select("localization_key", F.col("localization_key").alias("current"), F.array().cast(_PATH).alias("seen")).distinct()
+    done: list[DataFrame] = []
+    while True:
+        step = open_keys.join(table, "current")
+        done.append(step.where("next is null").select("localization_key", F.col("display_value").alias("display_name")))
+        seen = F.array_append("seen", F.col("current"))
+        open_keys = step.where(F.col("next").isNotNull()).where(~F.array_contains(seen, F.col("next"))).select("localization_key", F.col("next").alias("current"), seen.alias("seen"))
+        # Each round follows one alias; keys in a circle leave when they meet a key they have seen.
+        if open_keys.isEmpty():
+            return reduce(DataFrame.unionByName, done)

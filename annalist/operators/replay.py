@@ -35,10 +35,15 @@ def in_force(operations: DataFrame, entity: str, order: list[str], value: Column
     return F.last(value, ignorenulls=True).over(before)
 
 
-def overlay(base: DataFrame, observed: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Observed values over a base, null ones leave the base's."""
-    renamed = observed.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
-    return base.join(renamed, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
+def overlay(base: DataFrame, observed: DataFrame, key: str, columns: list[str], fixed: tuple[str, ...] = (), insert: bool = True) -> DataFrame:
+    """Observed values over a base: null ones leave the base's, fixed columns always do. insert: keys that the base lacks become rows.
+
+    observed has one row a key: `latest` comes before. Repeated keys raise, as they would multiply the base's rows.
+    """
+    once = F.count("*").over(Window.partitionBy(key)) == 1
+    checked = observed.withColumn("_once", F.when(once, True).otherwise(F.raise_error(F.lit("observed key is repeated")).cast("boolean")))
+    renamed = checked.where("_once").select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
+    return base.join(renamed, key, "full_outer" if insert else "left").select(key, *[F.col(c) if c in fixed else F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
 def keyed_replace(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
