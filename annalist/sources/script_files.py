@@ -11,10 +11,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.functions import script
+from annalist.functions import script, text
 from annalist.operators import replay
 
 DECLARED = "path string, keys array<string>, ordinals array<int>, kind string, value string, line_start int, line_end int"
@@ -64,7 +64,7 @@ def title_declarations(source: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 rows, open_titles = [], {}
-                for number, whole in enumerate(bytes(content).decode("utf-8-sig").splitlines(), 1):
+                for number, whole in enumerate(script.decoded(bytes(content)).splitlines(), 1):
                     text = whole.partition("#")[0]
                     body = text.strip()
                     if m := re.match(TITLE_LINE, body):
@@ -79,10 +79,20 @@ def title_declarations(source: DataFrame) -> DataFrame:
     return source.select("path", "content").mapInPandas(parse, TITLE)
 
 
+def numbered(rows: DataFrame, *within: str) -> DataFrame:
+    """rows (path, ...) with source_order, 1 for the first in scan order. Files are counted first and their offsets summed over that small
+    table, so that rows are numbered file by file and never in one task."""
+    counts = rows.groupBy("path").agg(F.count("*").alias("n"))
+    before = Window.orderBy(scan_order()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("path").orderBy(*within))
+    return rows.join(offsets, "path").withColumn("source_order", F.col("_offset") + own).drop("_offset")
+
+
 def landed_titles(source: DataFrame, last_wins: bool = False) -> DataFrame:
     """One row a title: its first declaration (or last), its rank and how many declarations it has."""
     found = title_declarations(source)
-    order = F.struct(scan_order(), "source_line")
+    order = F.struct(scan_order(), "source_line", "title_id")
     pick = F.max_by if last_wins else F.min_by
     rest = [c for c in found.columns if c != "title_id"]
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
@@ -145,6 +155,16 @@ def nicknames(source: DataFrame) -> DataFrame:
     return rows.agg(F.min(_key(0)).alias("id"), *said, F.max(F.col("keys")[0].isNotNull() & (F.size("keys") == 1) & (F.col("kind") == "block")).alias("block")).where("block").drop("at", "block")
 
 
+def nickname_problems(source: DataFrame) -> DataFrame:
+    """What isn't allowed in a nickname file: outermost scalars, other fields, flags that are given twice, blocks, or values other than yes and no."""
+    rows = declarations(source, 2)
+    inner = F.size("keys") == 2
+    wrong = F.when((F.size("keys") == 1) & (F.col("kind") != "block"), "nickname isn't a block").when(inner & ~_key(1).isin("is_bad", "is_prefix"), "unknown nickname field").when(inner & ((F.col("kind") != "scalar") | ~F.col("value").isin("yes", "no")), "nickname flag isn't yes or no")
+    named = rows.select(wrong.alias("rule"), F.array_join("keys", "/").alias("subject")).where("rule is not null")
+    twice = rows.where(inner).groupBy("path", F.element_at("ordinals", 1).alias("at"), "keys").count().where("count > 1")
+    return named.unionByName(twice.select(F.lit("nickname flag is given twice").alias("rule"), F.array_join("keys", "/").alias("subject")))
+
+
 def obligations(source: DataFrame) -> DataFrame:
     """Levels of each contract type's obligation_levels by their order, and which is the default."""
     rows = declarations(source, 4).where((F.size("keys") >= 3) & (_key(1) == "obligation_levels"))
@@ -154,6 +174,54 @@ def obligations(source: DataFrame) -> DataFrame:
     return level.withColumn("level_index", F.element_at("at", 3)).drop("at")
 
 
+def contract_problems(source: DataFrame, files: int, types: int, levels: int) -> DataFrame:
+    """Contract types without exactly one block of levels, levels whose default isn't yes or no, and a corpus of another shape than reviewed."""
+    rows = declarations(source, 4)
+    one = rows.groupBy("path", F.element_at("ordinals", 1).alias("at")).agg(F.min(_key(0)).alias("id"), F.count_if((F.size("keys") == 2) & (_key(1) == "obligation_levels") & (F.col("kind") == "block")).alias("n"))
+    out = problems("contract type needs one block of levels", one.where("n <> 1"), "id")
+    wrong = rows.where((F.size("keys") == 4) & (_key(1) == "obligation_levels") & (_key(3) == "default") & ~F.col("value").isin("yes", "no"))
+    out = out.unionByName(problems("default isn't yes or no", wrong.select(F.array_join("keys", "/").alias("id")), "id"))
+    shape = source.agg(F.count("*").alias("f")).crossJoin(one.agg(F.count("*").alias("t"))).crossJoin(obligations(source).agg(F.count("*").alias("l")))  # one row each
+    return out.unionByName(problems("corpus shape changed", shape.where((F.col("f") != files) | (F.col("t") != types) | (F.col("l") != levels)).select(F.concat_ws("/", "f", "t", "l").alias("id")), "id"))
+
+
+def culture_languages(cultures: DataFrame, pillars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, language_id) of cultures, and problems: a culture needs exactly one language, and that has to be a pillar of type language."""
+    said = field(cultures, "language")
+    known = languages(pillars)
+    out = problems("culture needs one language", said.where("n <> 1"), "id").unionByName(unresolved(said.where("n = 1"), "value", known))
+    return said.where("n = 1").join(known.select(F.col("id").alias("value")), "value").select("id", F.col("value").alias("language_id")), out
+
+
+def tributary_groups(source: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contract groups that are referred to, and problems: those that are lacking or aren't marked as tributary."""
+    marked = field(source, "is_tributary")
+    held, lacking = required(marked, wanted)
+    return held, lacking.unionByName(problems("group isn't tributary", held.where("not value <=> 'yes'"), "id"))
+
+
+def entries(source: DataFrame) -> DataFrame:
+    """Files and all folders above them: path (composed), kind, length, content_sha256, folded."""
+    kept = source.select(text.nfc("path").alias("path"), F.lit("file").alias("kind"), "length", F.sha2("content", 256).alias("content_sha256"))
+    parts = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    folders = kept.where(F.size(parts) > 1).select(above.alias("path")).distinct().select("path", F.lit("directory").alias("kind"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("content_sha256"))
+    return kept.unionByName(folders).withColumn("folded", text.casefolded("path"))
+
+
+def entry_problems(found: DataFrame) -> DataFrame:
+    """Paths that are equal once composed, or but for case."""
+    same = found.groupBy("path").count().where("count > 1")
+    folded = found.groupBy("folded").agg(F.count_distinct("path").alias("n")).where("n > 1")
+    return problems("duplicate normalized path", same, "path").unionByName(problems("case-fold path collision", folded, "folded"))
+
+
+def clipboard(rows: DataFrame, column: str = "text") -> DataFrame:
+    """Pasted texts with their number of lines that aren't blank, to be reviewed."""
+    lines = F.filter(F.split(column, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    return rows.withColumn("line_count", F.size(lines)).withColumn("review_status", F.lit("needs_review"))
+
+
 def problems(rule: str, rows: DataFrame, subject: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
 

@@ -15,12 +15,25 @@ def observed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, key: str, event_id: str, at: str, path: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Each batch's newest rows win over what is published if they are newer; a batch that runs again changes nothing."""
+    """Each batch's newest rows win over what is published if they are newer; a batch that runs again changes nothing.
+
+    What is published lies in buckets by the key's hash: a batch reads and writes only the buckets of its keys, and readers see all of them or none.
+    """
     once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark([event_id])
+    schema = stream.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = sinks.read_version(batch.sparkSession, path)
-        rows = batch if held is None else held.unionByName(batch)
-        sinks.publish(replay.latest(rows, [key], [F.desc(at), F.desc(event_id)]), path)
+        new = replay.latest(batch, [key], [F.desc(at), F.desc(event_id)]).persist()
+        # At most BUCKETS numbers.
+        touched = {r[0] for r in new.select(sinks.bucket_of(key)).distinct().collect()}
+        if touched:
+            held = sinks.read_buckets(batch.sparkSession, path, schema.replace(":", " "), touched)
+            sinks.publish_buckets(replay.latest(held.unionByName(new), [key], [F.desc(at), F.desc(event_id)]), path, key)
+        new.unpersist()
 
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What is published."""
+    return sinks.read_buckets(spark, path, schema)
