@@ -1,69 +1,19 @@
-"""The driver catalogue: queries of the engine's own operators with their SQL twins."""
+"""The driver catalogue: queries of the engine's own operators with their SQL twins.
 
-from __future__ import annotations
+Relational forms are here; `domain` holds replay, classification, readiness and summaries over adapted tables, `scripts` what is read from files.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions import script
 from annalist.operators import hierarchy, replay
-from annalist.sources import html_tables, script_files
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-#: Titles: region > nation > customer > order > line, with faults put in by rule.
-TITLES = """SELECT concat('e_', r_regionkey) AS title_id, CAST(NULL AS varchar(40)) AS parent_title_id, r_name AS display_name, CAST(r_regionkey AS bigint) AS source_order FROM region
-UNION ALL SELECT concat('k_', n_nationkey), concat('e_', n_regionkey), n_name, CAST(n_nationkey AS bigint) FROM nation
-UNION ALL SELECT concat('d_', c_custkey), CASE WHEN c_custkey % 97 = 0 THEN 'e_0' WHEN c_custkey % 101 = 0 THEN 'k_999' ELSE concat('k_', c_nationkey) END, c_name, c_custkey FROM customer
-UNION ALL SELECT concat('c_', o_orderkey), concat('d_', o_custkey), o_orderpriority, o_orderkey FROM orders
-UNION ALL SELECT concat('b_', l_orderkey, '_', l_linenumber), concat('c_', l_orderkey), l_returnflag, l_orderkey * 10 + l_linenumber FROM lineitem"""
-CUTOFF = "TIMESTAMP '2024-01-16 00:00:00'"
-
-
-def views(spark: SparkSession, sf_dir: str, text: str) -> None:
-    for t in TABLES:
-        if t in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-
-
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    views(spark, sf_dir, text)
-    return spark.sql(text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("varchar(40)", "string"))
-
-
-def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, TITLES)
-
-
-def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type", F.get_json_object("props", "$.k").alias("v"), F.when(F.get_json_object("props", "$.k").cast("int") % 10 == 0, "0").otherwise(F.get_json_object("props", "$.k")).alias("value"))
-
-
-#: The same operations for DuckDB.
-OPS = "SELECT user_id, ts, event_id, event_type, CASE WHEN CAST(props->>'k' AS integer) % 10 = 0 THEN '0' ELSE props->>'k' END AS value FROM events"
-
-
-def own(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return put
-
-
-def shared(name: str, text: str, oracle: str | None = None) -> None:
-    """A query whose SQL both engines understand (or a twin where they don't)."""
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text)
-    ORACLES[name] = oracle or text
+from annalist.plans.registry import CUTOFF, OPS, ORACLES, QUERIES, TABLES, TITLES, operations, own, shared, titles
+from annalist.sources import script_files
 
+__all__ = ["ORACLES", "QUERIES", "TABLES"]
 
 @own("D6_state_replay", f"""SELECT user_id, nullif(arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'signup'), '0') AS holder, nullif(arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view'), '0') AS liege,
 nullif(arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click'), '0') AS government, CAST(sum(CAST(value AS bigint)) FILTER (WHERE event_type = 'purchase') AS bigint) AS development, CAST(0 AS bigint) AS development_unknown
@@ -75,8 +25,7 @@ def state_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @own("A15_set_replacement", f"SELECT user_id, string_agg(value, ',' ORDER BY ts, event_id) AS kept FROM (SELECT *, max(CASE WHEN value = '0' THEN event_id END) OVER (PARTITION BY user_id) AS cleared FROM ({OPS}) WHERE event_type = 'signup') WHERE cleared IS NULL OR event_id > cleared GROUP BY user_id")
 def set_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """What is left since the last clear. The result itself is one row an entity that holds its list, as a title holds its laws: lists are small here."""
     ops = operations(spark, sf_dir).where("event_type = 'signup'").withColumn("cleared", F.max(F.when(F.col("value") == "0", F.col("event_id"))).over(Window.partitionBy("user_id")))
     held = ops.where("cleared is null or event_id > cleared")
     return held.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]), ",").alias("kept"))
@@ -105,7 +54,9 @@ def static_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.first_child(titles(spark, sf_dir).where("title_id like 'b%'"), "source_order")
 
 
-@own("D45_flatten", f"WITH t AS (SELECT DISTINCT title_id, parent_title_id FROM ({TITLES})) SELECT a.title_id AS barony, a.parent_title_id AS county, b.parent_title_id AS duchy, c.parent_title_id AS kingdom, d.parent_title_id AS empire FROM t a JOIN t b ON a.parent_title_id = b.title_id LEFT JOIN t c ON b.parent_title_id = c.title_id LEFT JOIN t d ON c.parent_title_id = d.title_id WHERE a.title_id LIKE 'b%' AND b.parent_title_id IS NOT NULL")
+@own("D45_flatten", f"""WITH t AS (SELECT title_id, max(parent_title_id) AS parent_title_id, min(source_order) AS source_order FROM ({TITLES}) GROUP BY title_id),
+x AS (SELECT a.title_id AS barony, b.title_id AS county, c.title_id AS duchy, d.title_id AS kingdom, e.title_id AS empire, a.source_order FROM t a JOIN t b ON a.parent_title_id = b.title_id JOIN t c ON b.parent_title_id = c.title_id LEFT JOIN t d ON c.parent_title_id = d.title_id LEFT JOIN t e ON d.parent_title_id = e.title_id WHERE a.title_id LIKE 'b%')
+SELECT barony, county, duchy, kingdom, empire, row_number() OVER (PARTITION BY county ORDER BY source_order, barony) = 1 AS is_county_capital FROM x""")
 def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.flattened(titles(spark, sf_dir))
 
@@ -123,44 +74,24 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.keyed_replace(base, base.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
 
 
-_CHAIN = f"""WITH RECURSIVE t AS (SELECT DISTINCT title_id, parent_title_id FROM ({TITLES})), up AS (SELECT title_id AS leaf, title_id, parent_title_id, 0 AS depth FROM t WHERE title_id IN ('c_1', 'c_2', 'c_3')
-UNION ALL SELECT up.leaf, t.title_id, t.parent_title_id, up.depth + 1 FROM up JOIN t ON t.title_id = up.parent_title_id) SELECT leaf, title_id, depth FROM up"""
-shared("J9_chain", _CHAIN)
-shared("J10_resolve_chain", "SELECT o_orderkey, c_custkey, n_nationkey, r_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 shared("J3_inspection", "SELECT o.o_orderkey, c.c_name, coalesce(c.c_mktsegment, 'none') AS segment, n.n_name, r.r_name, l.lines, l.flags FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_nationkey <> 3 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN (SELECT l_orderkey, count(*) AS lines, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey")
 shared("J4_literal_in_on", "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name = 'ASIA'")
 shared("J5_unresolved_ids", "SELECT count(DISTINCT d.doc_id) AS unresolved FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 shared("J6_U2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 shared("U3_intersection", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
-shared("U5_set_equality", "SELECT count(*) AS differing FROM (SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region) x")
 shared("J7_semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 shared("J8_self_join", "SELECT DISTINCT a.n_name AS left_name, b.n_name AS right_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
-shared("J14_asof_baseline", "SELECT c.c_custkey, max(o_orderdate) = max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS same, count(*) AS n FROM customer c JOIN orders ON o_custkey = c.c_custkey WHERE o_orderdate <= TIMESTAMP '1997-01-01 00:00:00' GROUP BY c.c_custkey")
 shared("J15_lookup_default", "SELECT p_partkey, coalesce(s_name, 'unobserved') AS seen FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
 shared("A1_A3_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(DISTINCT o_custkey) AS customers FROM orders")
 shared("A4_group_all", "SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(c_custkey) FILTER (WHERE c_acctbal < 0) AS indebted FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 shared("A5_group_count", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 shared("A6_rollup_names", "SELECT r_name, coalesce(listagg(DISTINCT concat(n_name, ' [', n_nationkey, ']'), ', ') WITHIN GROUP (ORDER BY concat(n_name, ' [', n_nationkey, ']')), 'none') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name", "SELECT r_name, coalesce(string_agg(DISTINCT concat(n_name, ' [', n_nationkey, ']'), ', ' ORDER BY concat(n_name, ' [', n_nationkey, ']')), 'none') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
-shared("A7_dashboard", "SELECT count(DISTINCT c_nationkey) AS nations, CAST(sum(CAST(c_acctbal AS decimal(18,2))) AS double) AS total, count(*) FILTER (WHERE c_acctbal <= 25) AS low FROM customer")
-shared("A8_distribution", "SELECT coalesce(c_mktsegment, 'Unknown') AS segment, count(*) AS n FROM customer GROUP BY 1")
-shared("A9_trial_summary", "SELECT n_name, count(*) FILTER (WHERE c_acctbal > 0) AS domain, count(*) AS realm FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
-shared("A10_scope_rollup", "SELECT o_custkey, count(DISTINCT o_orderkey) AS counties, count(l_linenumber) AS slots, count(*) FILTER (WHERE l_returnflag = 'R') AS realised FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
-shared("A11_occupied", "SELECT o_orderkey, coalesce(x.n, 0) AS occupied, coalesce(y.n, 0) AS slots FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) x ON x.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) y ON y.l_orderkey = o_orderkey")
 shared("W1_latest_run", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r = 1")
 shared("W4_sequence", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 shared("W5_first_grant", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) x WHERE r = 1")
 shared("A18_label_winner", "SELECT k, text, CASE WHEN n = 1 THEN 'valid' WHEN d = 1 THEN 'identical_duplicate' ELSE 'review_required' END AS status FROM (SELECT concat(conv_id, ':', role) AS k, text, count(*) OVER (PARTITION BY conv_id, role) AS n, CASE WHEN min(text) OVER (PARTITION BY conv_id, role) = max(text) OVER (PARTITION BY conv_id, role) THEN 1 ELSE 2 END AS d, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS r FROM conversations) x WHERE r = 1")
-shared("D3_A17_classify_blocks", "SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'unique' WHEN parts = 1 THEN 'semantic_identical' WHEN paths > 1 AND top = 1 THEN 'resolved_by_source_order' ELSE 'conflicting' END AS class FROM (SELECT x.l_orderkey, x.l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_returnflag) AS paths, count(*) FILTER (WHERE l_returnflag = m) AS top FROM lineitem x JOIN (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS m FROM lineitem GROUP BY l_orderkey, l_linenumber) y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber GROUP BY x.l_orderkey, x.l_linenumber) z")
 shared("A20_semantic_hash", "SELECT conv_id, sha2(concat_ws('\n', array_sort(collect_list(text))), 256) AS digest FROM conversations GROUP BY conv_id", "SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY text)) AS digest FROM conversations GROUP BY conv_id")
 shared("M2_manifest", "SELECT doc_id, sha2(text, 256) AS sha256, length(text) AS chars FROM documents", "SELECT doc_id, sha256(text) AS sha256, length(text) AS chars FROM documents")
-shared("U7_evidence_diff", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.n IS NOT DISTINCT FROM b.n THEN 'current' ELSE 'stale' END AS status FROM (SELECT user_id, count(*) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-10 00:00:00' GROUP BY user_id) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-16 00:00:00' GROUP BY user_id) b ON a.user_id = b.user_id")
-shared("D28_holder_validation", "SELECT o_orderkey, concat_ws('; ', CASE WHEN c_custkey IS NULL THEN 'no holder' END, CASE WHEN c_acctbal < 0 THEN 'holder in debt' END, CASE WHEN o_totalprice > 300000 THEN 'large' END) AS note FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-_RULE = "SELECT '{0}' AS code, CASE WHEN n > 0 THEN 'blocking' ELSE 'passed' END AS classification, n AS affected FROM ({1}) {0}"
-shared("D33_readiness", " UNION ALL ".join(_RULE.format(*x) for x in (
-    ("unlabelled_documents", "SELECT count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL"), ("orphan_orders", "SELECT count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL"),
-    ("orphan_nations", "SELECT count(*) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IS NULL"), ("duplicate_lines", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) d"),
-    ("empty_pages", "SELECT count(*) AS n FROM pages WHERE html IS NULL OR html = ''"), ("impossible_discounts", "SELECT count(*) AS n FROM lineitem WHERE l_discount < 0 OR l_discount > 1"),
-)))
 shared("P3_selector_search", "SELECT p_partkey, p_name FROM part WHERE (p_name ILIKE '%RING%' OR p_brand ILIKE '%RING%') AND p_size > 5")
 shared("P4_like", "SELECT doc_id FROM documents WHERE text LIKE 'The %' OR text LIKE '%token%'")
 shared("P5_in_list", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND user_id NOT IN (1, 2, 3) GROUP BY event_type")
@@ -181,11 +112,12 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).where("parent_title_id LIKE 'k_%'").select("parent_title_id", "title_id", rank.alias("position"))
 
 
-@own("D46_partial_update", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@own("D46_partial_update", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
 def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
-    change = base.where("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit("NONE").alias("c_mktsegment"))
-    return replay.overlay(base, change, "c_custkey", ["c_name", "c_mktsegment"])
+    """A change of nothing leaves a name, a change of the balance isn't allowed."""
+    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    change = base.where("c_custkey % 3 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit("NONE").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"))
+    return replay.overlay(base, change, "c_custkey", ["c_name", "c_mktsegment", "c_acctbal"], fixed=("c_acctbal",), insert=False)
 
 
 def script_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +141,4 @@ def script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.array_join("keys", "/").alias("keys"), "kind", F.when(F.col("kind") == "scalar", F.col("value")).alias("scalar_value"), "line_start", "line_end")
 
 
-@own("S20_html_cells")
-def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_tables.cells(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+from annalist.plans import domain, scripts  # noqa: E402, F401  (they register their queries)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from annalist.functions import script
-from annalist.operators import hierarchy
+from annalist.operators import hierarchy, replay
 from annalist.plans import catalogue
 
 
@@ -36,24 +36,57 @@ def test_script_assignments():
     inner = list(script.assignments(top[0].raw[1:-1], top[0].line_start))
     assert [script.date_key(a.key) for a in inner] == [8670101, 8660231]
     assert [script.scalar(a.raw) for a in script.assignments(inner[0].raw[1:-1])] == ["7", 'a "b"']
-    assert script.date_key("867.13.1") is None
+    assert script.date_key("867.1") is None and script.date_key("867.2.31") == 8670231
+    for bad in ("867.13.1", "867.1.32"):
+        with pytest.raises(ValueError):
+            script.date_key(bad)
     assert script.decoded(b"\xe9") == "é" and script.decoded(b"\xef\xbb\xbfx") == "x"
     with pytest.raises(ValueError):
         list(script.assignments("a = { b = 1"))
 
 
+def test_script_keys_values_and_errors():
+    found = [(a.key, a.raw, a.kind) for a in script.assignments('title:k_x = { holder = 1 } @v = 3 x = b=c key ?= { inner = 2 } NOT = { level < 5 }')]
+    assert found == [("k_x", "{ holder = 1 }", "block"), ("v", "3", "scalar"), ("x", "b=c", "scalar"), ("inner", "2", "scalar"), ("NOT", "{ level < 5 }", "block")]
+    for bad in ('a = "open', 'a = { b = "}', "a = { b = { } "):
+        with pytest.raises(ValueError, match="unclosed"):
+            list(script.assignments(bad))
+    assert script.shape('{ a = { b = 1 c = "x" } d = yes }') == "a{b=<scalar>+c=<scalar>}+d=<scalar>"
+
+
 def test_script_history(spark):
     files = spark.createDataFrame([("a.txt", b"k_x = { name = y 867.1.1 = { holder = 7 } 868.1.1 = { holder = 0 government = g } }"), ("b.txt", b"")], "path string, content binary")
     rows = [(r.entity_id, r.declaration_order, r.effective_date, r.operation_key, r.raw_value) for r in script.history(files).orderBy("declaration_order").collect()]
     assert rows == [("k_x", 0, None, "name", "y"), ("k_x", 1, 8670101, "holder", "7"), ("k_x", 2, 8680101, "holder", "0"), ("k_x", 3, 8680101, "government", "g")]
+    titles = script.history(files, script.TITLE_ID, static=False)
+    assert [(r.operation_key, r.operation_order) for r in titles.orderBy("declaration_order").collect()] == [("holder", 1), ("holder", 1), ("government", 2)]
+    with pytest.raises(Exception, match="impossible date"):
+        script.history(spark.createDataFrame([("a", b"k_x = { 867.13.1 = { holder = 7 } }")], "path string, content binary")).collect()
 
 
 def test_hierarchy_outcomes(spark):
     rows = [("e_1", None), ("k_1", "e_1"), ("d_1", "k_1"), ("c_1", "d_1"), ("b_1", "c_1"), ("c_2", "e_1"), ("c_3", "d_9"), ("d_2", "k_1"), ("d_2", "k_1"), ("k_2", "k_3"), ("k_3", "k_2")]
-    got = {r.title_id: r.warning for r in hierarchy.validated(spark.createDataFrame(rows, "title_id string, parent_title_id string")).collect()}
+    got = {r.title_id: r.warning for r in hierarchy.validated(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "title_id string, parent_title_id string, source_order long")).collect()}
     assert got == {"e_1": None, "k_1": None, "d_1": None, "c_1": None, "b_1": None, "c_2": "non-canonical rank chain: ce", "c_3": "missing parent title: d_9", "d_2": "duplicate title declarations", "k_2": "cyclic parent hierarchy", "k_3": "cyclic parent hierarchy"}
 
 
-def test_html_cells_query(spark, sf_dir):
-    assert catalogue.QUERIES["S20_html_cells"](spark, sf_dir).columns == ["id", "row_number", "cells"]
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"S20_html_cells"}
+def test_every_query_has_an_oracle():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def test_resolved_chains(spark):
+    titles = [("e_1", "empire", None, True), ("k_1", "kingdom", "e_1", True), ("d_1", "duchy", "k_1", True), ("c_1", "county", "d_1", True), ("b_1", "barony", "c_1", True), ("c_2", "county", "k_1", True), ("b_2", "barony", "c_2", True), ("c_3", "county", None, True), ("b_9", "barony", "c_1", False), ("e_2", "empire", "e_1", True)]
+    frame = spark.createDataFrame(titles, "title_id string, title_rank string, parent_title_id string, selectable boolean")
+    starts = spark.createDataFrame([(x,) for x in ("b_1", "k_1", "b_2", "c_3", "b_9", "e_2", "zz")], "title_id string")
+    got = {r.title_id: (r.error, r.empire, r.barony) for r in hierarchy.resolved(starts, frame).collect()}
+    assert got == {
+        "b_1": (None, "e_1", "b_1"), "k_1": (None, "e_1", None), "b_2": ("Invalid parent for title: c_2", None, None), "c_3": ("Incomplete title hierarchy above: c_3", None, None), "b_9": ("Unknown or non-selectable title: b_9", None, None),
+        "e_2": ("Empire title cannot have a parent title", None, None), "zz": ("Unknown or non-selectable title: zz", None, None),
+    }
+
+
+def test_overlay_refuses_repeated_keys(spark):
+    base = spark.createDataFrame([(1, 2)], "k int, v int")
+    assert replay.overlay(base, base.limit(0), "k", ["v"]).collect() == [(1, 2)]
+    with pytest.raises(Exception, match="repeated"):
+        replay.overlay(base, base.union(base), "k", ["v"]).collect()

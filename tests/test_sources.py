@@ -84,14 +84,29 @@ def test_sinks_and_stream(spark, tmp_path):
     sinks.replace_slice(rows, f"{tmp_path}/slices", ["owner"])
     sinks.replace_slice(rows.where("owner = 'a'").selectExpr("owner", "v + 10 AS v"), f"{tmp_path}/slices", ["owner"])
     assert {(r.owner, r.v) for r in spark.read.parquet(f"{tmp_path}/slices").collect()} == {("a", 11), ("b", 2)}
+    sinks.replace_slice(rows.limit(0), f"{tmp_path}/slices", ["owner"], rows.where("owner = 'a'"))
+    assert {(r.owner, r.v) for r in spark.read.parquet(f"{tmp_path}/slices").collect()} == {("b", 2)}
     more = spark.createDataFrame([("b", 9), ("c", 3)], "owner string, v int")
     for overwrite, want in ((True, 9), (False, 2)):
         path = f"{tmp_path}/keyed{overwrite}"
         sinks.upsert(rows, path, ["owner"])
         sinks.upsert(more, path, ["owner"], overwrite)
         assert {(r.owner, r.v) for r in sinks.read_version(spark, path).collect()} == {("a", 1), ("b", want), ("c", 3)}
+    for _ in range(3):
+        sinks.publish(rows, f"{tmp_path}/versions")
+    assert len(sinks._versions(spark, f"{tmp_path}/versions")) == sinks.KEPT and sinks.read_version(spark, f"{tmp_path}/versions").count() == 2
+    first = sinks._versions
+    try:
+        # Another writer that knew as much publishes first.
+        stale = first(spark, f"{tmp_path}/versions")[:1]
+        sinks._versions = lambda *x: stale
+        with pytest.raises(RuntimeError, match="another writer"):
+            sinks.publish(rows, f"{tmp_path}/versions")
+    finally:
+        sinks._versions = first
+    assert sinks.read_version(spark, f"{tmp_path}/versions").count() == 2
     schema = "id long, key string, at timestamp, v int"
     for batch in ([(1, "x", "2024-01-02", 1), (1, "x", "2024-01-02", 1)], [(2, "x", "2024-01-03", 2), (3, "x", "2024-01-01", 3), (4, "y", "2024-01-01", 4)]):
         spark.createDataFrame(batch, "id long, key string, at string, v int").selectExpr("id", "key", "cast(at AS timestamp) AS at", "v").write.mode("append").parquet(f"{tmp_path}/in")
         observations.keep_latest(observations.observed(spark, f"{tmp_path}/in", schema), "key", "id", "at", f"{tmp_path}/latest", f"{tmp_path}/state", "30 days").awaitTermination()
-    assert {(r.key, r.v) for r in sinks.read_version(spark, f"{tmp_path}/latest").collect()} == {("x", 2), ("y", 4)}
+    assert {(r.key, r.v) for r in observations.latest(spark, f"{tmp_path}/latest", schema).collect()} == {("x", 2), ("y", 4)}
