@@ -74,7 +74,6 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.keyed_replace(base, base.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"])
 
 
-shared("J3_inspection", "SELECT o.o_orderkey, c.c_name, coalesce(c.c_mktsegment, 'none') AS segment, n.n_name, r.r_name, l.lines, l.flags FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_nationkey <> 3 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN (SELECT l_orderkey, count(*) AS lines, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey")
 shared("J4_literal_in_on", "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name = 'ASIA'")
 shared("J5_unresolved_ids", "SELECT count(DISTINCT d.doc_id) AS unresolved FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
 shared("J6_U2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -85,7 +84,6 @@ shared("J15_lookup_default", "SELECT p_partkey, coalesce(s_name, 'unobserved') A
 shared("A1_A3_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(DISTINCT o_custkey) AS customers FROM orders")
 shared("A4_group_all", "SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(c_custkey) FILTER (WHERE c_acctbal < 0) AS indebted FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 shared("A5_group_count", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
-shared("A6_rollup_names", "SELECT r_name, coalesce(listagg(DISTINCT concat(n_name, ' [', n_nationkey, ']'), ', ') WITHIN GROUP (ORDER BY concat(n_name, ' [', n_nationkey, ']')), 'none') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name", "SELECT r_name, coalesce(string_agg(DISTINCT concat(n_name, ' [', n_nationkey, ']'), ', ' ORDER BY concat(n_name, ' [', n_nationkey, ']')), 'none') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 shared("W1_latest_run", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r = 1")
 shared("W4_sequence", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 shared("W5_first_grant", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) x WHERE r = 1")

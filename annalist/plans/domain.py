@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import baselines, classify, freeze, hierarchy, readiness, replay, states, summary
+from annalist.operators import baselines, classify, freeze, hierarchy, inspection, readiness, replay, states, summary
 from annalist.plans.registry import TITLES, day, own, run_sql, shared, titles
 from annalist.sources import sinks
 
@@ -656,3 +656,47 @@ def catalog_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run_sql(spark, sf_dir, "SELECT concat('p', c_custkey) AS id FROM customer")
     labels = run_sql(spark, sf_dir, "SELECT concat('p', p_partkey) AS localization_key, p_name AS display_name FROM part WHERE p_size > 5")
     return freeze.catalog_labels(rows, labels, run_sql(spark, sf_dir, "SELECT concat('p', c_custkey) AS id FROM customer WHERE c_acctbal < -900"))[0]
+
+
+# --- read models
+
+_PROFILE = {
+    "baseline": "SELECT '0867-01-01' AS baseline_date, 'candidate' AS support_status, false AS historical_state_complete, 's' AS reference_snapshot_id", "snapshot": "SELECT 's' AS reference_snapshot_id, '1.19' AS game_version, '7' AS steam_build_id",
+    "titles": "SELECT concat('t', o_orderkey) AS title_id, o_orderpriority AS display_name, 'county' AS title_rank, concat('d', o_custkey) AS parent_title_id, o_orderstatus = 'F' AS selectable, CASE WHEN o_orderkey % 9 = 0 THEN 'warning' ELSE 'valid' END AS validation_status, CAST(NULL AS varchar(40)) AS validation_note FROM orders",
+    "states": "SELECT concat('t', l_orderkey) AS title_id, concat('h', max(l_suppkey)) AS holder, 'declared' AS holder_status, CASE WHEN max(l_linenumber) > 5 THEN 'not_evaluated' ELSE 'declared_static' END AS capital_status, CASE WHEN max(l_quantity) > 49 THEN 'warning' ELSE 'valid' END AS validation_status, 'not evaluated: effect' AS validation_note FROM lineitem GROUP BY l_orderkey",
+    "validations": "SELECT concat('t', l_orderkey) AS title_id, 'found' AS declaration_status, CASE WHEN min(l_quantity) < 2 THEN 'warning' ELSE 'valid' END AS validation_status, 'holder lifecycle is unknown' AS validation_note FROM lineitem GROUP BY l_orderkey",
+    "adjudications": "SELECT concat('t', c_custkey) AS title_id, concat('h', c_nationkey) AS resolved_id, 'immediate_save' AS evidence_kind, CASE WHEN c_acctbal > 0 THEN 'reviewed' ELSE 'candidate' END AS review_status FROM customer",
+    "de_jure": "SELECT concat('t', p_partkey) AS title_id, p_brand AS de_jure_liege FROM part", "tributaries": "SELECT concat('t', s_suppkey) AS title_id, s_name AS suzerain, 'g' AS contract_group FROM supplier", "names": "SELECT concat('t', n_nationkey) AS title_id, n_name AS localization_key, lower(n_name) AS display_name FROM nation",
+    "characters": "SELECT concat('h', s_suppkey) AS character_id, s_name AS display_name, 'male' AS sex, concat('cu', s_nationkey) AS culture_id, CASE WHEN s_acctbal < 0 THEN 'warning' ELSE 'valid' END AS validation_status, '' AS validation_note FROM supplier",
+}
+
+
+@own("J3_inspection", f"""SELECT t.title_id, t.selectable, game_version, coalesce(a.resolved_id, ts.holder) AS holder_character_id, ts.holder AS declared, a.evidence_kind, dj.de_jure_liege, tr.suzerain, n.display_name AS override, hv.declaration_status, cs.display_name AS holder_name,
+concat_ws('; ', CASE WHEN t.validation_status = 'warning' THEN 'Hierarchy: review required' END, CASE WHEN ts.validation_status = 'warning' THEN concat('Title history: ', ts.validation_note) END, CASE WHEN hv.validation_status = 'warning' THEN concat('Holder: ', hv.validation_note) END, CASE WHEN cs.validation_status = 'warning' THEN 'Character: review required' END, CASE WHEN capital_status = 'not_evaluated' THEN 'Capital: static and scripted capital resolution is not loaded yet' END) AS warnings
+FROM ({_PROFILE["titles"]}) t JOIN ({_PROFILE["baseline"]}) b ON true JOIN ({_PROFILE["snapshot"]}) s USING (reference_snapshot_id) LEFT JOIN ({_PROFILE["states"]}) ts ON ts.title_id = t.title_id LEFT JOIN ({_PROFILE["validations"]}) hv ON hv.title_id = t.title_id LEFT JOIN ({_PROFILE["adjudications"]}) a ON a.title_id = t.title_id AND a.review_status = 'reviewed'
+LEFT JOIN ({_PROFILE["de_jure"]}) dj ON dj.title_id = t.title_id LEFT JOIN ({_PROFILE["tributaries"]}) tr ON tr.title_id = t.title_id LEFT JOIN ({_PROFILE["names"]}) n ON n.title_id = t.title_id LEFT JOIN ({_PROFILE["characters"]}) cs ON cs.character_id = coalesce(a.resolved_id, ts.holder)""")
+def title_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inspection.titles(inspection.Profile(**{name: run_sql(spark, sf_dir, q) for name, q in _PROFILE.items()}))
+    return rows.select(
+        "title_id", "selectable", "game_version", "holder_character_id", F.col("history_holder").alias("declared"), F.col("adjudicated_evidence_kind").alias("evidence_kind"), "de_jure_liege", "suzerain", F.col("override_display_name").alias("override"),
+        F.col("holder_declaration_status").alias("declaration_status"), F.col("character_display_name").alias("holder_name"), F.array_join("warnings", "; ").alias("warnings"),
+    )
+
+
+@own("D36_children", f"SELECT parent_title_id, CAST(row_number() OVER (PARTITION BY parent_title_id ORDER BY display_name, title_id) AS INT) AS position, title_id FROM ({_PROFILE['titles']}) t")
+def title_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspection.children(run_sql(spark, sf_dir, _PROFILE["titles"]))
+
+
+_MARKS = "SELECT r_name AS bookmark_id, '0867-01-01' AS effective_start_date FROM region"
+_NEEDS = "SELECT r_name AS bookmark_id, n_name AS requirement_value, CASE WHEN n_nationkey % 4 = 0 THEN 'raw_flag' ELSE 'resolved' END AS resolution_status, concat('pkg', n_nationkey % 3) AS resolved_package_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2"
+_PACKAGES = "SELECT concat('pkg', r_regionkey) AS package_id, r_name AS display_name FROM region"
+
+
+@own("A6_rollup_names", f"""SELECT bookmark_id, coalesce(display_value, bookmark_id) AS display_name, effective_start_date, (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = bookmark_id AND n_nationkey % 2 = 0) AS featured_count,
+coalesce((SELECT string_agg(DISTINCT x, ', ' ORDER BY x) FROM (SELECT bookmark_id AS b, CASE WHEN resolution_status = 'resolved' THEN concat(display_name, ' [', package_id, ']') ELSE concat(requirement_value, ' [unresolved]') END AS x FROM ({_NEEDS}) n LEFT JOIN ({_PACKAGES}) p ON package_id = resolved_package_id) y WHERE b = bookmark_id), 'Core game') AS dlc_requirements
+FROM ({_MARKS}) m LEFT JOIN (SELECT r_name AS localization_key, concat('Label ', r_name) AS display_value FROM region WHERE r_regionkey <> 1) l ON localization_key = bookmark_id""")
+def bookmark_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = run_sql(spark, sf_dir, "SELECT r_name AS localization_key, concat('Label ', r_name) AS display_value FROM region WHERE r_regionkey <> 1")
+    people = run_sql(spark, sf_dir, "SELECT r_name AS bookmark_id, CASE WHEN n_nationkey % 2 = 0 THEN 'featured' ELSE 'related' END AS character_kind FROM nation JOIN region ON n_regionkey = r_regionkey")
+    return inspection.bookmarks(run_sql(spark, sf_dir, _MARKS), labels, people, run_sql(spark, sf_dir, _NEEDS), run_sql(spark, sf_dir, _PACKAGES))

@@ -200,6 +200,22 @@ def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_files.clipboard(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "review_status")
 
 
+@own("F6_decoded", "SELECT s_suppkey, concat(CASE WHEN s_suppkey % 3 = 0 THEN 'é ' WHEN s_suppkey % 3 = 1 THEN 'ü ' ELSE '€ ' END, s_name) AS said FROM supplier")
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 with a byte-order mark, UTF-8 without, and Windows-1252."""
+    mark, at = F.unhex(F.lit("EFBBBF")), F.col("s_suppkey") % 3
+    text = F.format_string('a = "%s %s"', F.when(at == 0, "é").otherwise("ü"), "s_name")
+    raw = F.when(at == 0, F.concat(mark, F.encode(text, "UTF-8"))).when(at == 1, F.encode(text, "UTF-8")).otherwise(F.concat(F.encode(F.lit('a = "'), "UTF-8"), F.unhex(F.lit("80")), F.encode(F.concat(F.lit(" "), "s_name", F.lit('"')), "UTF-8")))
+    rows = script_files.declarations(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), raw.alias("content")), 1)
+    return rows.select(F.col("path").cast("long").alias("s_suppkey"), F.col("value").alias("said"))
+
+
+@own("F16_canonical_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 14 BETWEEN 1 AND 12 AND o_orderkey % 33 BETWEEN 1 AND 31 THEN concat(lpad(CAST(o_orderkey % 1500 AS VARCHAR), 4, '0'), '-', lpad(CAST(o_orderkey % 14 AS VARCHAR), 2, '0'), '-', lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0')) END AS d FROM orders")
+def canonical_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.format_string("%d.%d.%d", F.col("o_orderkey") % 1500, F.col("o_orderkey") % 14, F.col("o_orderkey") % 33)
+    return table(spark, sf_dir, "orders").select("o_orderkey", bookmarks.canonical_date(said).alias("d"))
+
+
 # --- bookmarks and packages
 
 
