@@ -1,16 +1,16 @@
 """Title hierarchies: ancestors of all titles, validation, flattening, capitals, and the checked chain above a starting title.
 
-Ancestors are resolved from the top. The parents of all titles are a much smaller set than the titles, their parents a smaller one again;
-each set's chains are those of the next set with one title put before. So only the first join is of full size, and the last ones
-have few rows on their right side, which AQE broadcasts once it sees their size. What is still open after HOPS levels is deep or
-cyclic; these few are settled by a recursive query.
+A title's rank is in its id, and on a sound way up ranks only rise. So after k hops an ancestor is of the k-th rank above the lowest at least, and the table
+that hop k joins has the titles of those ranks alone: it shrinks from rank to rank, only the first join is a large one, and AQE broadcasts the right sides of
+the others once it sees their size. Edges that don't rise are marked and not followed; these few titles are walked up by a recursive query, and what lies
+below them takes over their chain.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANKS = "bcdke"
@@ -30,10 +30,12 @@ def rank_of(title: Column) -> Column:
 
 
 def declared(titles: DataFrame, last: bool = False) -> DataFrame:
-    """One row a title: (title_id, parent_title_id, n) by its first declaration (or last) and how many there are. titles: title_id, parent_title_id, source_order."""
-    pick = F.max_by if last else F.min_by
-    order = F.struct("source_order", F.coalesce("parent_title_id", F.lit("")))
-    return titles.groupBy("title_id").agg(pick(F.struct("parent_title_id"), order).alias("_p"), F.count("*").alias("n")).select("title_id", F.col("_p.parent_title_id").alias("parent_title_id"), "n")
+    """One row a title: (title_id, parent_title_id, n, source_order) by its first declaration (or last), how many there are, and the place of the first. titles: title_id, parent_title_id, source_order."""
+    # The least (or greatest) of a struct is that of its first field. Texts in an aggregate are sorted for; dealt by title first, rows are sorted
+    # once instead of before and after the shuffle. A title has few declarations, so nothing is gained by combining them before.
+    pick = F.max if last else F.min
+    one = titles.select("title_id", "parent_title_id", "source_order").repartition("title_id").groupBy("title_id").agg(pick(F.struct("source_order", F.coalesce("parent_title_id", F.lit("")).alias("p"))).alias("_p"), F.count("*").alias("n"), F.min("source_order").alias("source_order"))
+    return one.select("title_id", F.nullif("_p.p", F.lit("")).alias("parent_title_id"), "n", "source_order")
 
 
 #: Walks up from a few titles; the path is the cycle guard. Spark refuses more levels than spark.sql.cteRecursionLevelLimit, so a chain is never cut silently.
@@ -51,28 +53,34 @@ def _deep(nodes: DataFrame, first: DataFrame) -> DataFrame:
     return ends.select("title_id", "x.path", F.when(~F.col("x.cyclic"), F.col("x.next")).alias("missing"), F.col("x.cyclic").alias("cyclic"))
 
 
-def chains(nodes: DataFrame) -> DataFrame:
+def _level(column: str) -> Column:
+    """1 for a barony to 5 for an empire, 0 for what is no title."""
+    return F.expr(f"locate(substring({column}, 1, 1), '{RANKS}')")
+
+
+def chains(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(title_id, path, missing, cyclic) of every title: its ancestors from the parent up as far as they exist, the first that doesn't, and whether
-    the way up runs in a circle (the path is then of no use). nodes: title_id (unique), parent_title_id."""
+    the way up runs in a circle (the path is then of no use). nodes: title_id (unique), parent_title_id; its other columns are kept.
+    edges: what nodes were chosen from, if it is cheaper to look for edges that don't rise there."""
     own = nodes.select("title_id", "parent_title_id")
-    levels = [own]
-    for _ in range(HOPS):
-        parents = levels[-1].where("parent_title_id is not null").select(F.col("parent_title_id").alias("title_id")).distinct()
-        levels.append(own.join(parents, "title_id"))
-    top = levels[-1]
-    rest = top.where("parent_title_id is not null")
-    found = top.where("parent_title_id is null").select("title_id", F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("missing"), F.lit(False).alias("cyclic"))
-    if not rest.isEmpty():
-        found = found.unionByName(_deep(own, rest))
-    for level in reversed(levels[:-1]):
-        above = found.select(F.col("title_id").alias("parent_title_id"), F.col("path").alias("_path"), F.col("missing").alias("_missing"), F.col("cyclic").alias("_cyclic"))
-        rows = level.join(above, "parent_title_id", "left")
-        known = F.col("_path").isNotNull()
-        found = rows.select(
-            "title_id", F.when(known, F.concat(F.array("parent_title_id"), "_path")).otherwise(F.array().cast(_PATH)).alias("path"),
-            F.when(known, F.col("_missing")).otherwise(F.col("parent_title_id")).alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"),
-        )
-    return found
+    extra = [c for c in nodes.columns if c not in own.columns]
+    turns = F.col("parent_title_id").isNotNull() & (_level("parent_title_id") <= _level("title_id"))
+    marked = own.select("title_id", F.when(~F.coalesce(turns, F.lit(False)), F.col("parent_title_id")).alias("up"), F.coalesce(turns, F.lit(False)).alias("turn"))
+    rows = nodes.select("title_id", *extra, F.when(~F.coalesce(turns, F.lit(False)), F.col("parent_title_id")).alias("p1"), F.coalesce(turns, F.lit(False)).alias("t0"))
+    for k in range(1, HOPS):
+        step = marked.where(_level("title_id") > k).select(F.col("title_id").alias(f"p{k}"), F.col("up").alias(f"p{k + 1}"), F.col("turn").alias(f"t{k}"))
+        rows = rows.join(step, f"p{k}", "left")
+    there = [F.col(f"t{k}").isNotNull() for k in range(1, HOPS)]
+    path = F.array_compact(F.array(*[F.when(there[k - 1], F.col(f"p{k}")) for k in range(1, HOPS)]))
+    missing = F.coalesce(*[F.when(~there[k - 1], F.col(f"p{k}")) for k in range(1, HOPS)])
+    turn = F.coalesce(F.when(F.col("t0"), F.col("title_id")), *[F.when(F.col(f"t{k}"), F.col(f"p{k}")) for k in range(1, HOPS)])
+    found = rows.select("title_id", *extra, path.alias("path"), missing.alias("missing"), turn.alias("_turn"))
+    odd = own.where(turns)
+    if (odd if edges is None else edges.where(turns)).isEmpty():
+        return found.select("title_id", *extra, "path", "missing", F.lit(False).alias("cyclic"))
+    above = _deep(own, odd).select(F.col("title_id").alias("_turn"), F.col("path").alias("_path"), F.col("missing").alias("_missing"), F.col("cyclic").alias("_cyclic"))
+    both = found.join(above, "_turn", "left")
+    return both.select("title_id", *extra, F.concat("path", F.coalesce("_path", F.array().cast(_PATH))).alias("path"), F.coalesce("missing", "_missing").alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"))
 
 
 def validated(titles: DataFrame) -> DataFrame:
@@ -81,8 +89,7 @@ def validated(titles: DataFrame) -> DataFrame:
     ranks = F.concat(F.substring("title_id", 1, 1), F.array_join(F.transform("path", lambda x: F.substring(x, 1, 1)), ""))
     wanted = F.expr(f"substring('{RANKS}', instr('{RANKS}', substring(title_id, 1, 1)))")
     warning = F.when(F.col("n") > 1, "duplicate title declarations").when(F.col("cyclic"), "cyclic parent hierarchy").when(F.col("missing").isNotNull(), F.concat(F.lit("missing parent title: "), "missing")).when(ranks != wanted, F.concat(F.lit("non-canonical rank chain: "), ranks))
-    rows = chains(nodes).join(nodes.select("title_id", "n"), "title_id")
-    return rows.select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
+    return chains(nodes, titles).select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
 
 
 def first_child(titles: DataFrame, order: str) -> DataFrame:
@@ -104,18 +111,17 @@ def flattened(titles: DataFrame) -> DataFrame:
 
     Of several declarations of a title the last counts. titles: title_id, parent_title_id, source_order.
     """
-    nodes = declared(titles, last=True)
-    placed = titles.groupBy("title_id").agg(F.min("source_order").alias("source_order"))
-    leaves = chains(nodes).where("title_id like 'b%' and size(path) >= 2").join(placed, "title_id")
-    first = leaves.groupBy(F.get("path", F.lit(0)).alias("county")).agg(F.min_by("title_id", F.struct("source_order", "title_id")).alias("capital"))
-    rows = leaves.select(F.col("title_id").alias("barony"), *[F.get("path", F.lit(k)).alias(name) for k, name in enumerate(("county", "duchy", "kingdom", "empire"))])
-    return rows.join(first, "county").select("barony", "county", "duchy", "kingdom", "empire", (F.col("barony") == F.col("capital")).alias("is_county_capital"))
+    nodes = declared(titles, last=True).drop("n")
+    leaves = chains(nodes, titles).where("title_id like 'b%' and size(path) >= 2")
+    first = F.min(F.struct("source_order", "title_id")).over(Window.partitionBy(F.get("path", F.lit(0))))
+    rows = leaves.select("title_id", "path", (first["title_id"] == F.col("title_id")).alias("is_county_capital"))
+    return rows.select(F.col("title_id").alias("barony"), *[F.get("path", F.lit(k)).alias(name) for k, name in enumerate(("county", "duchy", "kingdom", "empire"))], "is_county_capital")
 
 
 def resolved(starts: DataFrame, titles: DataFrame) -> DataFrame:
     """The chain above each starting title (title_id): empire, kingdom, duchy, county, barony and `error`, null where it is whole. titles: title_id, title_rank, parent_title_id, selectable."""
-    open_titles = titles.where("selectable").select("title_id", "parent_title_id", F.col("title_rank"))
-    rows = starts.select("title_id").join(chains(open_titles), "title_id", "left").join(open_titles, "title_id", "left")
+    open_titles = titles.where("selectable").select("title_id", "parent_title_id", "title_rank")
+    rows = starts.select("title_id").join(chains(open_titles), "title_id", "left")
     # A title's rank is read off its letter; the ladder from the starting rank up is what the path must show.
     below = F.array_position(F.array(*map(F.lit, LADDER)), F.col("title_rank")).cast("int")
     whole = F.concat(F.array("title_id"), "path")
@@ -134,10 +140,9 @@ def resolved(starts: DataFrame, titles: DataFrame) -> DataFrame:
         .when(F.col("missing").isNotNull(), F.concat(F.lit("Invalid parent for title: "), F.element_at(whole, -1)))
         .when(size < need, F.concat(F.lit("Incomplete title hierarchy above: "), F.element_at(whole, -1)))
     )
-    ranked = F.map_from_arrays(shown, whole)
-    return rows.select("title_id", error.alias("error")).join(
-        rows.where(error.isNull()).select("title_id", *[F.try_element_at(ranked, F.lit(r)).alias(r) for r in reversed(LADDER)]), "title_id", "left"
-    )
+    # A chain with an error may show a rank twice, so the map is of sound ones.
+    ranked = F.when(error.isNull(), F.map_from_arrays(shown, whole))
+    return rows.select("title_id", error.alias("error"), *[F.try_element_at(ranked, F.lit(r)).alias(r) for r in reversed(LADDER)])
 
 
 def ancestors(leaves: DataFrame, titles: DataFrame) -> DataFrame:
