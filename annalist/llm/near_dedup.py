@@ -40,7 +40,7 @@ THRESHOLD = 75
 BANDS, BINS = 28, 4
 T = BANDS * BINS
 #: Nodes of a bucket, and shingles of them all (8 bytes each), that are compared in memory; the share of equal bins from which
-#: full sets are compared (at the threshold a pair has less with probability 2e-8, binomial); pairs compared at once.
+#: full sets are compared (at the threshold a pair has less with probability 4e-9, binomial); pairs compared at once.
 BUCKET, BUCKET_SHINGLES, LIKELY, STEP = 2048, 2_000_000, 0.5, 64
 #: In larger buckets up to this many nodes outside the main component are compared with all others; those with more are cut by
 #: bands of another grouping of the bins, up to LEVELS in all.
