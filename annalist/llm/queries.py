@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import bpe, decontamination, html_content, near_dedup, quality, repeats, secrets, sharding, transport, wordpiece
+from annalist.llm import bpe, clusters, decontamination, html_content, manifest, near_dedup, pieces, quality, repeats, secrets, sharding, transport, wordpiece
 from annalist.llm.common import documents
 
 #: Vocabulary files, by the installed package that holds them.
@@ -85,6 +85,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(manifest.tree(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary(PIECES_FILE)
+    return pieces.digests(pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)).withColumnRenamed("id", "doc_id")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centroid = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return clusters.cluster(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_transport_streams, op2_byte_bpe, op3_quality_model, op4_token_counts, op5_hash_tree, op6_decontamination, op7_secret_scan, op8_html_content, op9_repeated_windows, op10_near_dedup, pipeline, secret_base_counts)
+    own = (op1_transport_streams, op2_byte_bpe, op3_quality_model, op4_token_counts, op5_hash_tree, op6_decontamination, op7_secret_scan, op8_html_content, op9_repeated_windows, op10_near_dedup, op11_merkle_manifest, op12_piece_bpe, op13_centroid_clusters, pipeline, secret_base_counts)
     return {f.__name__: f for f in own}
 
 
@@ -131,6 +145,79 @@ from sized z left join least l on l.node = z.doc_id
 """
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value})::varchar || ':' || {value}, '-')"
+
+
+def _merkle(source_levels: int = 7, top_levels: int = 4) -> str:
+    """Levels are unrolled; a tree with fewer passes its root through. 16**7 rows a source and 16**4 sources are enough for the tables at hand."""
+
+    def level(k: int, of: str) -> str:
+        """Runs of level k, and level k + 1."""
+        return f"""
+{of}r{k} as materialized (select tree, i // 16 as r, n, list(d order by i) as ds from {of}{k} group by all),
+{of}{k + 1} as materialized (select tree, r as i, (n + 15) // 16 as n, case when n = 1 then ds[1] else sha256(array_to_string(ds, '')) end as d from {of}r{k}),"""
+
+    def climb(at: int, k: int, of: str) -> str:
+        """Each leaf's fold and its siblings, one level up."""
+        before, after = "array_to_string(ds[1 : pos % 16], '')", "array_to_string(ds[pos % 16 + 2 :], '')"
+        return f"""
+w{at + 1} as (select w.* exclude (pos, have, proof), pos // 16 as pos, case when n = 1 then have else sha256({before} || have || {after}) end as have,
+  case when n = 1 then proof else proof || {before} || {after} end as proof from w{at} w join {of}r{k} on {of}r{k}.tree = {'w.tree' if of == 'a' else '0'} and r = pos // 16),"""
+
+    fixed = ", ".join(_field(c) for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "list_reduce(list_prepend({x}, range(8)::bigint[]), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda h, c: {step.format(x='xor(h, c)')}), 4294967295)"
+    return f"""
+with leaves as materialized (
+  select doc_id, source, dense_rank() over (order by source nulls first) - 1 as tree, sha256(concat({fixed}, {_field('text')})) as leaf,
+    case when coalesce({crc} % 5 = 0, false) then sha256(concat({fixed}, {_field(low)})) end as changed from documents),
+w0 as materialized (
+  select doc_id, leaf, tree, tree as top, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, coalesce(changed, leaf) as have, '' as proof from leaves),
+a0 as materialized (select tree, pos as i, count(*) over (partition by tree) as n, leaf as d from w0),
+{''.join(level(k, 'a') for k in range(source_levels))}
+t0 as materialized (select 0 as tree, tree as i, count(*) over () as n, d from a{source_levels}),
+{''.join(level(k, 't') for k in range(top_levels))}
+{''.join(climb(k, k, 'a') for k in range(source_levels))}
+u as materialized (select * replace (top as pos) from w{source_levels}),
+{climb(source_levels, 0, 't').replace(f'from w{source_levels} w', 'from u w')}
+{''.join(climb(source_levels + k, k, 't') for k in range(1, top_levels))}
+root as (select d from t{top_levels})
+select doc_id, leaf, a{source_levels}.d as subroot, root.d as root, sha256(proof) as proof_sha256, have as folded_root, have = root.d as verified
+from w{source_levels + top_levels} w join a{source_levels} on a{source_levels}.tree = w.top cross join root
+"""
+
+
+def _clusters(clusters: int = 40, rounds: int = 5) -> str:
+    """Rounds are unrolled: assignments a0, a1, ... to centroids c0, c1, ..."""
+
+    def assign(k: int) -> str:
+        return f"""
+a{k} as materialized (
+  select r, any_value(id) as id, any_value(v) as v, min({{'d': list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'c': c}}) as best
+  from kept cross join c{k} group by r),"""
+
+    def move(k: int) -> str:
+        return f"""
+s{k} as (select c, j, sum(x) as s, count(*) as n from (select best.c as c, unnest(v) as x, generate_subscripts(v, 1) as j from a{k}) group by all),
+c{k + 1} as materialized (
+  select c{k}.c, coalesce(m.w, c{k}.w) as w from c{k} left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as w from s{k} group by c) m on m.c = c{k}.c),"""
+
+    return f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by sha256('2:' || id::varchar) nulls last, v) - 1 as c, v as w from kept qualify c < {clusters}),
+{''.join(assign(k) + move(k) for k in range(rounds))}
+{assign(rounds)}
+f as (select id as vec_id, best.c::int as cluster, best.d as distance from a{rounds})
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(array_to_string(w, ',')) as centroid_sha256
+from f join c{rounds} on c{rounds}.c = cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL expresses as a whole. The other operators are held against brute force in tests."""
-    return {"op10_near_dedup": NEAR_DEDUP, "secret_base_counts": SECRET_COUNTS}
+    return {"op10_near_dedup": NEAR_DEDUP, "op11_merkle_manifest": _merkle(), "op13_centroid_clusters": _clusters(), "secret_base_counts": SECRET_COUNTS}
