@@ -2,17 +2,18 @@
 
 A title's rank is in its id, and on a sound way up ranks only rise. So after k hops an ancestor is of the k-th rank above the lowest at least, and the table
 that hop k joins has the titles of those ranks alone: it shrinks from rank to rank, only the first join is a large one, and AQE broadcasts the right sides of
-the others once it sees their size. Edges that don't rise are marked and not followed; these few titles are walked up by a recursive query, and what lies
-below them takes over their chain.
+the others once it sees their size. Edges that don't rise are marked and not followed: their titles are nodes of a smaller table, each pointing to the next such title
+above, and pointer doubling resolves it in as many rounds as the logarithm of the longest way; what lies below takes over their chain.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators import pointers
+from annalist.session import written
+
 RANKS = "bcdke"
 HOPS = 5
 #: Rank by letter, and the rank that a rank's parent must have.
@@ -38,21 +39,6 @@ def declared(titles: DataFrame, last: bool = False) -> DataFrame:
     return one.select("title_id", F.nullif("_p.p", F.lit("")).alias("parent_title_id"), "n", "source_order")
 
 
-#: Walks up from a few titles; the path is the cycle guard. Spark refuses more levels than spark.sql.cteRecursionLevelLimit, so a chain is never cut silently.
-_WALK = """WITH RECURSIVE up(title_id, next, path, cyclic, hops) AS (
-    SELECT title_id, parent_title_id, CAST(array() AS array<string>), title_id <=> parent_title_id, 0 FROM {first}
-    UNION ALL
-    SELECT up.title_id, n.parent_title_id, array_append(up.path, up.next), n.parent_title_id <=> up.title_id OR coalesce(array_contains(array_append(up.path, up.next), n.parent_title_id), false), up.hops + 1
-    FROM up JOIN {nodes} n ON n.title_id = up.next WHERE NOT up.cyclic)
-SELECT title_id, max_by(struct(next, path, cyclic), hops) AS x FROM up GROUP BY title_id"""
-
-
-def _deep(nodes: DataFrame, first: DataFrame) -> DataFrame:
-    """Chains of few titles: (title_id, path, missing, cyclic). nodes: all (title_id, parent_title_id); first: (title_id, parent_title_id) to resolve."""
-    ends = nodes.sparkSession.sql(_WALK, first=first, nodes=nodes)
-    return ends.select("title_id", "x.path", F.when(~F.col("x.cyclic"), F.col("x.next")).alias("missing"), F.col("x.cyclic").alias("cyclic"))
-
-
 def _level(column: str) -> Column:
     """1 for a barony to 5 for an empire, 0 for what is no title."""
     return F.expr(f"locate(substring({column}, 1, 1), '{RANKS}')")
@@ -75,10 +61,16 @@ def chains(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     missing = F.coalesce(*[F.when(~there[k - 1], F.col(f"p{k}")) for k in range(1, HOPS)])
     turn = F.coalesce(F.when(F.col("t0"), F.col("title_id")), *[F.when(F.col(f"t{k}"), F.col(f"p{k}")) for k in range(1, HOPS)])
     found = rows.select("title_id", *extra, path.alias("path"), missing.alias("missing"), turn.alias("_turn"))
-    odd = own.where(turns)
-    if (odd if edges is None else edges.where(turns)).isEmpty():
+    if (own if edges is None else edges).where(turns).isEmpty():
         return found.select("title_id", *extra, "path", "missing", F.lit(False).alias("cyclic"))
-    above = _deep(own, odd).select(F.col("title_id").alias("_turn"), F.col("path").alias("_path"), F.col("missing").alias("_missing"), F.col("cyclic").alias("_cyclic"))
+    # An odd title's way: its parent, the rising titles above, and so on from the next odd one.
+    ways = found.select(F.col("title_id").alias("parent_title_id"), "path", "missing", "_turn")
+    odd = own.where(turns).join(ways, "parent_title_id", "left")
+    there = F.col("path").isNotNull()
+    steps = odd.select(F.col("title_id").alias("node"), F.col("_turn").alias("next"), F.when(there, F.concat(F.array("parent_title_id"), "path")).alias("along"), F.when(there, F.col("missing")).otherwise(F.col("parent_title_id")).alias("missing"))
+    steps = written(own.sparkSession, steps, "odd-titles")
+    ends = pointers.resolved(steps.select("node", "next", "along")).join(steps.select(F.col("node").alias("end"), F.col("missing").alias("_missing")), "end")
+    above = ends.select(F.col("node").alias("_turn"), F.col("along").alias("_path"), "_missing", F.col("cyclic").alias("_cyclic"))
     both = found.join(above, "_turn", "left")
     return both.select("title_id", *extra, F.concat("path", F.coalesce("_path", F.array().cast(_PATH))).alias("path"), F.coalesce("missing", "_missing").alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"))
 
@@ -153,15 +145,8 @@ def ancestors(leaves: DataFrame, titles: DataFrame) -> DataFrame:
 
 def followed(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """(localization_key, display_name) of keys whose label, or the label that `$other$` leads to in the end, exists. labels: localization_key, display_value, one row each."""
-    alias = F.regexp_extract("display_value", r"^\$([^$]+)\$$", 1)
-    table = labels.select(F.col("localization_key").alias("current"), "display_value", F.nullif(alias, F.lit("")).alias("next"))
-    open_keys = keys.select("localization_key", F.col("localization_key").alias("current"), F.array().cast(_PATH).alias("seen")).distinct()
-    done: list[DataFrame] = []
-    while True:
-        step = open_keys.join(table, "current")
-        done.append(step.where("next is null").select("localization_key", F.col("display_value").alias("display_name")))
-        seen = F.array_append("seen", F.col("current"))
-        open_keys = step.where(F.col("next").isNotNull()).where(~F.array_contains(seen, F.col("next"))).select("localization_key", F.col("next").alias("current"), seen.alias("seen"))
-        # Each round follows one alias; keys in a circle leave when they meet a key they have seen.
-        if open_keys.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    alias = F.nullif(F.regexp_extract("display_value", r"^\$([^$]+)\$$", 1), F.lit(""))
+    ends = pointers.resolved(labels.select(F.col("localization_key").alias("node"), alias.alias("next"), F.array().cast(_PATH).alias("along")))
+    found = ends.where(~F.col("cyclic") & F.col("loose").isNull()).select(F.col("node").alias("localization_key"), "end")
+    texts = labels.select(F.col("localization_key").alias("end"), F.col("display_value").alias("display_name"))
+    return keys.select("localization_key").distinct().join(found, "localization_key").join(texts, "end").select("localization_key", "display_name")

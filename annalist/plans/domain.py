@@ -249,13 +249,28 @@ def save_adjudications(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONE = f"SELECT title_id, min(parent_title_id) AS parent_title_id, min(source_order) AS source_order FROM ({TITLES}) GROUP BY title_id"
 
 
-@own("D1_faulty_chains", """SELECT * FROM (VALUES ('e_1', true, NULL), ('k_1', true, NULL), ('d_1', true, NULL), ('c_1', true, NULL), ('b_1', true, NULL), ('b_7', false, 'non-canonical rank chain: bbbbbbbe'), ('b_6', false, 'non-canonical rank chain: bbbbbbe'), ('b_5', false, 'non-canonical rank chain: bbbbbe'), ('b_4', false, 'non-canonical rank chain: bbbbe'),
-('b_3', false, 'non-canonical rank chain: bbbe'), ('b_2', false, 'non-canonical rank chain: bbe'), ('b_0', false, 'non-canonical rank chain: be'), ('k_2', false, 'cyclic parent hierarchy'), ('k_3', false, 'cyclic parent hierarchy'), ('d_9', false, 'cyclic parent hierarchy'), ('d_8', false, 'cyclic parent hierarchy'),
-('c_4', false, 'missing parent title: d_0'), ('d_2', false, 'duplicate title declarations'), ('c_5', false, 'non-canonical rank chain: cdke'), ('c_6', true, NULL)) t(title_id, selectable, warning) WHERE title_id <> 'c_5'""")
+#: Titles whose parents don't rise: lines in a row within an order and orders in a row of twenty, which end well, run in circles, or lead nowhere.
+_ODD_TITLES = """SELECT concat('b_', l_orderkey, '_', l_linenumber) AS title_id,
+  CASE WHEN l_linenumber < max(l_linenumber) OVER (PARTITION BY l_orderkey) THEN concat('b_', l_orderkey, '_', l_linenumber + 1)
+    WHEN l_orderkey % 5 = 0 THEN concat('b_', l_orderkey, '_', min(l_linenumber) OVER (PARTITION BY l_orderkey))
+    WHEN l_orderkey % 5 = 1 THEN concat('c_x', l_orderkey) WHEN l_orderkey % 5 > 2 THEN concat('c_', l_orderkey) END AS parent_title_id,
+  l_orderkey * 10 + l_linenumber AS source_order FROM lineitem
+UNION ALL SELECT concat('c_', o_orderkey), CASE WHEN o_orderkey % 20 = 0 THEN concat('d_', o_custkey) WHEN o_orderkey % 200 = 7 THEN concat('c_', o_orderkey - 6) ELSE concat('c_', o_orderkey + 1) END, o_orderkey FROM orders
+UNION ALL SELECT concat('d_', c_custkey), concat('k_', c_nationkey), c_custkey FROM customer
+UNION ALL SELECT concat('k_', n_nationkey), CASE WHEN n_nationkey % 9 < 8 THEN concat('e_', n_regionkey) END, CAST(n_nationkey AS bigint) FROM nation
+UNION ALL SELECT concat('e_', r_regionkey), NULL, CAST(r_regionkey AS bigint) FROM region"""
+
+
+@own("D1_faulty_chains", f"""WITH RECURSIVE t AS ({_ODD_TITLES}), one AS MATERIALIZED (SELECT title_id, arg_min_null(parent_title_id, source_order) AS parent, count(*) AS n FROM t GROUP BY title_id),
+up AS (SELECT title_id, parent AS next, title_id[1] AS ranks, [title_id] AS seen, false AS cyclic, 0 AS hops FROM one
+  UNION ALL SELECT up.title_id, o.parent, ranks || o.title_id[1], list_append(seen, o.title_id), o.parent IS NOT NULL AND list_contains(list_append(seen, o.title_id), o.parent), hops + 1
+  FROM up JOIN one o ON o.title_id = up.next WHERE NOT cyclic),
+ends AS (SELECT title_id, arg_max(ranks, hops) AS ranks, arg_max_null(next, hops) AS missing, arg_max(cyclic, hops) OR (max(hops) = 0 AND arg_max_null(next, hops) IS NOT DISTINCT FROM title_id) AS cyclic FROM up GROUP BY title_id),
+w AS (SELECT title_id, CASE WHEN n > 1 THEN 'duplicate title declarations' WHEN cyclic THEN 'cyclic parent hierarchy' WHEN missing IS NOT NULL THEN concat('missing parent title: ', missing)
+  WHEN ranks <> substring('bcdke', instr('bcdke', title_id[1])) THEN concat('non-canonical rank chain: ', ranks) END AS warning FROM ends JOIN one USING (title_id))
+SELECT title_id, warning IS NULL AS selectable, warning FROM w""")
 def faulty_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = "e_1: k_1:e_1 d_1:k_1 c_1:d_1 b_1:c_1 b_7:b_6 b_6:b_5 b_5:b_4 b_4:b_3 b_3:b_2 b_2:b_0 b_0:e_1 k_2:k_3 k_3:k_2 d_9:k_2 d_8:d_8 c_4:d_0 d_2:k_1 d_2:k_9 c_6:d_1"
-    rows = [(a, b or None, k) for k, (a, _, b) in enumerate(p.partition(":") for p in pairs.split())]
-    return hierarchy.validated(spark.createDataFrame(rows, "title_id string, parent_title_id string, source_order long"))
+    return hierarchy.validated(run_sql(spark, sf_dir, _ODD_TITLES))
 
 
 @own("J9_chain", f"""WITH RECURSIVE t AS ({_ONE}), up AS (SELECT title_id AS leaf, title_id, parent_title_id, 0 AS depth FROM t WHERE title_id LIKE 'b%' UNION ALL SELECT up.leaf, t.title_id, t.parent_title_id, up.depth + 1 FROM up JOIN t ON t.title_id = up.parent_title_id) SELECT leaf, title_id, depth FROM up""")
@@ -285,11 +300,15 @@ def capital_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.static_capitals(run_sql(spark, sf_dir, _ONE).withColumn("capital_title_id", said))
 
 
-_LABELS = "SELECT concat('p', p_partkey) AS localization_key, CASE WHEN p_partkey % 5 IN (0, 1) THEN concat('$p', p_partkey + 3, '$') WHEN p_partkey % 35 = 2 THEN concat('$p', p_partkey, '$') ELSE p_name END AS display_value FROM part"
+#: Labels of lines: each leads to the one before, through twelve orders; the first has a text, leads to itself or to none.
+_LABELS = """SELECT concat('l', l_orderkey, '_', l_linenumber) AS localization_key,
+  CASE WHEN before IS NOT NULL AND l_orderkey % 12 > 0 THEN concat('$', before, '$') WHEN l_orderkey % 36 = 12 THEN concat('$l', l_orderkey, '_', l_linenumber, '$')
+    WHEN l_orderkey % 36 = 24 THEN '$none$' ELSE concat('text ', l_orderkey, ' $', l_linenumber, '$') END AS display_value
+FROM (SELECT *, lag(concat('l', l_orderkey, '_', l_linenumber)) OVER (PARTITION BY l_orderkey - l_orderkey % 12 ORDER BY l_orderkey, l_linenumber) AS before FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d) x"""
 
 
-@own("J11_followed_labels", f"""WITH RECURSIVE l AS ({_LABELS}), go AS (SELECT localization_key, display_value, [localization_key] AS seen FROM l UNION ALL SELECT go.localization_key, l.display_value, list_append(seen, l.localization_key) FROM go JOIN l ON go.display_value = concat('$', l.localization_key, '$') WHERE NOT list_contains(seen, l.localization_key))
-SELECT localization_key, display_value AS display_name FROM go WHERE display_value NOT LIKE '$%$'""")
+@own("J11_followed_labels", f"""WITH RECURSIVE l AS ({_LABELS}), go AS (SELECT localization_key, display_value, 0 AS hops FROM l UNION ALL SELECT go.localization_key, l.display_value, hops + 1 FROM go JOIN l ON go.display_value = concat('$', l.localization_key, '$') AND l.display_value <> go.display_value)
+SELECT localization_key, display_value AS display_name FROM go WHERE display_value NOT LIKE '$%'""")
 def followed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = run_sql(spark, sf_dir, _LABELS)
     return hierarchy.followed(labels.select("localization_key"), labels)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,23 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is set on a single machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/annalist-shared")
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: the frame as a table in the shared folder, which goes when the application ends. Lost executors cost the tasks they had."""
+    path = f"{shared_folder(spark)}/annalist-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

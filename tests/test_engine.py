@@ -90,3 +90,37 @@ def test_overlay_refuses_repeated_keys(spark):
     assert replay.overlay(base, base.limit(0), "k", ["v"]).collect() == [(1, 2)]
     with pytest.raises(Exception, match="repeated"):
         replay.overlay(base, base.union(base), "k", ["v"]).collect()
+
+
+def test_pointer_doubling_takes_few_rounds(spark, monkeypatch):
+    from annalist.operators import pointers
+
+    rounds = []
+    plain = pointers.written
+    monkeypatch.setattr(pointers, "written", lambda *a: rounds.append(1) or plain(*a))
+    # A way of 1000 nodes, two circles with ways into them, a way to a node that isn't there, and a lone node.
+    edges = [(f"a{k}", f"a{k + 1}" if k < 999 else None, [f"a{k}"]) for k in range(1000)]
+    edges += [("c0", "c1", None), ("c1", "c2", None), ("c2", "c0", None), ("c3", "c2", None), ("s", "s", None), ("m", "gone", ["m"]), ("n", "m", ["n"]), ("x", None, None)]
+    got = {r.node: r for r in pointers.resolved(spark.createDataFrame(edges, "node string, next string, along array<string>")).collect()}
+    assert all(got[f"a{k}"].end == "a999" and got[f"a{k}"].along == [f"a{j}" for j in range(k, 1000)] and not got[f"a{k}"].cyclic for k in range(0, 1000, 37))
+    assert {k for k, r in got.items() if r.cyclic} == {"c0", "c1", "c2", "c3", "s"}
+    assert (got["m"].loose, got["n"].loose, got["n"].end, got["n"].along) == ("gone", "gone", "m", ["n", "m"])
+    assert (got["x"].end, got["x"].loose, got["x"].cyclic) == ("x", None, False)
+    assert len(rounds) <= 13
+    with pytest.raises(ValueError, match="several pointers"):
+        pointers.resolved(spark.createDataFrame(edges + edges[:1], "node string, next string, along array<string>"))
+
+
+def test_hierarchy_with_many_odd_titles(spark):
+    """120,000 baronies in chains of 20, each chain under a county."""
+    titles = spark.range(120_000).selectExpr("concat('b_', id) AS title_id", "CASE WHEN id % 20 = 19 THEN 'c_1' ELSE concat('b_', id + 1) END AS parent_title_id", "id AS source_order")
+    county = spark.createDataFrame([("c_1", "d_1", 0), ("d_1", "k_1", 0), ("k_1", "e_1", 0), ("e_1", None, 0)], "title_id string, parent_title_id string, source_order long")
+    found = hierarchy.validated(titles.unionByName(county)).groupBy("warning").count().collect()
+    assert {r.warning: r["count"] for r in found} == {None: 6_004} | {f"non-canonical rank chain: {'b' * k}cdke": 6_000 for k in range(2, 21)}
+
+
+def test_labels_follow_long_aliases(spark):
+    labels = [(f"k{j}", f"$k{j + 1}$" if j < 99 else "end") for j in range(100)] + [("loop", "$loop$"), ("lost", "$none$"), ("to_loop", "$loop$")]
+    frame = spark.createDataFrame(labels, "localization_key string, display_value string")
+    got = {r.localization_key: r.display_name for r in hierarchy.followed(frame.select("localization_key"), frame).collect()}
+    assert got == {f"k{j}": "end" for j in range(100)}
