@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import script
+from annalist.operators import folds
 
 # Forms of title and law ids, and what names a title in a script.
 TITLE = re.compile(r"[ekdcb]_[A-Za-z0-9_-]+\Z")
@@ -160,6 +161,11 @@ def nickname(key: str, kind: str, raw: str) -> list[Found]:
 RECOGNISERS: tuple[Callable[[str, str, str], list[Found]], ...] = (laws, de_jure, tributary, name, capitals, learning, cultures, nickname)
 
 
+def said_whole(found: list[Found], key: str, kind: str, raw: str) -> bool:
+    """Whether what was found is all that the operation says."""
+    return bool(found) and (kind == "scalar" or key != "effect" or len(found) == len(_inner(raw)))
+
+
 def recognised(operations: DataFrame) -> DataFrame:
     """Events of operations (entity_id, effective_date, declaration_order, operation_key, value_kind, raw_value), and whether
     an operation is fully said by them. Operations that nothing recognises give no rows."""
@@ -171,7 +177,7 @@ def recognised(operations: DataFrame) -> DataFrame:
             rows = []
             for entity, date, order, key, kind, raw in batch[[*kept, "operation_key", "value_kind", "raw_value"]].itertuples(index=False):
                 found = [x for f in RECOGNISERS for x in f(key, kind, raw or "")]
-                whole = bool(found) and (kind == "scalar" or key != "effect" or len(found) == len(_inner(raw)))
+                whole = said_whole(found, key, kind, raw or "")
                 rows += [(entity, date, order, *x, step, whole) for step, x in enumerate(found)]
             names = [c.split()[0] for c in schema.split(", ")]
             yield pd.DataFrame(rows, columns=names).astype({"effective_date": "Int32", "required_date": "Int32"})
@@ -206,14 +212,29 @@ def in_force(events: DataFrame, cutoff: int) -> DataFrame:
     return events.where(F.col("effective_date") <= cutoff).groupBy("entity_id").agg(last.alias("x")).select("entity_id", "x.*", F.when(F.col("x.value").isNull(), "explicit_clear").otherwise("declared").alias("status"))
 
 
-def laws_in_force(events: DataFrame, installed: DataFrame, cutoff: int) -> DataFrame:
-    """Laws of each entity's latest list whose ids are all installed, in the list's order."""
+LAW_ORDER = ["effective_date", "declaration_order", "step"]
+
+
+def law_changes(events: DataFrame, installed: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """What changes the laws of an entity: entity_id, LAW_ORDER, value, starts (true for the first law of a list that replaces all).
+
+    Lists count whose ids are all installed; an empty list is one row without a value. added: entity_id, effective_date, declaration_order, value of certified
+    bodies that append a law to those in force.
+    """
     ids = installed.select(F.col("id").alias("_id")).distinct()
-    mine = events.where((F.col("kind") == "law") & (F.col("effective_date") <= cutoff))
-    each = mine.join(ids, F.col("value") == F.col("_id"), "left")
+    each = events.where(F.col("kind") == "law").join(ids, F.col("value") == F.col("_id"), "left")
     lists = each.groupBy("entity_id", "effective_date", "declaration_order").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("laws"), F.count_if(F.col("value").isNotNull() & F.col("_id").isNull()).alias("lacking"))
-    last = lists.where("lacking = 0").groupBy("entity_id").agg(F.max_by("laws", F.struct("effective_date", "declaration_order")).alias("laws"))
-    return last.select("entity_id", F.posexplode("laws").alias("at", "law")).where("law.value is not null").select("entity_id", (F.col("at") + 1).alias("law_order"), F.col("law.value").alias("law_id"))
+    changes = lists.where("lacking = 0").select("entity_id", "effective_date", "declaration_order", F.explode("laws").alias("law")).select("entity_id", "effective_date", "declaration_order", "law.step", "law.value", (F.col("law.step") == 0).alias("starts"))
+    if added is None:
+        return changes
+    return changes.unionByName(added.select("entity_id", "effective_date", "declaration_order", F.lit(0).alias("step"), "value", F.lit(False).alias("starts")))
+
+
+def laws_in_force(events: DataFrame, installed: DataFrame, cutoff: int, added: DataFrame | None = None) -> DataFrame:
+    """Laws in force at a date, with the date and the order of the operation that each came by: entity_id, law_order, law_id, effective_date, declaration_order."""
+    changes = law_changes(events, installed, added).where(F.col("effective_date") <= cutoff)
+    found = folds.in_force(changes, "entity_id", LAW_ORDER, F.col("starts"))
+    return found.select("entity_id", F.col("position").alias("law_order"), F.col("value").alias("law_id"), "effective_date", "declaration_order")
 
 
 def capital_in_force(events: DataFrame, titles: DataFrame, cutoff: int) -> DataFrame:

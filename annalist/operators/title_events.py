@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions import effects, forms
-from annalist.operators import states
+from annalist.functions import effects, forms, readings
+from annalist.operators import folds, states
+from annalist.session import written
 
 #: Readings by precedence.
 ORDER = ("court", "special_title", "state_faith", "prestige", "ceremonial_title", "adventurer", "capital", "added_law", "eastern_noop", "landless_noop", "fallback", "laws", "de_jure", "tributary", "name", "plain")
@@ -46,18 +47,32 @@ def _has(rows: DataFrame, column: str, ids: DataFrame, key: str, mark: str) -> D
     return rows.join(named, rows[column] == named["_id"], "left").drop("_id").withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
-def in_force(operations: DataFrame, recognised: DataFrame) -> DataFrame:
-    """Effects of reviewed form with the holder, plain holder, government and laws in force: columns of recognised and holder, plain_holder, government, laws."""
+@dataclass
+class Read:
+    """Operations whose bodies were parsed once. forms: effects of reviewed form (_KEY, form, value, required_date, complete) with the holder, plain holder,
+    government and laws in force; said: what bodies say (_KEY, operation_key, kind, owner, value, second, required_date, step, complete)."""
+
+    operations: DataFrame
+    forms: DataFrame
+    said: DataFrame
+
+
+def read(operations: DataFrame) -> Read:
+    """One parse, one dealing by title, and one table in the shared folder that all readings are taken from."""
     key, value = F.col("operation_key"), F.col("scalar_value")
-    held = operations.where(key.isin(*states.HOLDER_KEYS, "government", "succession_laws", "effect"))
+    held = readings.read(operations)
     ids = F.filter(F.split(F.regexp_replace("raw_value", r"^\{|\}$", " "), r"\s+"), lambda x: x != "")
     legal = (F.size(F.array_distinct(ids)) == F.size(ids)) & F.forall(ids, lambda x: x.rlike(r"^[A-Za-z0-9_-]+$"))
     laws = F.when((key == "succession_laws") & (F.col("value_kind") == "block") & legal, ids)
     rows = held.select(
-        *_KEY, F.nullif(states.running(held, F.when(key.isin(*states.HOLDER_KEYS), value)), F.lit("0")).alias("holder"), F.nullif(states.running(held, F.when(key == "holder", value), True), F.lit("0")).alias("plain_holder"),
-        states.running(held, F.when(key == "government", F.coalesce(value, F.lit("")))).alias("government"), states.running(held, laws, True).alias("laws"), key.alias("_key"),
-    ).where("_key = 'effect'").drop("_key")
-    return recognised.withColumnRenamed("entity_id", "title_id").join(rows, _KEY)
+        *operations.columns, "readings", F.nullif(states.running(held, F.when(key.isin(*states.HOLDER_KEYS), value)), F.lit("0")).alias("holder"), F.nullif(states.running(held, F.when(key == "holder", value), True), F.lit("0")).alias("plain_holder"),
+        states.running(held, F.when(key == "government", F.coalesce(value, F.lit("")))).alias("government"), states.running(held, laws, True).alias("laws"),
+    )
+    table = written(operations.sparkSession, rows, "title-operations")
+    each = table.select(*_KEY, "operation_key", "holder", "plain_holder", "government", "laws", F.explode("readings").alias("r"))
+    found = each.where("r.origin = 'form'").select(*_KEY, F.col("r.name").alias("form"), "r.value", "r.required_date", "r.complete", "holder", "plain_holder", "government", "laws")
+    said = each.where("r.origin = 'said'").select(*_KEY, "operation_key", F.col("r.name").alias("kind"), "r.owner", "r.value", "r.second", "r.required_date", "r.step", "r.complete")
+    return Read(table.select(*operations.columns), found, said)
 
 
 def court_assignments(effects_in_force: DataFrame, installed: Installed, cutoff: int) -> DataFrame:
@@ -114,6 +129,14 @@ def adventurers(effects_in_force: DataFrame, installed: Installed) -> DataFrame:
     return effects_in_force.where(F.col("form").isin("adventurer", "adventurer_dated") & ruled).select(*_KEY, "required_date")
 
 
+def laws_before(found: Read, installed: Installed) -> DataFrame:
+    """Effects of any form with `held`: the laws in force just before each, appended ones among them."""
+    said = found.said.withColumnRenamed("title_id", "entity_id")
+    changes = effects.law_changes(said, installed.laws, added_laws(found.forms, installed).withColumnRenamed("title_id", "entity_id"))
+    asked = found.operations.where("operation_key = 'effect'").select(F.col("title_id").alias("entity_id"), "effective_date", "declaration_order", F.lit(-1).alias("step"))
+    return folds.at_instants(changes, asked, "entity_id", effects.LAW_ORDER).select(F.col("entity_id").alias("title_id"), "effective_date", "declaration_order", "held")
+
+
 def special_titles(effects_in_force: DataFrame, assignments: DataFrame, installed: Installed) -> DataFrame:
     if not {forms.COURT, forms.EASTERN} <= set(installed.packages):
         return effects_in_force.where("false").select(*_KEY, "value")
@@ -159,11 +182,9 @@ def _noop(rows: DataFrame, reading: str, step: int, kind: str, flag: str, packag
     return _event(rows, reading, step, kind, F.lit(flag), F.lit(f"installed {package} makes {what} condition false"), required=required)
 
 
-def candidates(operations: DataFrame, installed: Installed, cutoff: int) -> DataFrame:
+def candidates(found: Read, installed: Installed, cutoff: int) -> DataFrame:
     """Every valid reading of every operation: EVENT."""
-    spec = operations.select(F.col("title_id").alias("entity_id"), *[c for c in operations.columns if c != "title_id"])
-    here = in_force(operations, forms.recognised(spec))
-    said = effects.recognised(spec).withColumnRenamed("entity_id", "title_id")
+    here, said = found.forms, found.said
     court = court_assignments(here, installed, cutoff)
     special, ceremonial, faith = special_titles(here, court, installed), ceremonial_titles(here, installed), state_faiths(here, court, installed, cutoff)
     adventure, bound, law = adventurers(here, installed), prestige_bounds(here, installed, cutoff), added_laws(here, installed)
@@ -187,7 +208,7 @@ def candidates(operations: DataFrame, installed: Installed, cutoff: int) -> Data
         if flag in packages:
             reading = "fallback" if form == "government_fallback" else form
             out.append(_noop(here.where(F.col("form") == form), reading, 0, kind, flag, packages[flag], what, F.col("required_date")))
-    out += [capital_events(said, installed.titles), law_events(said, installed.laws), de_jure_events(said, operations, installed.titles), tributary_events(said, installed), name_events(said, installed.labels), plain_events(operations)]
+    out += [capital_events(said, installed.titles), law_events(said, installed.laws), de_jure_events(said, installed.titles), tributary_events(said, installed), name_events(said, installed.labels), plain_events(found.operations)]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -214,12 +235,11 @@ def law_events(said: DataFrame, laws: DataFrame) -> DataFrame:
     return _event(lists.where(~F.col("lacking")), "laws", 0, "succession_laws_replaced", text, F.lit("installed law IDs replace the prior explicit title-law set"))
 
 
-def de_jure_events(said: DataFrame, operations: DataFrame, titles: DataFrame) -> DataFrame:
+def de_jure_events(said: DataFrame, titles: DataFrame) -> DataFrame:
     """De jure lieges that are installed and another title; 0 clears."""
     rows = _has(said.where("kind = 'de_jure_liege'"), "value", titles, "title_id", "there").where("value is null or (there and value <> title_id)")
-    by = operations.select(*_KEY, (F.col("operation_key") == "effect").alias("by_effect"))
-    why = F.when(F.col("by_effect"), "effect-form title-scope de-jure replacement").otherwise("dated title-history declaration replaces dynamic de-jure parentage")
-    return _event(rows.join(by, _KEY), "de_jure", 0, "de_jure_liege_replaced", F.col("value"), why)
+    why = F.when(F.col("operation_key") == "effect", "effect-form title-scope de-jure replacement").otherwise("dated title-history declaration replaces dynamic de-jure parentage")
+    return _event(rows, "de_jure", 0, "de_jure_liege_replaced", F.col("value"), why)
 
 
 def tributary_events(said: DataFrame, installed: Installed) -> DataFrame:
@@ -247,10 +267,10 @@ def plain_events(operations: DataFrame) -> DataFrame:
     return _event(rows, "plain", 0, key, F.when(~grows | bad, value), note, number=F.when(grows, number), status=F.when(bad, "warning").otherwise("valid"))
 
 
-def title_events(operations: DataFrame, installed: Installed, cutoff: int) -> DataFrame:
+def title_events(found: Read, installed: Installed, cutoff: int) -> DataFrame:
     """The events of each operation by the first reading that holds, in order: EVENT's columns without complete, and event_sequence, which counts a title's events."""
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("reading"))
-    every = candidates(operations, installed, cutoff).withColumn("rank", rank)
+    every = candidates(found, installed, cutoff).withColumn("rank", rank)
     # A few readings an operation at most.
     own = Window.partitionBy(*_KEY)
     first = F.min(F.when(F.col("complete"), F.col("rank"))).over(own)
@@ -260,9 +280,9 @@ def title_events(operations: DataFrame, installed: Installed, cutoff: int) -> Da
 
 
 def evaluated(every: DataFrame, said: DataFrame) -> DataFrame:
-    """Operations that are said whole (_KEY). every: candidates; said: effects.recognised. A court assignment or a capital that leaves something of its body out doesn't count."""
+    """Operations that are said whole (_KEY). every: candidates; said: of Read. A court assignment or a capital that leaves something of its body out doesn't count."""
     whole = every.where("complete and reading <> 'capital' and reading <> 'plain'").select(*_KEY)
-    capitals = said.where(F.col("complete") & F.col("kind").startswith("capital")).select(F.col("entity_id").alias("title_id"), "effective_date", "declaration_order")
+    capitals = said.where(F.col("complete") & F.col("kind").startswith("capital")).select(*_KEY)
     return whole.unionByName(capitals).distinct()
 
 

@@ -9,12 +9,13 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.functions import effects, forms, script
+from annalist.functions import effects, forms, readings, script
 from annalist.operators import classify, journal, replay, states, title_events
 from annalist.plans.registry import day, own, run_sql
 from annalist.sources import bookmarks, html_tables, saves, script_files, sinks
@@ -397,14 +398,12 @@ UNION ALL SELECT o_custkey, o_orderkey, 0, 'change_development_level', CASE WHEN
 
 @own("D8_title_events", f"WITH {_EVENTS} SELECT concat('k_', e.o_custkey) AS title_id, e.o_orderkey AS declaration_order, step, event_type, text_value, integer_value, validation_status, validation_note, row_number() OVER (PARTITION BY e.o_custkey ORDER BY d, e.o_orderkey, step) AS event_sequence FROM e JOIN held ON held.o_orderkey = e.o_orderkey")
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = title_events.title_events(title_operations(spark, sf_dir), installed(spark, sf_dir), EVENTS_AT)
+    rows = title_events.title_events(title_events.read(title_operations(spark, sf_dir)), installed(spark, sf_dir), EVENTS_AT)
     return rows.select("title_id", "declaration_order", "step", "event_type", "text_value", "integer_value", "validation_status", "validation_note", F.col("event_sequence").cast("long").alias("event_sequence"))
 
 
 def _in_force(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, title_events.Installed]:
-    ops = title_operations(spark, sf_dir)
-    spec = ops.withColumnRenamed("title_id", "entity_id")
-    return title_events.in_force(ops, forms.recognised(spec)), installed(spark, sf_dir)
+    return title_events.read(title_operations(spark, sf_dir)).forms, installed(spark, sf_dir)
 
 
 @own("D16_court_states", f"WITH {_EVENTS} SELECT holder AS character_id, 'language_x' AS court_language_id, arg_max(d, (d, o_orderkey)) AS court_language_date, arg_max(o_orderkey, (d, o_orderkey)) AS court_language_order FROM held WHERE f IN (3, 4) AND holder IS NOT NULL AND d <= {EVENTS_AT} GROUP BY holder")
@@ -419,50 +418,68 @@ def prestige_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_events.prestige_bounds(here, snapshot, EVENTS_AT).select("title_id", "declaration_order", "dynasty_id", "minimum_level")
 
 
-@own("D14_title_variables", f"SELECT concat('k_', o_custkey) AS title_id, 'ceremonial_title' AS variable_name, 'title' AS value_kind, 'k_x' AS text_value, arg_max(o_orderkey, (d, o_orderkey)) AS declaration_order FROM ({_HELD}) x WHERE f = 2 AND d <= {EVENTS_AT} GROUP BY o_custkey")
-def title_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    here, snapshot = _in_force(spark, sf_dir)
-    none = here.where("false").select("title_id", "effective_date", "declaration_order", "value", "required_date")
-    rows = title_events.title_variables(none, title_events.ceremonial_titles(here, snapshot), none, EVENTS_AT)
-    return rows.select("title_id", "variable_name", "value_kind", "text_value", "declaration_order")
+#: Bodies that only a holder, a law, a government or one title makes hold, by number: key, kind, scalar, raw.
+_CERTIFIED = {
+    1: ("holder", "scalar", "h1", "h1"), 2: ("government", "scalar", "administrative_government", "administrative_government"), 3: ("succession_laws", "block", None, "{ landless_adventurer_succession_law }"),
+    4: ("effect", "block", None, "{ create_landless_adventurer_title_history_effect = yes set_variable = { name = adventurer_creation_reason value = flag:historical } }"), 5: ("effect", "block", None, forms.FORMS["state_faith"].replace("$value$", "orthodox")),
+    6: ("effect", "block", None, forms.FORMS["special_title"].replace("$value$", "k_x")), 7: ("effect", "block", None, "{ add_title_law = single_heir_succession_law destroy_landless_title_no_tgp_dlc_effect = { DATE = 867.1.1 } }"), 8: ("effect", "block", None, forms.DIRECT_PRESTIGE),
+}
+#: For each customer one of five histories, by its number: title (null: its own), date, numbers of bodies. Two in three own titles lack what their body needs.
+_HISTORIES = ((None, 8670101, (1, 3, 4)), ("e_byzantium", 8660101, (1, 2, 5)), ("e_japan", 8670101, (1, 6)), ("k_chrysanthemum_throne", 8670101, (7,)), (None, 8670101, (1, 8)))
+
+
+def certified_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer")
+    parts = []
+    for kind, (title, date, numbers) in enumerate(_HISTORIES):
+        for n in numbers:
+            key, value_kind, scalar, raw = _CERTIFIED[n]
+            mine = people.where(f"c_custkey % 5 = {kind}")
+            if title is None and n < numbers[-1]:
+                mine = mine.where("c_custkey % 3 = 1")
+            name = F.lit(title) if title else F.format_string("d_%d", "c_custkey")
+            parts.append(mine.select(name.alias("title_id"), F.lit("a.txt").alias("path"), F.lit(date).alias("effective_date"), (F.col("c_custkey") * 10 + n).alias("declaration_order"), F.lit(key).alias("operation_key"), F.lit(value_kind).alias("value_kind"), F.lit(scalar).cast("string").alias("scalar_value"), F.lit(raw).alias("raw_value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def certified_snapshot(spark: SparkSession, sf_dir: str) -> title_events.Installed:
+    snapshot = installed(spark, sf_dir)
+    own_titles = table(spark, sf_dir, "customer").select(F.format_string("d_%d", "c_custkey").alias("title_id"), F.lit("duchy").alias("title_rank"), F.lit("k_x").alias("parent_title_id"))
+    fixed = spark.createDataFrame([(h[0], "kingdom", "e_x") for h in _HISTORIES if h[0]], "title_id string, title_rank string, parent_title_id string")
+    snapshot.titles = snapshot.titles.unionByName(own_titles).unionByName(fixed)
+    snapshot.laws = snapshot.laws.unionByName(spark.createDataFrame([("landless_adventurer_succession_law",), ("single_heir_succession_law",)], "id string"))
+    snapshot.languages = snapshot.languages.unionByName(spark.createDataFrame([("language_chinese",)], "id string"))
+    snapshot.dynasties = spark.createDataFrame([("h1", "dyn1")], "character_id string, dynasty_id string")
+    return snapshot
 
 
-#: Bodies that only a holder, a law, a government or one title makes hold: for each customer a title's whole history.
-_CERTIFIED = [
-    (1, "holder", "scalar", "h1", "h1"), (2, "government", "scalar", "administrative_government", "administrative_government"), (3, "succession_laws", "block", None, "{ landless_adventurer_succession_law }"),
-    (4, "effect", "block", None, "{ create_landless_adventurer_title_history_effect = yes set_variable = { name = adventurer_creation_reason value = flag:historical } }"), (5, "effect", "block", None, forms.FORMS["state_faith"].replace("$value$", "orthodox")),
-    (6, "effect", "block", None, forms.FORMS["special_title"].replace("$value$", "k_x")), (7, "effect", "block", None, "{ add_title_law = single_heir_succession_law destroy_landless_title_no_tgp_dlc_effect = { DATE = 867.1.1 } }"), (8, "effect", "block", None, forms.DIRECT_PRESTIGE),
-]
+@own("D14_title_variables", f"""SELECT concat('k_', o_custkey) AS title_id, 'ceremonial_title' AS variable_name, 'title' AS value_kind, 'k_x' AS text_value, arg_max(o_orderkey, (d, o_orderkey)) AS declaration_order FROM ({_HELD}) x WHERE f = 2 AND d <= {EVENTS_AT} GROUP BY o_custkey
+UNION ALL SELECT 'e_japan', 'administrative_ui_special_title', 'title', 'k_x', max(c_custkey) * 10 + 6 FROM customer WHERE c_custkey % 5 = 2 HAVING count(*) > 0
+UNION ALL SELECT concat('d_', c_custkey), 'adventurer_creation_reason', 'flag', 'historical', c_custkey * 10 + 4 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 = 1""")
+def title_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    here = title_events.read(title_operations(spark, sf_dir).unionByName(certified_operations(spark, sf_dir))).forms
+    snapshot = certified_snapshot(spark, sf_dir)
+    court = title_events.court_assignments(here, snapshot, EVENTS_AT)
+    rows = title_events.title_variables(title_events.special_titles(here, court, snapshot), title_events.ceremonial_titles(here, snapshot), title_events.adventurers(here, snapshot), EVENTS_AT)
+    return rows.select("title_id", "variable_name", "value_kind", "text_value", "declaration_order")
 
 
-@own("D15_D20_certified_bodies", """SELECT t AS title_id, e AS event_type, v AS text_value, k AS declaration_order FROM (VALUES ('adventurer', 'landless_adventurer_history_initialized', 'landless_adventurer_succession_law', 4), ('adventurer', 'title_variable_set', 'adventurer_creation_reason=historical', 4),
-('faith', 'court_type_set', 'court_intrigue', 5), ('faith', 'state_faith_set', 'orthodox', 5), ('faith', 'dlc_gated_conditional_noop', 'roads_to_power', 5), ('japan', 'court_language_set', 'language_chinese', 6), ('japan', 'title_variable_set', 'administrative_ui_special_title=k_x', 6),
-('law', 'title_law_added', 'single_heir_succession_law', 7), ('law', 'dlc_gated_noop', 'all_under_heaven', 7), ('direct', 'dynasty_prestige_minimum_established', 'dyn1', 8)) x(t, e, v, k)""")
+@own("D15_D20_certified_bodies", """SELECT coalesce(t, concat('d_', c_custkey)) AS title_id, e AS event_type, v AS text_value, c_custkey * 10 + k AS declaration_order FROM customer, (VALUES (0, NULL, 'landless_adventurer_history_initialized', 'landless_adventurer_succession_law', 4), (0, NULL, 'title_variable_set', 'adventurer_creation_reason=historical', 4),
+(1, 'e_byzantium', 'court_type_set', 'court_intrigue', 5), (1, 'e_byzantium', 'state_faith_set', 'orthodox', 5), (1, 'e_byzantium', 'dlc_gated_conditional_noop', 'roads_to_power', 5), (2, 'e_japan', 'court_language_set', 'language_chinese', 6), (2, 'e_japan', 'title_variable_set', 'administrative_ui_special_title=k_x', 6),
+(3, 'k_chrysanthemum_throne', 'title_law_added', 'single_heir_succession_law', 7), (3, 'k_chrysanthemum_throne', 'dlc_gated_noop', 'all_under_heaven', 7), (4, NULL, 'dynasty_prestige_minimum_established', 'dyn1', 8)) x(kind, t, e, v, k) WHERE c_custkey % 5 = kind AND (t IS NOT NULL OR c_custkey % 3 = 1)""")
 def certified_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each certified body on a title whose history makes it hold, and on one without what it needs."""
-    rows = []
-    for name, title, date, kept in (("adventurer", "d_a", 8670101, (1, 3, 4)), ("faith", "e_byzantium", 8660101, (1, 2, 5)), ("japan", "e_japan", 8670101, (1, 6)), ("law", "k_chrysanthemum_throne", 8670101, (7,)), ("direct", "d_p", 8670101, (1, 8))):
-        rows += [(title, "a.txt", date, *op) for op in _CERTIFIED if op[0] in kept]
-    rows += [("d_b", "a.txt", 8670101, *_CERTIFIED[3]), ("d_c", "a.txt", 8670101, *_CERTIFIED[4]), ("d_d", "a.txt", 8670101, *_CERTIFIED[7])]
-    ops = spark.createDataFrame(rows, "title_id string, path string, effective_date int, declaration_order long, operation_key string, value_kind string, scalar_value string, raw_value string")
-    snapshot = installed(spark, sf_dir)
-    names = {"d_a": "adventurer", "e_byzantium": "faith", "e_japan": "japan", "k_chrysanthemum_throne": "law", "d_p": "direct"}
-    snapshot.titles = spark.createDataFrame([(t, "kingdom", None) for t in (*names, "k_x", "d_b", "d_c", "d_d")], "title_id string, title_rank string, parent_title_id string")
-    snapshot.laws = spark.createDataFrame([("landless_adventurer_succession_law",), ("single_heir_succession_law",)], "id string")
-    snapshot.languages = spark.createDataFrame([("language_chinese",)], "id string")
-    snapshot.dynasties = spark.createDataFrame([("h1", "dyn1")], "character_id string, dynasty_id string")
-    found = title_events.title_events(ops, snapshot, 8670101).where("reading not in ('plain', 'laws')")
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("title_id"))
-    return found.select(named.alias("title_id"), "event_type", "text_value", F.col("declaration_order").cast("int").alias("declaration_order"))
+    """Each certified body on titles whose history makes it hold, and on titles without what it needs."""
+    found = title_events.title_events(title_events.read(certified_operations(spark, sf_dir)), certified_snapshot(spark, sf_dir), 8670101)
+    return found.where("reading not in ('plain', 'laws')").select("title_id", "event_type", "text_value", "declaration_order")
 
 
 @own("D19_package_gates", "SELECT f AS form, count(*) AS n FROM (SELECT CASE o_orderkey % 14 WHEN 1 THEN 'landless_noop' WHEN 9 THEN 'government_fallback' END AS f FROM orders) x WHERE f IS NOT NULL GROUP BY f")
 def package_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies that an installed package makes idle; without packages no event comes of them."""
-    here, snapshot = _in_force(spark, sf_dir)
+    found, snapshot = title_events.read(title_operations(spark, sf_dir)), installed(spark, sf_dir)
     snapshot.packages = {}
-    none = title_events.candidates(title_operations(spark, sf_dir), snapshot, EVENTS_AT).where("reading in ('landless_noop', 'fallback', 'court')")
-    return here.where(F.col("form").isin("landless_noop", "government_fallback")).groupBy("form").agg(F.count("*").alias("n")).join(none.select(F.lit("landless_noop").alias("form")), "form", "left_anti")
+    none = title_events.candidates(found, snapshot, EVENTS_AT).where("reading in ('landless_noop', 'fallback', 'court')")
+    return found.forms.where(F.col("form").isin("landless_noop", "government_fallback")).groupBy("form").agg(F.count("*").alias("n")).join(none.select(F.lit("landless_noop").alias("form")), "form", "left_anti")
 
 
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,9 +491,54 @@ def capital_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effects.capital_in_force(recognised(spark, sf_dir), installed(spark, sf_dir).titles, EVENTS_AT).select("entity_id", "value", "declaration_order")
 
 
-@own("D10_laws_in_force", f"""SELECT concat('k_', o_custkey) AS entity_id, n AS law_order, l AS law_id FROM (SELECT o_custkey, arg_max(o_orderkey, (d, o_orderkey)) AS k FROM (SELECT *, {day('o_orderdate')} AS d FROM orders) x WHERE o_orderkey % 14 = 11 AND o_orderkey % 4 <> 1 AND d <= {EVENTS_AT} GROUP BY o_custkey) y, (VALUES (1, 'law_a'), (2, 'law_b')) z(n, l) WHERE k % 4 <> 0""")
+#: Lists of laws from orders, on one title for each customer, but for a tenth of them on the certified title, where some bodies append a law.
+_LAW_OPS = f"""SELECT CASE WHEN o_custkey % 10 = 3 THEN 'k_chrysanthemum_throne' ELSE concat('k_', o_custkey) END AS title_id, 'a.txt' AS path, o_orderkey AS declaration_order,
+  CAST(CASE WHEN o_orderkey % 4 = 3 THEN 8670101 ELSE {day("o_orderdate")} - 11320000 END AS INT) AS effective_date, CASE WHEN o_orderkey % 4 < 2 THEN 'succession_laws' ELSE 'effect' END AS operation_key, 'block' AS value_kind, CAST(NULL AS varchar(40)) AS scalar_value,
+  CASE o_orderkey % 4 WHEN 0 THEN CASE o_orderkey % 5 WHEN 0 THEN '{{ }}' WHEN 1 THEN '{{ law_a law_z }}' WHEN 2 THEN '{{ law_b single_heir_succession_law }}' ELSE '{{ law_b law_a }}' END WHEN 1 THEN '{{ law_a }}'
+    WHEN 2 THEN '{{ add_gold = 1 }}' ELSE '{{ add_title_law = single_heir_succession_law destroy_landless_title_no_tgp_dlc_effect = {{ DATE = 867.1.1 }} }}' END AS raw_value FROM orders"""
+#: The same in plain SQL: each list or appended law, and the number of lists before it.
+_LAW_FACTS = f"""ops AS ({_LAW_OPS}), laws AS (SELECT *, declaration_order % 4 < 2 AND NOT raw_value LIKE '%law_z%' AS starts,
+  CASE WHEN declaration_order % 4 < 2 AND NOT raw_value LIKE '%law_z%' THEN list_filter(string_split(raw_value, ' '), lambda x: x NOT IN ('{{', '}}', '')) WHEN declaration_order % 4 = 3 AND title_id = 'k_chrysanthemum_throne' THEN ['single_heir_succession_law'] END AS ids FROM ops),
+runs AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY effective_date, declaration_order) AS epoch FROM laws)"""
+
+
+@own("D10_laws_in_force", f"""WITH {_LAW_FACTS}, each AS (SELECT title_id, epoch, max(epoch) OVER (PARTITION BY title_id) AS last, effective_date, declaration_order, unnest(ids) AS law, generate_subscripts(ids, 1) AS step FROM runs WHERE effective_date <= 8670101 AND ids IS NOT NULL AND len(ids) > 0 ),
+ends AS (SELECT title_id, max(epoch) AS final FROM runs WHERE effective_date <= 8670101 AND ids IS NOT NULL GROUP BY title_id),
+firsts AS (SELECT e.title_id, law, min(({{'a': effective_date, 'b': declaration_order, 'c': step}})) AS place FROM each e JOIN ends USING (title_id) WHERE epoch = final GROUP BY ALL)
+SELECT title_id AS entity_id, CAST(row_number() OVER (PARTITION BY title_id ORDER BY place) AS INT) AS law_order, law AS law_id, place.a AS effective_date, place.b AS declaration_order FROM firsts""")
 def laws_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effects.laws_in_force(recognised(spark, sf_dir), installed(spark, sf_dir).laws, EVENTS_AT)
+    found, snapshot = title_events.read(run_sql(spark, sf_dir, _LAW_OPS)), certified_snapshot(spark, sf_dir)
+    added = title_events.added_laws(found.forms, snapshot).withColumnRenamed("title_id", "entity_id")
+    return effects.laws_in_force(found.said.withColumnRenamed("title_id", "entity_id"), snapshot.laws, 8670101, added)
+
+
+@own("W6_laws_before_effects", f"""WITH {_LAW_FACTS}, asked AS (SELECT title_id, effective_date, declaration_order, epoch - CASE WHEN starts THEN 1 ELSE 0 END AS epoch FROM runs WHERE operation_key = 'effect'),
+each AS (SELECT title_id, epoch, effective_date, declaration_order, unnest(ids) AS law, generate_subscripts(ids, 1) AS step FROM runs WHERE ids IS NOT NULL),
+before AS (SELECT a.title_id, a.effective_date, a.declaration_order, law, min({{'a': e.effective_date, 'b': e.declaration_order, 'c': step}}) AS place FROM asked a JOIN each e ON e.title_id = a.title_id AND e.epoch = a.epoch AND (e.effective_date, e.declaration_order) < (a.effective_date, a.declaration_order) GROUP BY ALL),
+lists AS (SELECT title_id, declaration_order, array_to_string(list(law ORDER BY place), ',') AS held FROM before GROUP BY ALL)
+SELECT a.title_id, a.effective_date, a.declaration_order, coalesce(held, '') AS held FROM asked a LEFT JOIN lists USING (title_id, declaration_order)""")
+def laws_before_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = title_events.laws_before(title_events.read(run_sql(spark, sf_dir, _LAW_OPS)), certified_snapshot(spark, sf_dir))
+    return rows.select("title_id", "effective_date", "declaration_order", F.array_join("held", ",").alias("held"))
+
+
+@own("F1_script_readings", """SELECT o_orderkey AS declaration_order, origin, name, value FROM orders, (VALUES (0, 'said', 'capital_county', 'c_x'), (1, 'form', 'landless_noop', NULL), (2, 'form', 'ceremonial_title', 'k_x'), (3, 'form', 'court_language', 'language_x'), (4, 'form', 'court_language_learned', 'language_x'), (5, 'said', 'de_jure_liege', 'k_x'),
+(6, 'said', 'name', 'key_x'), (8, 'form', 'prestige_helper', NULL), (9, 'form', 'government_fallback', NULL), (12, 'said', 'tributary', 'k_x')) x(f, origin, name, value) WHERE o_orderkey % 14 = f
+UNION ALL SELECT o_orderkey, 'said', 'law', l FROM orders, (VALUES (0, NULL), (1, 'law_a'), (1, 'law_z'), (2, 'law_a'), (2, 'law_b'), (3, 'law_a'), (3, 'law_b')) x(m, l) WHERE o_orderkey % 14 = 11 AND o_orderkey % 4 = m""")
+def script_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of every body, by the table function from SQL."""
+    readings.register(spark)
+    call = "script_readings(o.title_id, o.path, o.effective_date, o.operation_key, o.value_kind, o.raw_value)"
+    return spark.sql(f"SELECT o.declaration_order, x.origin, x.name, x.value FROM {{ops}} o, LATERAL {call} r, LATERAL explode(r.readings) AS e(x)", ops=title_operations(spark, sf_dir))
+
+
+@own("F1_script_assignments", """SELECT o_orderkey AS declaration_order, position, key, value_kind, CAST(line AS INT) AS line FROM orders, (VALUES (0, 'a', 'scalar', 0), (1, 'b', 'block', 1), (2, 'c', 'scalar', 3)) x(position, key, value_kind, n), LATERAL (SELECT o_orderkey % 100 + n AS line) y""")
+def script_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments of a text for each order, with lines that count from where the text starts."""
+    readings.register(spark)
+    text = F.concat(F.lit("a = "), F.col("o_orderkey"), F.lit(" # b = 1\nb = { c = 1\n d = { } }\nc = \"x }\""))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), (F.col("o_orderkey") % 100).cast("int").alias("base"))
+    return spark.sql("SELECT o.o_orderkey AS declaration_order, a.position, a.key, a.value_kind, a.line FROM {rows} o, LATERAL script_assignments(o.text, o.base) a", rows=rows)
 
 
 @own("D11_D12_lieges_and_tributaries", f"SELECT concat('k_', o_custkey) AS entity_id, CASE WHEN o_orderkey % 14 = 5 THEN 'de_jure_liege' ELSE 'tributary' END AS kind, 'k_x' AS value, arg_max(o_orderkey, (d, o_orderkey)) AS declaration_order FROM (SELECT *, {day('o_orderdate')} AS d FROM orders) x WHERE o_orderkey % 14 IN (5, 12) AND d <= {EVENTS_AT} GROUP BY ALL")
@@ -489,16 +551,15 @@ def lieges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @own("D13_name_overrides", f"SELECT concat('k_', o_custkey) AS title_id, 'key_x' AS localization_key, 'Name X' AS display_name, 'declared' AS status, arg_max(o_orderkey, (d, o_orderkey)) AS declaration_order FROM (SELECT *, {day('o_orderdate')} AS d FROM orders) x WHERE o_orderkey % 14 = 6 AND d <= {EVENTS_AT} GROUP BY o_custkey")
 def name_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = title_events.title_events(title_operations(spark, sf_dir), installed(spark, sf_dir), EVENTS_AT)
+    rows = title_events.title_events(title_events.read(title_operations(spark, sf_dir)), installed(spark, sf_dir), EVENTS_AT)
     return title_events.name_overrides(rows, EVENTS_AT).select("title_id", "localization_key", "display_name", "status", "declaration_order")
 
 
 @own("D9_resolution_status", f"WITH {_EVENTS} SELECT o_orderkey AS declaration_order, CASE WHEN o_custkey % 10 = 3 THEN 'superseded' WHEN o_custkey % 10 = 4 THEN 'review_required' WHEN f = 7 OR (f = 11 AND o_orderkey % 4 = 1) OR (f IN (3, 4) AND (holder IS NULL OR d > {EVENTS_AT})) OR (f = 8 AND o_orderkey NOT IN (SELECT o_orderkey FROM e WHERE event_type LIKE 'dynasty%')) THEN 'preserved' ELSE 'normalized' END AS status FROM held")
 def resolution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = title_operations(spark, sf_dir)
-    snapshot = installed(spark, sf_dir)
-    read = title_events.evaluated(title_events.candidates(ops, snapshot, EVENTS_AT), recognised(spark, sf_dir)).withColumn("read", F.lit(True))
-    rows = ops.join(read, ["title_id", "effective_date", "declaration_order"], "left")
+    found = title_events.read(title_operations(spark, sf_dir))
+    read = title_events.evaluated(title_events.candidates(found, installed(spark, sf_dir), EVENTS_AT), found.said).withColumn("read", F.lit(True))
+    rows = found.operations.join(read, ["title_id", "effective_date", "declaration_order"], "left")
     held = F.col("title_id").rlike("3$"), F.col("title_id").rlike("4$")
     return rows.select("declaration_order", effects.resolution(*held, F.col("operation_key").isin(*states.TITLE_KEYS) | F.coalesce("read", F.lit(False))).alias("status"))
 

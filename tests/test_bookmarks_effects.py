@@ -63,7 +63,7 @@ def test_effects(spark):
     events = effects.recognised(ops).cache()
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     cut = 8700101
-    assert {tuple(r) for r in effects.laws_in_force(events, ids("law_a", "law_b"), cut).collect()} == {("k_a", 1, "law_a"), ("k_a", 2, "law_b")}
+    assert {tuple(r) for r in effects.laws_in_force(events, ids("law_a", "law_b"), cut).collect()} == {("k_a", 1, "law_a", 8670101, 1), ("k_a", 2, "law_b", 8670101, 1)}
     lieges = effects.in_force(effects.known(events, "de_jure_liege", ids("d_b", "d_c", "c_b")), cut)
     assert {(r.entity_id, r.value, r.status) for r in lieges.collect()} == {("c_a", "d_c", "declared"), ("c_c", None, "explicit_clear")}
     titles = spark.createDataFrame([("b_a", "c_a", "barony"), ("b_b", "c_a", "barony"), ("c_a", "d_b", "county"), ("d_b", None, "duchy")], "title_id string, parent_title_id string, title_rank string")
