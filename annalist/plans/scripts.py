@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import effects, forms, readings, script
-from annalist.operators import classify, journal, replay, states, title_events
+from annalist.operators import baselines, classify, journal, replay, states, title_events
 from annalist.plans.registry import day, own, run_sql
-from annalist.sources import bookmarks, html_tables, saves, script_files, sinks
+from annalist.sources import bookmarks, commits, html_tables, saves, script_files, sinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -650,12 +650,55 @@ def lifecycle_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @own("D37_playthroughs", "SELECT concat('run_', o_orderkey) AS playthrough_id, concat_ws('; ', CASE WHEN o_orderkey % 7 = 0 THEN 'ruler_name is required' END, CASE WHEN o_custkey % 30 >= 25 THEN 'Baseline is not promoted for the selected reference snapshot' WHEN o_orderkey % 11 = 0 THEN concat('Unknown title: t_', o_orderkey) END) AS reasons FROM orders")
 def playthroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = run_sql(spark, sf_dir, "SELECT concat('run_', o_orderkey) AS playthrough_id, 's' AS reference_snapshot_id, concat('b', o_custkey % 30) AS baseline_id, concat('t_', o_orderkey) AS starting_title_id, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE ' A ' END AS ruler_name, 'm' AS source FROM orders")
-    baselines = run_sql(spark, sf_dir, "SELECT concat('b', n_nationkey) AS baseline_id, 's' AS reference_snapshot_id, '0867-01-01' AS baseline_date FROM nation")
+    promoted = run_sql(spark, sf_dir, "SELECT concat('b', n_nationkey) AS baseline_id, 's' AS reference_snapshot_id, '0867-01-01' AS baseline_date FROM nation")
     chains = run_sql(spark, sf_dir, "SELECT concat('b', o_custkey % 30) AS baseline_id, concat('t_', o_orderkey) AS starting_title_id, 'd' AS duchy FROM orders WHERE o_orderkey % 11 <> 0")
-    good, bad = journal.playthroughs(requests, baselines, chains)
+    good, bad = journal.playthroughs(requests, promoted, chains)
     return good.select("playthrough_id", F.lit("").alias("reasons")).unionByName(bad.select("playthrough_id", "reasons"))
 
 
+_RUNS = "SELECT concat('run_', o_orderkey) AS playthrough_id, 's' AS reference_snapshot_id, concat('b', o_custkey % 25) AS baseline_id, concat('b_', o_orderkey) AS starting_title_id, ' A ' AS ruler_name, 'm' AS source FROM orders"
+_CREATED = "playthrough_id, lifecycle_state, transaction_id, baseline_date, starting_duchy_id, event_type, target_id, source, note"
+
+
+def created(spark: SparkSession, path: str) -> DataFrame:
+    """The three tables of created playthroughs, joined."""
+    runs, starts, events = (commits.read(spark, path, n, s) for n, s in (("playthroughs", journal.PLAYTHROUGHS), ("playthrough_baselines", journal.CONTEXTS), ("transaction_events", journal.TRANSACTIONS)))
+    return runs.join(starts.drop("source"), "playthrough_id").join(events.drop("playthrough_id"), "transaction_id").select(*_CREATED.split(", "))
+
+
+@own("D37_created", f"""SELECT concat('run_', o_orderkey) AS playthrough_id, 'active' AS lifecycle_state, concat('run_', o_orderkey, ':created') AS transaction_id, '0867-01-01' AS baseline_date, concat('d_', o_custkey) AS starting_duchy_id, 'playthrough_created' AS event_type,
+concat('b_', o_orderkey) AS target_id, 'm' AS source, concat('Baseline b', o_custkey % 25) AS note FROM orders WHERE o_orderkey % 3 <> 2""")
+def created_playthroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits are published; one that repeats a playthrough and one of a baseline that isn't promoted leave nothing."""
+    path = place(spark, f"runs-{uuid.uuid4().hex}")
+    requests = run_sql(spark, sf_dir, _RUNS)
+    promoted = run_sql(spark, sf_dir, "SELECT concat('b', n_nationkey) AS baseline_id, 's' AS reference_snapshot_id, '0867-01-01' AS baseline_date FROM nation")
+    chains = run_sql(spark, sf_dir, "SELECT concat('b', o_custkey % 25) AS baseline_id, concat('b_', o_orderkey) AS starting_title_id, 'e_x' AS empire, 'k_x' AS kingdom, concat('d_', o_custkey) AS duchy, 'c_x' AS county, concat('b_', o_orderkey) AS barony FROM orders")
+    third = F.substring_index("playthrough_id", "_", -1).cast("long") % 3
+    for part, refused in ((requests.where(third == 0), False), (requests.where(third == 1), False), (requests.where(third != 1), True), (requests.where(third == 2).withColumn("reference_snapshot_id", F.lit("other")), True)):
+        try:
+            journal.create(spark, path, part, promoted, chains)
+        except ValueError:
+            if not refused:
+                raise
+    return created(spark, path)
+
+
+@own("D38_confirmed", """SELECT concat('run_', o_orderkey) AS playthrough_id, 'active' AS lifecycle_state, concat('run_', o_orderkey, ':created') AS transaction_id, '19920101' AS baseline_date, concat('d_', o_custkey) AS starting_duchy_id, 'playthrough_created' AS event_type,
+concat('b_', o_orderkey) AS target_id, 'confirmed_ck3_save' AS source, 'Baseline b0' AS note FROM orders WHERE o_orderkey % 4 > 0""")
+def confirmed_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves of orders, a quarter of them with a domain title that isn't installed, proposed, confirmed and created."""
+    titles = run_sql(spark, sf_dir, "SELECT 'e_x' AS title_id, 'empire' AS title_rank, CAST(NULL AS varchar(40)) AS parent_title_id, true AS selectable UNION ALL SELECT 'k_x', 'kingdom', 'e_x', true UNION ALL SELECT concat('d_', c_custkey), 'duchy', 'k_x', true FROM customer UNION ALL SELECT concat('c_', o_orderkey), 'county', concat('d_', o_custkey), true FROM orders UNION ALL SELECT concat('b_', o_orderkey), 'barony', concat('c_', o_orderkey), true FROM orders")
+    saves = run_sql(spark, sf_dir, "SELECT o_orderkey AS request_id, '1.0' AS game_version, 19950101 AS game_date, CAST(NULL AS varchar(40)) AS reference_snapshot_id, CAST(NULL AS varchar(40)) AS baseline_id, concat('d_', o_custkey) AS primary_title_id, concat('b_', o_orderkey) AS realm_capital_title_id, array(CASE WHEN o_orderkey % 4 = 0 THEN 'd_none' ELSE concat('c_', o_orderkey) END) AS domain_title_ids FROM orders")
+    known = spark.createDataFrame([("b0", "s", "1.0", 19920101), ("b1", "s", "1.0", 19990101)], "baseline_id string, reference_snapshot_id string, game_version string, baseline_date int")
+    found = baselines.proposals(saves, known, titles)
+    people = run_sql(spark, sf_dir, "SELECT o_orderkey AS request_id, concat('run_', o_orderkey) AS playthrough_id, 's' AS reference_snapshot_id, 'A' AS ruler_name, concat('h', o_custkey) AS ruler_character_id FROM orders")
+    chains = found.where("error is null").select("baseline_id", F.col("starting_barony_id").alias("starting_title_id"), *[F.col(f"starting_{r}_id").alias(r) for r in ("empire", "kingdom", "duchy", "county", "barony")])
+    path = place(spark, f"runs-{uuid.uuid4().hex}")
+    journal.create(spark, path, journal.confirmed(found, people), known, chains)
+    return created(spark, path)
+
+
 # --- sinks: written to the session's warehouse and read back
 
 
@@ -674,11 +717,11 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 @own("K5_replace_slice", "SELECT n_nationkey, n_regionkey, CASE WHEN n_regionkey IN (1, 2) THEN 'new' ELSE 'old' END AS v FROM nation WHERE n_regionkey <> 3 AND NOT (n_regionkey = 1 AND n_nationkey % 2 = 0)")
 def replaced_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions 1 to 3 are replaced: 1 by half its rows, 2 by all, 3 by none."""
-    rows, path = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lit("old").alias("v")), place(spark, "slice")
-    rows.write.mode("overwrite").partitionBy("n_regionkey").parquet(path)
+    rows, path = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lit("old").alias("v")), place(spark, f"slice-{uuid.uuid4().hex}")
+    commits.commit(spark, path, {"nation": commits.Change(rows, ("n_regionkey",))})
     new = rows.where("(n_regionkey = 1 and n_nationkey % 2 = 1) or n_regionkey = 2").withColumn("v", F.lit("new"))
-    sinks.replace_slice(new, path, ["n_regionkey"], spark.createDataFrame([(1,), (2,), (3,)], "n_regionkey int"))
-    return spark.read.schema("n_nationkey int, v string, n_regionkey int").parquet(path).select("n_nationkey", "n_regionkey", "v")
+    commits.commit(spark, path, {"nation": commits.Change(new, ("n_regionkey",), spark.createDataFrame([(1,), (2,), (3,)], "n_regionkey int"))})
+    return commits.read(spark, path, "nation", "n_nationkey int, n_regionkey int, v string")
 
 
 @own("K7_upsert", "SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'new' ELSE 'old' END AS v FROM customer")

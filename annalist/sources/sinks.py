@@ -1,4 +1,4 @@
-"""Sinks: appends, slices replaced by owner, keyed replacement published as a new version, updates from another table, and CSV.
+"""Sinks: appends, keyed replacement published as a new version, updates from another table, and CSV.
 
 Readers never see half a write: a version is written whole and then pointed to. A pointer is a folder named by its number, created only if
 it doesn't exist, so of two writers that start from the same version one fails and has to read again.
@@ -21,38 +21,18 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def replace_slice(rows: DataFrame, path: str, owner: list[str], owners: DataFrame | None = None) -> None:
-    """The slices of the owners are replaced by rows, other owners' rows stay. owners: which are replaced, those in rows if not given.
-
-    An owner without rows loses its slice: its partition's folder is removed after the others were written.
-    """
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*owner).parquet(path)
-    if owners is None:
-        return
-    spark = rows.sparkSession
-    # Owners of one replacement are few: a snapshot's, a report's.
-    for gone in owners.select(*owner).distinct().join(rows.select(*owner).distinct(), owner, "left_anti").collect():
-        folder = _path(spark, "/".join([path, *[f"{c}={_escaped(str(gone[c]))}" for c in owner]]))
-        _files(spark, folder).delete(folder, True)
-
-
-def _escaped(value: str) -> str:
-    """As Spark names partition folders."""
-    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
-
-
-def _path(spark: SparkSession, text: str):
+def path_of(spark: SparkSession, text: str):
     return spark._jvm.org.apache.hadoop.fs.Path(text)
 
 
-def _files(spark: SparkSession, path):
+def files_of(spark: SparkSession, path):
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """(number, folder) of each published version."""
-    folder = _path(spark, f"{path}/pointers")
-    files = _files(spark, folder)
+    folder = path_of(spark, f"{path}/pointers")
+    files = files_of(spark, folder)
     if not files.exists(folder):
         return []
     out = []
@@ -64,40 +44,40 @@ def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
 
 def read_version(spark: SparkSession, path: str) -> DataFrame | None:
     """The version that is pointed to last, None before the first."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{versions[-1][1]}") if versions else None
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path}/{known[-1][1]}") if known else None
 
 
-def _point(spark: SparkSession, path: str, version: str, known: list[tuple[int, str]]) -> None:
+def point(spark: SparkSession, path: str, version: str, known: list[tuple[int, str]]) -> None:
     """Name a written version as the next one; RuntimeError if another writer was first, and the version is removed."""
     number = known[-1][0] + 1 if known else 0
-    made, taken = _path(spark, f"{path}/.new-{version}"), _path(spark, f"{path}/pointers/{number:012d}")
-    files = _files(spark, made)
-    files.mkdirs(_path(spark, f"{path}/.new-{version}/{version}"))
-    files.mkdirs(_path(spark, f"{path}/pointers"))
+    made, taken = path_of(spark, f"{path}/.new-{version}"), path_of(spark, f"{path}/pointers/{number:012d}")
+    files = files_of(spark, made)
+    files.mkdirs(path_of(spark, f"{path}/.new-{version}/{version}"))
+    files.mkdirs(path_of(spark, f"{path}/pointers"))
     # A rename to a folder that exists would put the source into it, so that is looked for as well.
     if files.exists(taken) or not files.rename(made, taken):
         files.delete(made, True)
-        files.delete(_path(spark, f"{path}/{version}"), True)
+        files.delete(path_of(spark, f"{path}/{version}"), True)
         raise RuntimeError(f"another writer published version {number}")
 
 
-def _forget(spark: SparkSession, path: str, names: list[str], pointers: list[int]) -> None:
-    files = _files(spark, _path(spark, path))
+def forget(spark: SparkSession, path: str, names: list[str], pointers: list[int]) -> None:
+    files = files_of(spark, path_of(spark, path))
     for number in pointers:
-        files.delete(_path(spark, f"{path}/pointers/{number:012d}"), True)
+        files.delete(path_of(spark, f"{path}/pointers/{number:012d}"), True)
     for name in names:
-        files.delete(_path(spark, f"{path}/{name}"), True)
+        files.delete(path_of(spark, f"{path}/{name}"), True)
 
 
 def publish(rows: DataFrame, path: str) -> None:
     """Write rows as a new version, then point to it; versions before the KEPT last ones are removed."""
     spark, version = rows.sparkSession, uuid.uuid4().hex
-    known = _versions(spark, path)
+    known = versions(spark, path)
     rows.write.parquet(f"{path}/{version}")
-    _point(spark, path, version, known)
+    point(spark, path, version, known)
     old = known[: max(0, len(known) + 1 - KEPT)]
-    _forget(spark, path, [name for _, name in old], [number for number, _ in old])
+    forget(spark, path, [name for _, name in old], [number for number, _ in old])
 
 
 def bucket_of(key: str) -> Column:
@@ -111,8 +91,8 @@ def _parts(spark: SparkSession, path: str, version: str) -> dict[int, str]:
 
 def read_buckets(spark: SparkSession, path: str, schema: str, wanted: set[int] | None = None) -> DataFrame:
     """The rows that are pointed to last, of all buckets or those wanted."""
-    versions = _versions(spark, path)
-    parts = _parts(spark, path, versions[-1][1]) if versions else {}
+    known = versions(spark, path)
+    parts = _parts(spark, path, known[-1][1]) if known else {}
     folders = [f"{path}/{v}/data/_bucket={b}" for b, v in sorted(parts.items()) if wanted is None or b in wanted]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
@@ -120,16 +100,16 @@ def read_buckets(spark: SparkSession, path: str, schema: str, wanted: set[int] |
 def publish_buckets(rows: DataFrame, path: str, key: str) -> None:
     """Replace the buckets of rows by rows and point to the whole; buckets without rows stay as they were written before."""
     spark, version = rows.sparkSession, uuid.uuid4().hex
-    known = _versions(spark, path)
+    known = versions(spark, path)
     rows.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{version}/data")
-    data = _path(spark, f"{path}/{version}/data")
-    touched = [int(f.getPath().getName().split("=")[1]) for f in _files(spark, data).listStatus(data) if f.getPath().getName().startswith("_bucket=")]
+    data = path_of(spark, f"{path}/{version}/data")
+    touched = [int(f.getPath().getName().split("=")[1]) for f in files_of(spark, data).listStatus(data) if f.getPath().getName().startswith("_bucket=")]
     parts = (_parts(spark, path, known[-1][1]) if known else {}) | dict.fromkeys(touched, version)
     spark.createDataFrame(sorted(parts.items()), "bucket int, version string").coalesce(1).write.parquet(f"{path}/{version}/parts")
-    _point(spark, path, version, known)
+    point(spark, path, version, known)
     old = known[: max(0, len(known) + 1 - KEPT)]
     held = set(parts.values()) | {v for _, name in known[len(old) :] for v in _parts(spark, path, name).values()}
-    _forget(spark, path, [name for _, name in old if name not in held], [number for number, _ in old])
+    forget(spark, path, [name for _, name in old if name not in held], [number for number, _ in old])
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str], overwrite: bool = True) -> None:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 
 import pytest
 
-from annalist.sources import html_tables, saves, sinks
+from annalist.sources import commits, html_tables, saves, sinks
 from annalist.sources import script_files as sf
 from annalist.streaming import observations
 
@@ -81,11 +82,14 @@ def test_html_tables(spark):
 
 def test_sinks_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "owner string, v int")
-    sinks.replace_slice(rows, f"{tmp_path}/slices", ["owner"])
-    sinks.replace_slice(rows.where("owner = 'a'").selectExpr("owner", "v + 10 AS v"), f"{tmp_path}/slices", ["owner"])
-    assert {(r.owner, r.v) for r in spark.read.parquet(f"{tmp_path}/slices").collect()} == {("a", 11), ("b", 2)}
-    sinks.replace_slice(rows.limit(0), f"{tmp_path}/slices", ["owner"], rows.where("owner = 'a'"))
-    assert {(r.owner, r.v) for r in spark.read.parquet(f"{tmp_path}/slices").collect()} == {("b", 2)}
+    for change, want in (
+        (commits.Change(rows, ("owner",)), {("a", 1), ("b", 2)}),
+        (commits.Change(rows.where("owner = 'a'").selectExpr("owner", "v + 10 AS v"), ("owner",)), {("a", 11), ("b", 2)}),
+        (commits.Change(rows.limit(0), ("owner",), rows.where("owner = 'a'")), {("b", 2)}),
+        (commits.Change(rows.where("owner = 'a'")), {("a", 1), ("b", 2)}),
+    ):
+        commits.commit(spark, f"{tmp_path}/slices", {"t": change})
+        assert {(r.owner, r.v) for r in commits.read(spark, f"{tmp_path}/slices", "t", "owner string, v int").collect()} == want
     more = spark.createDataFrame([("b", 9), ("c", 3)], "owner string, v int")
     for overwrite, want in ((True, 9), (False, 2)):
         path = f"{tmp_path}/keyed{overwrite}"
@@ -94,19 +98,51 @@ def test_sinks_and_stream(spark, tmp_path):
         assert {(r.owner, r.v) for r in sinks.read_version(spark, path).collect()} == {("a", 1), ("b", want), ("c", 3)}
     for _ in range(3):
         sinks.publish(rows, f"{tmp_path}/versions")
-    assert len(sinks._versions(spark, f"{tmp_path}/versions")) == sinks.KEPT and sinks.read_version(spark, f"{tmp_path}/versions").count() == 2
-    first = sinks._versions
+    assert len(sinks.versions(spark, f"{tmp_path}/versions")) == sinks.KEPT and sinks.read_version(spark, f"{tmp_path}/versions").count() == 2
+    first = sinks.versions
     try:
         # Another writer that knew as much publishes first.
         stale = first(spark, f"{tmp_path}/versions")[:1]
-        sinks._versions = lambda *x: stale
+        sinks.versions = lambda *x: stale
         with pytest.raises(RuntimeError, match="another writer"):
             sinks.publish(rows, f"{tmp_path}/versions")
     finally:
-        sinks._versions = first
+        sinks.versions = first
     assert sinks.read_version(spark, f"{tmp_path}/versions").count() == 2
     schema = "id long, key string, at timestamp, v int"
     for batch in ([(1, "x", "2024-01-02", 1), (1, "x", "2024-01-02", 1)], [(2, "x", "2024-01-03", 2), (3, "x", "2024-01-01", 3), (4, "y", "2024-01-01", 4)]):
         spark.createDataFrame(batch, "id long, key string, at string, v int").selectExpr("id", "key", "cast(at AS timestamp) AS at", "v").write.mode("append").parquet(f"{tmp_path}/in")
         observations.keep_latest(observations.observed(spark, f"{tmp_path}/in", schema), "key", "id", "at", f"{tmp_path}/latest", f"{tmp_path}/state", "30 days").awaitTermination()
     assert {(r.key, r.v) for r in observations.latest(spark, f"{tmp_path}/latest", schema).collect()} == {("x", 2), ("y", 4)}
+
+
+def test_commits_show_all_tables_or_none(spark, tmp_path):
+    path, schema = f"{tmp_path}/tables", "k string, v int"
+    rows = lambda *x: commits.Change(spark.createDataFrame(x, schema))
+    shown = lambda: {t: sorted(tuple(r) for r in commits.read(spark, path, t, schema).collect()) for t in "ab"}
+    assert shown() == {"a": [], "b": []}
+    commits.commit(spark, path, {"a": rows(("x", 1)), "b": rows(("x", 1))})
+    before = {"a": [("x", 1)], "b": [("x", 1)]}
+    broken = spark.range(1).selectExpr("'y' AS k", "CAST(raise_error('lost') AS int) AS v")
+    with pytest.raises(Exception, match="lost"):
+        commits.commit(spark, path, {"a": rows(("y", 2)), "b": commits.Change(broken)})
+    assert shown() == before and len(os.listdir(path)) == 2
+
+    def meanwhile(read):
+        commits.commit(spark, path, {"a": rows(("z", 3))})
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        commits.commit(spark, path, {"a": rows(("y", 2)), "b": rows(("y", 2))}, meanwhile)
+    assert shown() == {"a": [("x", 1), ("z", 3)], "b": [("x", 1)]}
+
+    def refuse(read):
+        if read("a", schema).where("k = 'x'").count():
+            raise ValueError("x is there")
+
+    with pytest.raises(ValueError, match="x is there"):
+        commits.commit(spark, path, {"a": rows(("x", 5))}, refuse)
+    # Null owners have slices of their own; what old manifests alone named is removed.
+    for v in range(4):
+        commits.commit(spark, path, {"b": commits.Change(spark.createDataFrame([(None, v)], schema), ("k",))})
+    assert {(r.k, r.v) for r in commits.read(spark, path, "b", schema).collect()} == {("x", 1), (None, 3)}
+    assert len(sinks.versions(spark, path)) == sinks.KEPT
