@@ -39,6 +39,8 @@ def _prefixed(rows: DataFrame, prefix: str, key: str) -> DataFrame:
 def titles(p: Profile) -> DataFrame:
     """A row for each title: hierarchy, baseline, state, holder (a reviewed adjudication's before the declared one), overrides and warnings."""
     one = p.baseline.join(p.snapshot, "reference_snapshot_id")
+    if len(one.limit(2).collect()) != 1:
+        raise ValueError("one baseline with its snapshot is needed")
     reviewed = _prefixed(p.adjudications.where("review_status = 'reviewed'").drop("review_status"), "adjudicated", "title_id")
     of_title = [_prefixed(p.states, "history", "title_id"), _prefixed(p.validations, "holder", "title_id"), reviewed, p.de_jure, p.tributaries, _prefixed(p.names, "override", "title_id")]
     rows = reduce(lambda held, more: held.join(more, "title_id", "left"), of_title, p.titles)

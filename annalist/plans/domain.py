@@ -166,7 +166,12 @@ def native_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.native_languages(run_sql(spark, sf_dir, _CULTURED), run_sql(spark, sf_dir, _LANGUAGES))[0]
 
 
-shared("D24_unmapped_cultures", f"SELECT DISTINCT culture_id FROM ({_CULTURED}) c WHERE culture_id IS NOT NULL AND culture_id NOT IN (SELECT concat('cu', r_regionkey) FROM region)")
+@own("D24_unmapped_cultures", f"SELECT DISTINCT culture_id FROM ({_CULTURED}) c WHERE culture_id IS NOT NULL AND culture_id NOT IN (SELECT concat('cu', r_regionkey) FROM region)")
+def unmapped_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = run_sql(spark, sf_dir, "SELECT concat('cu', r_regionkey) AS culture_id, concat('language_', r_regionkey) AS language_id FROM region")
+    return states.native_languages(run_sql(spark, sf_dir, _CULTURED), mapping)[1].select(F.col("subject").alias("culture_id"))
+
+
 _GRANTS = f"SELECT concat('h', o_custkey) AS character_id, concat('cu', o_orderkey % 25) AS culture_id, {day('o_orderdate')} AS effective_date, o_orderkey AS declaration_order, 0 AS step FROM orders"
 _KNOWN = "SELECT concat('h', c_custkey) AS character_id, concat('language_', c_nationkey % 5) AS language_id FROM customer"
 

@@ -126,6 +126,16 @@ def house_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_files.unresolved(script_files.field(houses, "dynasty"), "value", script_files.catalog(dynasty_files(spark, sf_dir)))
 
 
+#: A house's dynasty by its number: one scalar, none, two, or a block.
+_HOUSE = "CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'dynasty = 1 dynasty = 2' WHEN 2 THEN 'dynasty = { 1 }' ELSE 'name = x dynasty = 1' END"
+
+
+@own("S10_one_dynasty", "SELECT 'must declare one scalar dynasty' AS rule, concat('house_', c_custkey) AS subject FROM customer WHERE c_custkey % 4 < 3")
+def houses_of_one_dynasty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    houses = joined(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", F.format_string("house_%d = { %s }\n", F.col("c_custkey"), F.expr(_HOUSE)))
+    return script_files.not_one_scalar(houses, "dynasty")
+
+
 def nickname_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("s_suppkey") % 4 == 0, "is_bad = yes").when(F.col("s_suppkey") % 4 == 1, "is_prefix = yes is_bad = no").when(F.col("s_suppkey") % 9 == 2, "is_bad = maybe is_new = yes").otherwise("")
     return joined(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.format_string("nick_%d = { %s }\n", "s_suppkey", said))
@@ -502,6 +512,19 @@ _LAW_FACTS = f"""ops AS ({_LAW_OPS}), laws AS (SELECT *, declaration_order % 4 <
 runs AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY effective_date, declaration_order) AS epoch FROM laws)"""
 
 
+#: Baronies of orders under counties of customers, which name themselves their county's capital: always, for the right date, for another, or in a form that doesn't count.
+_BARONIES = f"""SELECT concat('b_', o_orderkey) AS title_id, 'a.txt' AS path, CAST({day("o_orderdate")} AS INT) AS effective_date, o_orderkey AS declaration_order, 'effect' AS operation_key, 'block' AS value_kind, CAST(NULL AS varchar(40)) AS scalar_value,
+  CASE o_orderkey % 5 WHEN 0 THEN '{{ set_capital_barony = yes }}' WHEN 1 THEN '{{ if = {{ limit = {{ game_start_date = 1996.1.1 }} set_capital_barony = yes }} }}' WHEN 2 THEN '{{ if = {{ limit = {{ game_start_date = 1066.9.15 }} set_capital_barony = yes }} }}'
+    WHEN 3 THEN '{{ set_capital_barony = no }}' ELSE '{{ if = {{ limit = {{ game_start_date = 1996.1.1 exists = holder }} set_capital_barony = yes }} }}' END AS raw_value FROM orders"""
+
+
+@own("D7_barony_capitals", f"SELECT concat('c_', o_custkey) AS entity_id, concat('b_', arg_max(o_orderkey, (d, o_orderkey))) AS value, max((d, o_orderkey))[2] AS declaration_order FROM (SELECT *, {day('o_orderdate')} AS d FROM orders) x WHERE o_orderkey % 5 < 2 AND d <= {EVENTS_AT} GROUP BY o_custkey")
+def barony_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = run_sql(spark, sf_dir, "SELECT concat('b_', o_orderkey) AS title_id, concat('c_', o_custkey) AS parent_title_id, 'barony' AS title_rank FROM orders")
+    said = title_events.read(run_sql(spark, sf_dir, _BARONIES)).said.withColumnRenamed("title_id", "entity_id")
+    return effects.capital_in_force(said, titles, EVENTS_AT).select("entity_id", "value", "declaration_order")
+
+
 @own("D10_laws_in_force", f"""WITH {_LAW_FACTS}, each AS (SELECT title_id, epoch, max(epoch) OVER (PARTITION BY title_id) AS last, effective_date, declaration_order, unnest(ids) AS law, generate_subscripts(ids, 1) AS step FROM runs WHERE effective_date <= 8670101 AND ids IS NOT NULL AND len(ids) > 0 ),
 ends AS (SELECT title_id, max(epoch) AS final FROM runs WHERE effective_date <= 8670101 AND ids IS NOT NULL GROUP BY title_id),
 firsts AS (SELECT e.title_id, law, min(({{'a': effective_date, 'b': declaration_order, 'c': step}})) AS place FROM each e JOIN ends USING (title_id) WHERE epoch = final GROUP BY ALL)

@@ -144,6 +144,12 @@ def field(source: DataFrame, name: str) -> DataFrame:
     return blocks.join(given, ["path", "at"], "left").select("id", F.col("_value").alias("value"), F.coalesce("n", F.lit(0)).alias("n"), "path", "line_start")
 
 
+def not_one_scalar(source: DataFrame, name: str) -> DataFrame:
+    """Problems: outermost blocks that don't give the field just once, as a scalar (a house's dynasty)."""
+    rows = field(source, name).where("n <> 1 or value is null")
+    return problems(f"must declare one scalar {name}", rows, "id")
+
+
 def languages(pillars: DataFrame) -> DataFrame:
     return field(pillars, "type").where("value = 'language'").select("id", "path", "line_start")
 

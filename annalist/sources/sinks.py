@@ -136,9 +136,14 @@ def table(spark: SparkSession, name: str, allowed: tuple[str, ...]) -> DataFrame
 
 
 def saved_once(spark: SparkSession, path: str, name: str, location: str) -> DataFrame:
-    """The table of that name, made at a location from Parquet files if it isn't there yet."""
-    if not spark.catalog.tableExists(name):
+    """The table of that name, made at a location from Parquet files if it isn't there yet or was made from other files."""
+    made_from = None
+    if spark.catalog.tableExists(name):
+        made_from = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get("made_from")
+    if made_from != path:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         spark.read.parquet(path).write.mode("overwrite").option("path", location).saveAsTable(name)
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('made_from' = '{path}')")
     return spark.table(name)
 
 

@@ -146,3 +146,13 @@ def test_commits_show_all_tables_or_none(spark, tmp_path):
         commits.commit(spark, path, {"b": commits.Change(spark.createDataFrame([(None, v)], schema), ("k",))})
     assert {(r.k, r.v) for r in commits.read(spark, path, "b", schema).collect()} == {("x", 1), (None, 3)}
     assert len(sinks.versions(spark, path)) == sinks.KEPT
+
+
+def test_a_saved_table_follows_its_files(spark, tmp_path):
+    for k in (1, 2):
+        spark.range(k).write.parquet(f"{tmp_path}/in{k}")
+    try:
+        for k in (1, 1, 2, 1):
+            assert sinks.saved_once(spark, f"{tmp_path}/in{k}", "annalist_follow", f"{tmp_path}/table").count() == k
+    finally:
+        spark.sql("DROP TABLE IF EXISTS annalist_follow")
