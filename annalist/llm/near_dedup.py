@@ -154,6 +154,17 @@ def similar(a: bytes, b: bytes) -> bool:
     return bool(x and y) and 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+def node_texts(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """texts (id, text) with each text of an id once. repeated: the ids that several rows have.
+
+    Copies of a text are cut to one before the shuffle, so many equal rows are one row to compare.
+    """
+    if repeated.isEmpty():
+        return texts
+    once = texts.join(repeated, "id", "left_semi").groupBy("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_digest")).agg(F.min("text").alias("text")).select("id", "text")
+    return texts.join(repeated, "id", "left_anti").unionByName(once)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar. texts: (id, text) of every node in a pair; a node's sets are equal.
 
@@ -313,9 +324,10 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = written(spark, signed.where("n_shingles > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("code").alias("code")), "nodes")
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     members = written(spark, shared_buckets(placed, F.col("node")), "members")
-    # A node stands for one set: of rows that repeat an id, the text whose set is the node's isn't known, so each is tried.
+    # A node stands for one set: of rows that repeat an id, the text whose set is the node's isn't known, so each different one is tried.
     wanted = members.select(F.col("node").alias("id")).distinct()
-    texts = written(spark, documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "texts")
+    repeated = signed.groupBy("id").agg(F.count("*").alias("_times")).where("_times > 1 and id is not null").select("id")
+    texts = written(spark, node_texts(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), written(spark, repeated, "repeated")), "texts")
     links = written(spark, verified(star_pairs(members), texts), "links")
     labels = components(spark, links)
 

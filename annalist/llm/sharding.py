@@ -9,7 +9,7 @@ Only SQL functions are used. Slots are numbered gaplessly in each shard: rows eq
 hot group is one row in every shuffle; counts are summed by (shard, part), the parts' offsets over that small table, and groups get
 the numbers from their running sum on, which are expanded last, in runs of RUN.
 
-Defined results: a null id is hashed as a value of its own; a null text has size 1 and the checksum of no bytes; rows that
+Defined results: ids are read as long, so an id goes to the same shard whatever integer type it has; a null id is hashed as a value of its own; a null text has size 1 and the checksum of no bytes; rows that
 repeat an id go to the same shard and get slots of their own; an empty table gives an empty table; only the named columns
 are read.
 """
@@ -75,7 +75,7 @@ def shard_of(key: Column, node: Node) -> Column:
 def assign(documents: DataFrame, tree: Node, new_tree: Node, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """Columns id, size, text_crc32, shard, grown_shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = documents.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.select("*", shard_of(F.col("id"), tree).alias("shard"), shard_of(F.col("id"), new_tree).alias("grown_shard"), F.pmod(F.xxhash64("id", "text_crc32"), F.lit(parts)).cast("int").alias("_part"))
     groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))

@@ -805,3 +805,21 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
         else:
             assert not got - Counter(rows) and got[(4, good)] == 2 and got[(None, good)] == 1
     assert Counter((r.doc_id, r.n_tokens == 0) for r in stages["encode"](spark, frame, sf_dir).collect()) == Counter((i, not t) for i, t in rows)
+
+
+def test_near_dedup_compares_repeated_rows_once(spark, monkeypatch):
+    """Two ids with 300 rows each: their texts are one pair to compare."""
+    base = prose(200, random.Random(11))
+    near = edited(base, 0.01, random.Random(12))
+    frame = spark.createDataFrame([(k, t) for k, t in ((1, base), (2, near)) for _ in range(300)], "doc_id long, text string").repartition(6)
+    compared = []
+    plain = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, texts: compared.append(texts.count()) or plain(pairs, texts))
+    rows = near_dedup.groups(frame).groupBy("id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in rows} == {(1, 1, True, 300), (2, 1, False, 300)} and max(compared) == 2
+
+
+def test_sharding_does_not_depend_on_the_type_of_ids(spark):
+    frame = spark.range(200).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    shards = [both(sharding.assign(frame.withColumn("doc_id", F.col("doc_id").cast(kind)), queries.SHARDS, sharding.grown(queries.SHARDS, 16)), "id", "shard", "grown_shard", "slot") for kind in ("int", "long", "string")]
+    assert shards[0] == shards[1] == shards[2]
