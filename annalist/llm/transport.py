@@ -4,10 +4,10 @@
 access units are PES packets with presentation timestamps; random access points are marked in the
 adaptation field, which also carries the program clock. `demux` parses streams again, its own and others: it
 reads the program tables (sections may span packets), checks the continuity counter of every packet identifier, leaves out legal repeats of
-a packet, puts the elementary packets of each stream together (of declared or of open length) and keeps each one's timestamp, random-access mark and place.
+a packet, takes tables that are in force only, puts the elementary packets of each stream together (of declared or of open length) and keeps each one's timestamp (null if it has none), random-access mark and place.
 
 Damage never raises. What can't be trusted is left out and counted: bytes between packets (sync_errors), breaks of a counter (continuity_errors), table
-sections with a wrong checksum (table_errors), elementary packets that are cut short, lost their start code or had a break inside (unit_errors).
+sections with a wrong checksum (table_errors), packets that are marked as erroneous or scrambled (packet_errors), elementary packets that are cut short, lost their start code or had a break inside (unit_errors).
 
 Defined results: null text is an empty text (one padding unit of 255 bytes); equal texts give equal
 streams; null media gives status `null` and null digests, a stream with any error `damaged`, any other `ok`; an empty table gives an empty table; only the named columns are read, so extra columns don't
@@ -33,6 +33,7 @@ PACKET = 188
 SYNC = 0x47
 PAT_PID, PMT_PID, ES_PID, NULL_PID = 0x0000, 0x1000, 0x0100, 0x1FFF
 STREAM_TYPE_PRIVATE = 0x06
+PAT_TABLE, PMT_TABLE = 0x00, 0x02
 PRIVATE_STREAM = 0xBD
 CLOCK = 90_000
 
@@ -146,6 +147,7 @@ class Stream:
     packets: int = 0
     repeats: int = 0
     sync_errors: int = 0
+    packet_errors: int = 0
     continuity_errors: int = 0
     table_errors: int = 0
     unit_errors: int = 0
@@ -161,7 +163,7 @@ class Stream:
 
     @property
     def status(self) -> str:
-        return "damaged" if self.sync_errors or self.continuity_errors or self.table_errors or self.unit_errors else "ok"
+        return "damaged" if self.sync_errors or self.packet_errors or self.continuity_errors or self.table_errors or self.unit_errors else "ok"
 
     def first(self) -> Elementary:
         return min(self.elementary.items())[1] if self.elementary else Elementary(0)
@@ -252,8 +254,8 @@ def sections(rows: np.ndarray, starts: np.ndarray, offset: np.ndarray, out: Stre
     return list(found)
 
 
-def elementary(out: Elementary, rows: np.ndarray, starts: np.ndarray, offset: np.ndarray, access: np.ndarray, broken: np.ndarray) -> int:
-    """Put the access units of one stream together; returns how many were left out."""
+def elementary(out: Elementary, rows: np.ndarray, starts: np.ndarray, offset: np.ndarray, access: np.ndarray, broken: np.ndarray, cut: bool) -> int:
+    """Put the access units of one stream together; returns how many were left out. cut: packets may be missing after the last one."""
     lost = 0
     data = rows[np.arange(PACKET)[None, :] >= offset[:, None]].tobytes()
     at = np.concatenate(([0], np.cumsum(PACKET - offset)))
@@ -264,12 +266,11 @@ def elementary(out: Elementary, rows: np.ndarray, starts: np.ndarray, offset: np
         size = 6 + (pes[4] << 8 | pes[5]) if len(pes) > 8 else 0
         open_length = size == 6
         # A break inside spoils the unit; one at the next head may have cut the end of a unit of open length.
-        spoilt = breaks[last] - breaks[first + 1] > 0 or open_length and last < len(rows) and broken[last]
+        spoilt = breaks[last] - breaks[first + 1] > 0 or open_length and (broken[last] if last < len(rows) else cut)
         if spoilt or pes[:3] != b"\x00\x00\x01" or len(pes) < max(9, size) or 9 + pes[8] > (len(pes) if open_length else size):
             lost += 1
             continue
-        if pes[7] & 0x80 and pes[8] >= 5:
-            out.pts.append(read_timestamp(pes[9:14]))
+        out.pts.append(read_timestamp(pes[9:14]) if pes[7] & 0x80 and pes[8] >= 5 else None)
         if access[first]:
             out.random_access.append(len(out.units))
         out.units.append(pes[9 + pes[8] :] if open_length else pes[9 + pes[8] : size])
@@ -281,6 +282,11 @@ def demux(stream: bytes) -> Stream:
     rows, lost = packet_rows(stream)
     out = Stream(packets=len(rows), sync_errors=lost)
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+    # Of a packet with the transport-error bit not even the identifier can be trusted; a scrambled one can't be read.
+    bad = (rows[:, 1] & 0x80 > 0) | (rows[:, 3] & 0xC0 > 0) & (pid != NULL_PID)
+    out.packet_errors = int(bad.sum())
+    after_bad = int(np.flatnonzero(bad)[-1]) - out.packet_errors + 1 if out.packet_errors else 0
+    rows, pid = rows[~bad], pid[~bad]
     control = rows[:, 3] >> 4 & 3
     has_adaptation, has_payload = (control & 2) > 0, (control & 1) > 0
     length = np.where(has_adaptation, rows[:, 4].astype(np.int32), -1)
@@ -297,17 +303,17 @@ def demux(stream: bytes) -> Stream:
     def of(wanted: int) -> np.ndarray:
         return np.flatnonzero((pid == wanted) & has_payload & ~repeated)
 
-    def tables(wanted: int) -> list[bytes]:
+    def tables(wanted: int, kind: int) -> list[bytes]:
         own = of(wanted)
-        return sections(rows[own], starts[own], offset[own], out)
+        return [t for t in sections(rows[own], starts[own], offset[own], out) if t[0] == kind and t[5] & 1]
 
-    for table in tables(PAT_PID):
+    for table in tables(PAT_PID, PAT_TABLE):
         for at in range(8, len(table) - 4, 4):
             number = table[at] << 8 | table[at + 1]
             if number:
                 out.programs[number] = (table[at + 2] & 0x1F) << 8 | table[at + 3]
     for map_pid in sorted(set(out.programs.values())):
-        for table in tables(map_pid):
+        for table in tables(map_pid, PMT_TABLE):
             at = 12 + ((table[10] & 0x0F) << 8 | table[11])
             while at + 5 <= len(table) - 4:
                 out.elementary.setdefault((table[at + 1] & 0x1F) << 8 | table[at + 2], Elementary(table[at]))
@@ -315,7 +321,7 @@ def demux(stream: bytes) -> Stream:
     for es, held in out.elementary.items():
         own = of(es)
         if len(own):
-            out.unit_errors += elementary(held, rows[own], starts[own], offset[own], (flags[own] & 0x40) > 0, broken[own])
+            out.unit_errors += elementary(held, rows[own], starts[own], offset[own], (flags[own] & 0x40) > 0, broken[own], bool(own[-1] < after_bad))
     return out
 
 
