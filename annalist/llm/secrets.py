@@ -1,7 +1,7 @@
 """Secret scans: fixed shapes, and guess cost of values that stand in a credential context.
 
 Base spans are those of three patterns. The method adds spans of kind `guess`: in a wider credential context (more key
-words, key boundaries by a change of case too; values of any visible characters, in quotes up to the same quote, else up to white space)
+words, key boundaries by a change of case too, a line break before the sign; values of any visible characters, in quotes up to the same quote, else up to white space)
 the value is cut into words, dates, repeats, sequences, keyboard walks and
 brute-force spans so that the number of guesses is least; a value that takes at least 10**MIN_LOG10 guesses is a secret. Words are
 guessed by their rank in a list: frequent password parts, then the words of a tokenizer's rank file in its order, if its path is given.
@@ -35,11 +35,12 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Each alternative of CONTEXT has one of these.
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
 CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[_-]?(?:key|secret))["']?[\x20\t]*(?:=>|[:=])[\x20\t]*(?:bearer\x20|basic\x20)?""",
+    r"""(?:(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:pwd|pass|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|private|access|signing|encryption|secret|client)[\x20_-]?(?:key|secret))|password|passwd|passphrase|passcode)(?:[_-]?(?:value|text|string))?[0-9]{0,4}(?:\\?["'])?[\x20\t]*(?:\r?\n[\x20\t]*)?(?:=>|:=|[:=])[\x20\t]*(?:bearer\x20|basic\x20)?""",
     re.I | re.A,
 )
-#: What follows a context: a value in quotes up to the same quote in its line, or visible characters.
-VALUE = re.compile(r"""(?:"((?:[^"\\\r\n]|\\.)*)"|'((?:[^'\\\r\n]|\\.)*)'|`((?:[^`\\\r\n]|\\.)*)`)|["'`]?(\S+)""")
+#: What follows a context: a value in three quotes, in escaped ones, in quotes up to the same quote in its line, or visible characters (the group UNQUOTED).
+VALUE = re.compile(r"""(?:"{3}((?:[^"\\]|\\.|"(?!""))*)"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*)'{3}|\\"([^"\\\r\n]*)\\"|\\'([^'\\\r\n]*)\\'|"((?:[^"\\\r\n]|\\.)*)"|'((?:[^'\\\r\n]|\\.)*)'|`((?:[^`\\\r\n]|\\.)*)`)|["'`]?(\S+)""")
+UNQUOTED = VALUE.groups
 #: Guesses (power of ten) from which a value counts as a secret.
 MIN_LOG10 = 9.0
 
@@ -61,10 +62,13 @@ _LEET = str.maketrans("@4310$5!7", "aaeiossit")
 #: Letters of a listed word.
 MIN_WORD, MAX_WORD = 3, 24
 _NEAR: dict[str, set[str]] = {}
-for _row in ROWS:
-    for _a, _b in zip(_row, _row[1:]):
-        _NEAR.setdefault(_a, set()).add(_b)
-        _NEAR.setdefault(_b, set()).add(_a)
+for _a, _b in [p for row in ROWS for p in zip(row, row[1:])] + [
+    # A key touches two of the row above it; the digits' row begins one key further left.
+    (low, high) for k in (1, 2, 3) for at, low in enumerate(ROWS[k]) for high in ROWS[k - 1][at + (k == 1) : at + (k == 1) + 2]
+]:
+    _NEAR.setdefault(_a, set()).add(_b)
+    _NEAR.setdefault(_b, set()).add(_a)
+_KEY = {c: (k, at + (k == 0 and -1)) for k, row in reversed(list(enumerate(ROWS[:4]))) for at, c in enumerate(row)}
 _DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 #: Power of ten of: starting one more segment, a date, a year, a brute-force character.
 _SEGMENT, _FULL_DATE, _YEAR, _BRUTE = 0.3, math.log10(365 * 120), math.log10(120), 1.0
@@ -94,6 +98,12 @@ def word_ranks(ranks_path: str | None = None) -> dict[str, int]:
     return out
 
 
+def _way(a: str, b: str) -> tuple[int, int]:
+    """Where a step between two keys goes: up or down, else left or right along the row."""
+    (row, at), (to, there) = _KEY.get(a, (0, 0)), _KEY.get(b, (0, 0))
+    return (to > row) - (to < row), 0 if to != row else (there > at) - (there < at)
+
+
 def _runs(value: str) -> list[tuple[int, int, float]]:
     """Maximal spans of one repeated unit of 1 to 4 characters, of code-point sequences and of keyboard walks, with costs."""
     found, n = [], len(value)
@@ -112,15 +122,15 @@ def _runs(value: str) -> list[tuple[int, int, float]]:
             if abs(step) == 1 and k - start >= 3:
                 found.append((start, k, 1.4 + math.log10(k - start)))
             start, step = k - 1, now
-    start, turns, before = 0, 0, 0
+    start, turns, before = 0, 0, (0, 0)
     for k in range(1, n + 1):
         near = k < n and (low[k] == low[k - 1] or low[k] in _NEAR.get(low[k - 1], ()))
         if not near:
             if k - start >= 4:
                 found.append((start, k, 1.7 + math.log10(k - start) + 0.5 * turns))
-            start, turns, before = k, 0, 0
+            start, turns, before = k, 0, (0, 0)
         else:
-            way = ord(low[k]) > ord(low[k - 1])
+            way = _way(low[k - 1], low[k])
             turns += bool(k - 1 > start and way != before)
             before = way
     return found
@@ -181,8 +191,8 @@ def guess_spans(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[Span, tu
         if not value:
             continue
         s, e = value.span(value.lastindex)
-        if value.lastindex == 4:
-            e = s + len(value[4].rstrip(".:!?)]},;\"'`>"))
+        if value.lastindex == UNQUOTED:
+            e = s + len(value[UNQUOTED].rstrip(".:!?)]},;\"'`>"))
         if e - s >= MIN_VALUE and guess_cost(text[s:e], ranks) >= MIN_LOG10:
             found.append((("guess", s, e), (s, e)))
     return found
