@@ -3,11 +3,11 @@
 Events of the standard library's HTML parser are cut into lines, one per block of text, each with its number of tags.
 The ratio of text to tags is smoothed over neighbouring lines with a Gaussian; lines above a threshold cluster into
 content regions. The regions decide: they elect the deepest element that holds most of their text, which is widened to the element
-that holds all their blocks without a mark and to the main or article element around that. The result is every block of that
-place, in page order, so that short lines of the article stay.
+that holds all their blocks without a mark and to the article element, or else the main one, around that. The result is every block of that
+place, in page order, so that short lines of the article stay, but for runs of LINK_RUN or more lines whose text is mostly links, where most of the run is outside the regions.
 
 Elements that are never article text go: menus, headers, footers, sidebars, forms, scripts, styles by their tag or role. Class and
-id names are marks: a marked block doesn't widen the place, and one inside it goes if its name says nothing but furniture
+id names are marks: one that means readers' comments and nothing else is taken like a menu; any other marked block doesn't widen the place, and one inside it goes if its name says nothing but furniture
 (cookie-notice, comment-list, ad) or if the regions agree (a related-links box of short lines, but not a related-work section of prose).
 Work is linear in the page's length, whatever its nesting.
 
@@ -37,11 +37,14 @@ FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead header topbar footer sidebar aside widget ad ads advert adverts advertisement "
     "advertising sponsor sponsored promo promotion banner cookie cookies gdpr consent notice notices popup modal overlay newsletter subscribe "
     "subscription signup share sharing social related recommended recommendations comment comments disqus respond replies pagination pager "
-    "login search skip copyright toolbar teaser".split()
+    "login search skip copyright toolbar teaser adslot adslots adunit adbox adbanner adwrapper adcontainer adsense commentlist responses".split()
 )
+#: Words of a reader's comment, and those that may stand beside them in a name that means nothing else.
+READER_WORDS = frozenset("comment comments commentlist commentslist commentthread disqus reply replies thread threads".split())
+READER_BESIDE = frozenset("user users reader readers visitor guest discussion thread form respond count header title new add latest".split())
 NEGATING = frozenset("has with no without".split())
 #: Words that say nothing about what an element holds.
-NEUTRAL = frozenset("list box block area section wrap wrapper container item items post posts link links bar panel inner outer top bottom left right site page global module message main body content".split())
+NEUTRAL = frozenset("list box block area section wrap wrapper container item items post posts link links bar panel inner outer top bottom left right site page global module message main body content wide narrow large small".split())
 HEADING_OF = frozenset("article post entry content story".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 blockquote pre section article aside header footer nav form figure hr main address fieldset details".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Open elements that a tag ends.
@@ -52,6 +55,8 @@ for _name, _enders in CLOSED_BY.items():
 STAYS_OPEN_IN = frozenset("ul ol dl table div section article body".split())
 #: Gaussian of the smoothing (lines), share of the standard deviation that is the threshold, share of region text an element must hold.
 SIGMA, LEVEL, SHARE = 1.0, 0.5, 0.7
+#: Neighbouring lines of links that make a menu; share of a line's text in links from which it counts as one.
+LINK_RUN, LINK_SHARE = 4, 0.8
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -76,6 +81,8 @@ def furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
         if k in ("class", "id") and tag not in INLINE:
             for name in v.split():
                 words = {w.lower() for w in _WORDS.findall(name)}
+                if words & READER_WORDS and words <= READER_WORDS | READER_BESIDE | NEUTRAL and not (words <= {"thread", "threads"} | NEUTRAL):
+                    return HARD
                 hit = words & FURNITURE_WORDS
                 if tag == "article":
                     hit &= {"comment"}
@@ -102,6 +109,8 @@ class Lines(HTMLParser):
         self.last: list[int] = []
         self.names: list[str] = []
         self.lines: list[tuple[str, int, int, int, int]] = []
+        self.linked: list[bool] = []
+        self.link_chars = self.chars = 0
         self.parts: list[str] = []
         self.tags = 0
 
@@ -112,7 +121,9 @@ class Lines(HTMLParser):
             if text:
                 _, number, mark, marked = self.stack[-1] if self.stack else _PAGE
                 self.lines.append((text, self.tags, number, mark, marked))
+                self.linked.append(self.link_chars >= LINK_SHARE * self.chars)
                 self.tags = 0
+            self.link_chars = self.chars = 0
 
     def pop(self, depth: int) -> None:
         if self.blocks and self.blocks[-1] >= depth:
@@ -174,6 +185,9 @@ class Lines(HTMLParser):
         if self.stack and self.stack[-1][0] in ("script", "style"):
             return
         self.parts.append(data)
+        size = len(data) - data.count(" ")
+        self.chars += size
+        self.link_chars += size if self.open.get("a") else 0
 
     def finish(self) -> None:
         self.close()
@@ -216,16 +230,29 @@ def totals(parents: list[int], own: dict[int, int]) -> list[int]:
     return out
 
 
+def link_menus(linked: list[bool], region: list[bool]) -> list[bool]:
+    """Lines of links that stand in runs of LINK_RUN or more, most of each outside the regions."""
+    out, start = [False] * len(linked), 0
+    for k, link in enumerate([*linked, False]):
+        if not link:
+            if k - start >= LINK_RUN and 2 * sum(region[start:k]) < k - start:
+                out[start:k] = [True] * (k - start)
+            start = k + 1
+    return out
+
+
 def main_text(html: str) -> str:
     p = Lines()
     p.feed(html)
     p.finish()
-    lines = [line for line in p.lines if line[3] < HARD]
+    at = [k for k, line in enumerate(p.lines) if line[3] < HARD]
+    lines = [p.lines[k] for k in at]
     if not lines:
         return ""
     ratios = [0.0 if mark == HARD else len(text) / max(1, tags) for text, tags, _, mark, _ in p.lines]
     inside = content_regions(ratios)
-    content = [x for x, line in zip(inside, p.lines) if line[3] < HARD]
+    content = [inside[k] for k in at]
+    menu = link_menus([p.linked[k] for k in at], content)
     weight: dict[int, int] = {}
     plain: dict[int, int] = {}
     good: dict[int, int] = {}
@@ -248,12 +275,13 @@ def main_text(html: str) -> str:
     # Most of the text isn't all of it: widen until every block of the regions without a mark is inside.
     while chosen >= 0 and by_plain[chosen] < by_plain[-1]:
         chosen = p.parents[chosen]
-    # Then to the main or article around it.
+    # Then to the outermost article around it, or else the outermost main.
+    around: dict[str, int] = {}
     element = chosen
     while element >= 0:
-        if p.names[element] in ("main", "article"):
-            chosen = element
+        around[p.names[element]] = element
         element = p.parents[element]
+    chosen = around.get("article", around.get("main", chosen))
     # A single block isn't a region: widen to the element that holds it and its neighbours.
     while chosen >= 0 and by_good[chosen] < 2 <= by_good[-1] and p.parents[chosen] >= 0:
         chosen = p.parents[chosen]
@@ -261,7 +289,7 @@ def main_text(html: str) -> str:
     # A marked element whose name leaves it open is prose if its text in the regions is, tag for tag, over the threshold too.
     level = level_of(smoothed(ratios))
     prose = {e for e, (text, tags) in held.items() if text >= level * max(1, tags)}
-    return " ".join(text for text, _, e, mark, marked in lines if chosen <= e <= last and (not mark or mark == WEAK and marked in prose))
+    return " ".join(text for (text, _, e, mark, marked), links in zip(lines, menu) if not links and chosen <= e <= last and (not mark or mark == WEAK and marked in prose))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
