@@ -5,10 +5,10 @@ Texts are normalised first: lower case, punctuation becomes space, one space bet
 Embedding: a walk reads the character at its place, writes it down and moves on or stays, as a random bit of (step, character)
 says. Two windows with few edits between them are read alike again soon after each edit, so edit distance becomes Hamming
 distance of what the walks wrote. Windows of an item's size are seen from every word of them (every character of scripts without
-spaces, and beyond RUN characters without a space): from each such start, in each of WALKS repetitions, a key of steps drawn at
+spaces, and beyond RUN characters without a space): from each such start, in each repetition, a key of steps drawn at
 random is read from the embedding, by the item's size as DRAWS says. A shared key of a document's start p and an item's start o makes the
-item-sized window at p - o a candidate. An item has as many keys as starts times WALKS, which reaches the recall that the README gives as
-measured with MAX_EDITS of the characters edited.
+item-sized window at p - o a candidate. An item takes WALKS repetitions, and as many more as it needs for KEYS keys in all if it has few
+starts (long words), up to MOST_WALKS, which reaches the recall that the README gives as measured with MAX_EDITS of the characters edited.
 
 Items under SHORT characters have too few starts. They are looked up exactly: their walk always moves on and is written whole. An
 item of n characters with up to k = MAX_EDITS * n edits has n // q pieces of q = n // (k + 1) characters, of which n // q - k or more
@@ -40,8 +40,8 @@ from annalist.llm.common import U64, chunks, mapped, mix, seeded, session_defaul
 MAX_EDITS = 0.15
 #: Least size of an item, steps of its walks, steps of them that make a key: short items have few starts, so that their keys are to hit more often.
 DRAWS = ((40, 24, 8), (80, 36, 12))
-#: Repetitions; characters without a space after which every character is a start.
-WALKS, RUN = 4, 16
+#: Least and most repetitions of an item, keys that it is to have, characters without a space after which every character is a start.
+WALKS, MOST_WALKS, KEYS, RUN = 4, 32, 48, 16
 STEPS = max(steps for _, steps, _ in DRAWS)
 #: Items under so many characters are looked up exactly.
 SHORT = DRAWS[0][0]
@@ -118,11 +118,11 @@ class Table:
 class Walks:
     """The repetitions of one draw: random bits of (step, symbol), the steps that are sampled and the words that make a key of them."""
 
-    def __init__(self, steps: int, samples: int) -> None:
-        bits = seeded(WALKS * steps * SYMBOLS, 0xC6C + steps).reshape(WALKS, steps, SYMBOLS)
+    def __init__(self, steps: int, samples: int, count: int) -> None:
+        bits = seeded(count * steps * SYMBOLS, 0xC6C + steps).reshape(count, steps, SYMBOLS)
         self.moves = (bits >> U64(63)).astype(np.int64)
         self.words = mix(bits)
-        draw = seeded(WALKS * steps, 0xB17 + steps).reshape(WALKS, steps)
+        draw = seeded(count * steps, 0xB17 + steps).reshape(count, steps)
         self.sampled = [set(np.argsort(row)[:samples].tolist()) for row in draw]
 
     def keys(self, data: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,18 +193,23 @@ class Index:
         for (least, steps, samples), limit in zip(DRAWS, [*(d[0] for d in DRAWS[1:]), 1 << 60]):
             own = np.flatnonzero((self.size >= least) & (self.size < limit))
             if len(own):
-                self.draws.append(self.tables(Walks(steps, samples), own, [data[k] for k in own]))
+                self.draws.append(self.tables(steps, samples, own, [data[k] for k in own]))
 
-    def tables(self, walks: Walks, numbers: np.ndarray, items: list[np.ndarray]) -> tuple[Walks, list[Table]]:
+    def tables(self, steps: int, samples: int, numbers: np.ndarray, items: list[np.ndarray]) -> tuple[Walks, list[Table]]:
         every = np.concatenate([np.append(t, np.zeros(STEPS, np.int64)) for t in items])
         begin = np.concatenate(([0], np.cumsum(self.size[numbers] + STEPS)))
         starts = start_places(every)
         own = np.searchsorted(begin, starts, "right") - 1
-        out = []
-        for k in range(WALKS):
+        # Half of a walk's steps move on, so starts so near to the end have no key of the item's alone.
+        usable = starts + steps // 2 <= begin[own] + self.size[numbers][own]
+        count = np.maximum(1, np.bincount(own[usable], minlength=len(numbers)))
+        turns = np.clip(-(-KEYS // count), WALKS, MOST_WALKS)
+        out, walks = [], Walks(steps, samples, int(turns.max()))
+        for k in range(int(turns.max())):
+            asked = turns[own] > k
             key, end = walks.keys(every, starts, k)
             # What a walk reads after the item's end isn't the item's.
-            inside = end <= begin[own] + self.size[numbers][own]
+            inside = asked & (end <= begin[own] + self.size[numbers][own])
             out.append(Table(key[inside], numbers[own[inside]], (starts - begin[own])[inside]))
         return walks, out
 

@@ -134,6 +134,39 @@ def test_transport_reads_legal_streams_of_others():
     assert len(packets) > 2 and found.streams == {0x100: 6, 0x200: 0x0F} and found.table_errors == 0 and found.payload == payload
 
 
+def test_transport_leaves_out_what_is_marked():
+    payload = random.Random(3).randbytes(40_000)
+    stream = transport.mux(payload)
+    rows = [bytearray(stream[k : k + 188]) for k in range(0, len(stream), 188)]
+    heads = [k for k, r in enumerate(rows) if r[1] & 0x40 and r[1] & 0x1F == 1]
+    size = len(transport.demux(stream).first().units[0])
+    for place, bits in ((1, 0x80), (3, 0x80)):
+        for at, kept in ((heads[1] + 2, payload[:size] + payload[2 * size :]), (len(rows) - 1, None)):
+            marked = [bytearray(r) for r in rows]
+            marked[at][place] |= bits
+            marked[at][100] ^= 1
+            found = transport.demux(b"".join(map(bytes, marked)))
+            assert (found.packet_errors, found.status, found.unit_errors) == (1, "damaged", 1)
+            assert found.payload == kept if kept else payload.startswith(found.payload) and found.payload != payload
+    # A program table that isn't in force yet, or of another kind, replaces nothing.
+    for place, value in ((5, 0xC0), (0, 0x42)):
+        other = bytearray(rows[0])
+        table = 4 + 1
+        end = table + 3 + ((other[table + 1] & 15) << 8 | other[table + 2])
+        other[table + place], other[table + 10], other[table + 11] = value, 0xE0 | 0x0A, 0x0A
+        other[end - 4 : end] = transport.crc32_mpeg(bytes(other[table : end - 4])).to_bytes(4, "big")
+        other[3] = other[3] & 0xF0 | (other[3] + 1) & 15
+        found = transport.demux(b"".join(map(bytes, [rows[0], other, *rows[1:]])))
+        assert found.table_errors == 0 and found.payload == payload
+    # A unit without a timestamp keeps its place.
+    for k, r in enumerate(rows):
+        if k == heads[1]:
+            at = bytes(r).index(b"\0\0\1\xbd")
+            r[at + 7] &= 0x3F
+    found = transport.demux(b"".join(map(bytes, rows))).first()
+    assert len(found.pts) == len(found.units) and [k for k, x in enumerate(found.pts) if x is None] == [1]
+
+
 def test_transport_rows_without_media(spark, none):
     frame = spark.createDataFrame([(1, 3, None), (None, 3, bytearray(b"G" * 500)), (2, 0, bytearray(transport.mux(b"abc"))), (2, 0, bytearray(transport.mux(b"abc")))], "id int, n_bytes long, media binary")
     got = [(r.id, r.status, r.payload_bytes, r.access_units) for r in transport.features(frame).collect()]
@@ -399,6 +432,34 @@ def test_leaks_reach_the_recall_at_the_declared_shares_of_edits(size, spaced, sh
     assert len(want) > 40 and all(want[k] == d for k, d in got.items()) and len(got) >= (0.9 if share else 1) * len(want)
 
 
+@pytest.mark.parametrize("size", [40, 48, 60, 80, 120])
+@pytest.mark.parametrize("letters", [(3, 3), (9, 12), (13, 16), (15, 16)])
+def test_leaks_reach_the_recall_for_words_of_any_length(letters, size):
+    rng = random.Random(size * 100 + letters[0])
+
+    def words(chars: int) -> str:
+        out = ""
+        while len(out) < chars:
+            out += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*letters))) + " "
+        return out[:chars].strip()
+
+    items = [words(size) for _ in range(150)]
+    index = decontamination.Index(list(enumerate(items)))
+    texts = [f"{words(200)} {damaged_words(x, int(0.15 * len(x)), rng)} {words(200)}" for x in items]
+    want = {k for k, (x, t) in enumerate(zip(items, texts)) if decontamination.edit_search(x, t)[0] <= decontamination.MAX_EDITS * len(x)}
+    got = {k for k, found in enumerate(index.matches(texts)) if k in found}
+    assert len(want) > 100 and got <= want and len(got) >= 0.95 * len(want), len(got) / len(want)
+
+
+def damaged_words(text: str, edits: int, rng: random.Random) -> str:
+    """As `damaged`, but spaces are spared."""
+    out = list(text)
+    for _ in range(edits):
+        at, way = rng.choice([k for k, c in enumerate(out) if c != " "]), rng.randrange(3)
+        out[at : at + (way < 2)] = [rng.choice("abcdefghijk")] if way else []
+    return "".join(out)
+
+
 def test_leaks_of_exact_copies_of_any_shape():
     items = ["a b c d e f g h i j k l m n o p q r s t u v w x y z a b c d", "x" * 60, "日本語の文章は単語の間に空白がないので窓の始まりをすべての文字に置く" * 3, "q" * 30 + "7z" * 40]
     index = decontamination.Index([(k, decontamination.normalised(t)) for k, t in enumerate(items)])
@@ -521,6 +582,19 @@ def test_each_context_passes_the_word_filter_alone(word):
     assert [s[0] for s, _ in secrets.guess_spans(f'{word} = "Zq8!kfT2#pLm"')] == ["guess"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['token_value = "Zq8!kfT2#pLm"', "mypassword=Zq8!kfT2#pLm", "passwd2 = Zq8!kfT2#pLm", "encryption key: Zq8!kfT2#pLm", 'password = """Zq8!kfT2#pLm"""', "secret: '''Zq8!kfT2#pLm'''", "password\n  = Zq8!kfT2#pLm", '{\\"password\\": \\"Zq8!kfT2#pLm\\"}'],
+)
+def test_secret_contexts_of_other_shapes(text):
+    assert [text[a:b] for (_, a, b), _ in secrets.guess_spans(text)] == ["Zq8!kfT2#pLm"]
+
+
+@pytest.mark.parametrize("value", ["1qaz2wsx3edc", "!@password1990", "asdfghjklqwertyuiop"])
+def test_keyboard_walks_are_no_secrets(value):
+    assert secrets.guess_cost(value) < secrets.MIN_LOG10
+
+
 # --- 8 html
 
 
@@ -560,6 +634,34 @@ def test_html_keeps_prose_whose_name_only_resembles_furniture(name):
     assert html_content.main_text(PAGE % body) == f"Head {LONG} {LONG} {LONG}"
 
 
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>Place {k}</a></li>" for k in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("before", "inner", "behind"),
+    [
+        ("", "", f"<section class=user-comments><p>{LONG}</p><p>{LONG}</p></section>"),
+        ("", f"<div class=reader-comments><p>{LONG}</p></div>", ""),
+        ("", f"<div class=discussion-thread><p>{LONG}</p></div>", ""),
+        ("", "", f"<ol id=commentlist><li><p>{LONG}</p></li><li><p>{LONG}</p></li></ol>"),
+        ("", "", f"<div id=responses><article class=user-reply><p>{LONG}</p></article></div>"),
+        (LINKS, "", ""),
+        ("", LINKS, ""),
+        ("", f"<div class=adslot-wide><p>{LONG}</p></div>", ""),
+        (LINKS, f"<div class=comments-list><p>{LONG}</p></div>", LINKS),
+    ],
+)
+def test_html_leaves_out_comments_menus_and_adverts(before, inner, behind):
+    page = f"<main>{before}<article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p>{inner}<p>{LONG}</p></article>{behind}</main>"
+    assert html_content.main_text(PAGE % page) == f"Head {LONG} {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("name", ["comments-open", "commentary", "discussion", "thread", "no-comments"])
+def test_html_keeps_what_isnt_a_comment(name):
+    page = f"<main><article class={name}><h1>Head</h1><p>{LONG}</p><section class={name}><p>{LONG}</p><p>{LONG}</p></section><ul><li><a href=/1>One</a></li></ul></article></main>"
+    assert html_content.main_text(PAGE % page) == f"Head {LONG} {LONG} {LONG} One"
+
+
 def test_html_regions_decide(monkeypatch):
     """Blocks without any mark outside the article go by their ratio alone."""
     links = "<div>" + "".join(f"<div><a href=/{k}>Go {k}</a></div>" for k in range(12)) + "</div>"
