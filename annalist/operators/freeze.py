@@ -1,6 +1,6 @@
 """Freezing a blocked report's evidence: the ledger of character warnings and their unread declarations, its digest, and certified definitions.
 
-A ledger is checked before it is written: `problems` must be empty. Digests are of canonical JSON lines in key order, in buckets, so that no row holds a ledger.
+A ledger is checked before it is written: `problems` must be empty. Digests are roots of hash trees, so that no row holds a ledger.
 """
 
 from __future__ import annotations
@@ -13,17 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from annalist.functions import script
+from annalist.operators import trees
 
 PARSER = "installed_character_history"
 
 
 def digest(rows: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
-    """A digest of all rows, or of each group's, whatever their order: n and sha256. key: what orders rows within a bucket."""
-    groups = by or []
-    line = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
-    bucket = F.pmod(F.xxhash64(*key), F.lit(1024)).alias("b")
-    parts = rows.groupBy(*groups, bucket).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("d"), F.count("*").alias("n"))
-    return parts.groupBy(*groups).agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 4, "0"), "d")))), 256).alias("sha256"))
+    """A digest of all rows, or of each group's, whatever their order: n and sha256. key: what deals rows over the hash tree's buckets."""
+    return trees.roots(rows, key, by or [])
 
 
 def shaped(rows: DataFrame, raw: str = "raw_script") -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators import hierarchy
+
 
 @dataclass
 class Profile:
@@ -60,6 +62,60 @@ def warnings() -> Column:
     return F.array_compact(F.array(*told, unloaded))
 
 
+#: Sections of a title's inspection: their columns in order, and what they are ordered by.
+SECTIONS = {
+    "chain": (("title_id", "display_name", "title_rank", "selectable"), ("-depth",)),
+    "children": (("title_id", "display_name", "title_rank", "selectable", "validation_status", "validation_note"), ("display_name", "title_id")),
+    "blocks": (("source_block_order", "source_path", "duplicate_classification", "baseline_conflict_fields", "resolution_status", "is_winner"), ("source_block_order",)),
+    "laws": (("law_order", "law_id", "law_group_id", "effective_date", "source_declaration_order", "source_path", "source_line_start", "source_line_end", "validation_status", "validation_note"), ("law_order",)),
+    "variables": (("variable_name", "value_kind", "text_value", "effective_date", "source_declaration_order", "validation_status", "validation_note"), ("variable_name",)),
+    "prestige": (("dynasty_id", "minimum_prestige_level", "value_status", "effective_date", "source_holder_character_id", "source_declaration_order", "helper_source_path", "helper_raw_sha256", "validation_status", "validation_note"), ("effective_date", "source_declaration_order")),
+}
+#: Entries of one section that a row holds.
+PAGE = 1000
+
+
+def title_chain(nodes: DataFrame) -> DataFrame:
+    """owner and its chain with itself, for `sections`. nodes: title_id, parent_title_id, display_name, title_rank, selectable."""
+    shown = nodes.select("title_id", "display_name", "title_rank", "selectable")
+    return hierarchy.ancestors(nodes.select("title_id"), nodes.select("title_id", "parent_title_id")).join(shown, "title_id").withColumnRenamed("leaf", "owner")
+
+
+def title_laws(active: DataFrame, definitions: DataFrame) -> DataFrame:
+    """owner and its laws in force with where they are defined. active: title_id, law_id and its state; definitions: law_id, law_group_id, source_path, source_line_start, source_line_end."""
+    return active.withColumnRenamed("title_id", "owner").join(definitions, "law_id")
+
+
+def sections(tables: dict[str, DataFrame], page: int = PAGE) -> DataFrame:
+    """(owner, page, and an array for each section): everything listed under a title, a page at a time, so that no row grows with a title's fame.
+
+    tables: section to its rows with `owner`. All are tagged and united, shuffled once by owner, numbered within a section and grouped by page. A page holds the entries
+    page * n to page * n + page - 1 of each section in its order, an empty array where there are none; owners without entries have no row. Rows without an owner are left out; ties go by the whole entry.
+    """
+    kinds = {name: [dict(rows.dtypes)[c] for c in SECTIONS[name][0]] for name, rows in tables.items()}
+    shapes = {name: "struct<" + ",".join(f"{c}:{t}" for c, t in zip(SECTIONS[name][0], kinds[name])) + ">" for name in tables}
+
+    def tagged(name: str, rows: DataFrame) -> DataFrame:
+        fields, order = SECTIONS[name]
+        numbers = [F.lit(None).cast("double")] * 2
+        words = [F.lit(None).cast("string")] * 2
+        for k, c in enumerate(order):
+            column = F.col(c.lstrip("-"))
+            if dict(rows.dtypes)[c.lstrip("-")] == "string":
+                words[k] = column
+            else:
+                numbers[k] = (-column if c[0] == "-" else column).cast("double")
+        entries = [F.struct(*fields).alias(s) if s == name else F.lit(None).cast(shapes[s]).alias(s) for s in tables]
+        return rows.where("owner is not null").select("owner", F.lit(name).alias("section"), *(x.alias(f"_{k}") for k, x in enumerate((*numbers, *words))), F.to_json(F.struct(*fields)).alias("_4"), *entries)
+
+    united = reduce(DataFrame.unionByName, [tagged(name, rows) for name, rows in tables.items()]).repartition("owner")
+    place = F.row_number().over(Window.partitionBy("owner", "section").orderBy(*[f"_{k}" for k in range(5)])) - 1
+    # Both the numbering and the grouping are by owner, so the one shuffle serves them.
+    rows = united.withColumn("position", place).withColumn("page", F.floor(F.col("position") / page).cast("int"))
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("position", F.col(s).alias("entry"))))), lambda x: x["entry"]).alias(s) for s in tables]
+    return rows.groupBy("owner", "page").agg(*listed)
+
+
 def children(rows: DataFrame) -> DataFrame:
     """Each title's children in the order of their names: parent_title_id, position, title_id. The places are ranks within a parent."""
     place = F.row_number().over(Window.partitionBy("parent_title_id").orderBy("display_name", "title_id"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.operators import replay
+from annalist.operators import replay, trees
 
 # Expected parsers and their versions.
 PARSERS = {
@@ -103,12 +103,11 @@ def expected(spark: SparkSession) -> DataFrame:
 def bindings(parser_runs: DataFrame, source_files: DataFrame) -> DataFrame:
     """For each expected parser its latest run, the number of its manifests and their digest, whatever their order.
 
-    The digest is of 1,024 buckets of paths first, then of their digests, so no row holds all manifests of a parser.
+    The digest is the root of a hash tree over the manifests, so no row holds all of a parser.
     """
     latest = replay.latest(parser_runs, ["parser_name"], [F.desc("started_at"), F.desc("parser_run_id")]).select("parser_name", "parser_run_id", "parser_version", "status")
-    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in ("relative_path", "sha256", "byte_size", "modified_at", "parser_run_id")]), {"ignoreNullFields": "false"})
-    parts = source_files.groupBy("source_group", F.pmod(F.xxhash64("relative_path"), F.lit(1024)).alias("b")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("d"), F.count("*").alias("n"))
-    whole = parts.groupBy(F.col("source_group").alias("parser_name")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "b", "d")))), 256).alias("manifest_digest"), F.sum("n").alias("manifest_count"))
+    held = source_files.select(F.col("source_group").alias("parser_name"), "relative_path", "sha256", "byte_size", "modified_at", "parser_run_id")
+    whole = trees.roots(held, ["relative_path"], ["parser_name"], 2).withColumnsRenamed({"sha256": "manifest_digest", "n": "manifest_count"})
     rows = expected(parser_runs.sparkSession).join(latest, "parser_name", "left").join(whole, "parser_name", "left")
     return rows.select("parser_name", "parser_run_id", "parser_version", F.coalesce("status", F.lit("missing")).alias("parser_status"), F.coalesce("manifest_count", F.lit(0)).alias("manifest_count"), F.coalesce("manifest_digest", F.sha2(F.lit(""), 256)).alias("manifest_digest"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import baselines, classify, freeze, hierarchy, inspection, readiness, replay, states, summary
-from annalist.plans.registry import TITLES, day, own, run_sql, shared, titles
+from annalist.operators import baselines, classify, freeze, hierarchy, inspection, readiness, replay, states, summary, trees
+from annalist.plans.registry import TITLES, day, own, run_sql, shared, titles, tree_sql
 from annalist.sources import sinks
 
 BASELINE = 20240116
@@ -602,21 +602,64 @@ def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readiness.bindings(run_sql(spark, sf_dir, _PARSER_RUNS), run_sql(spark, sf_dir, _FILES)).drop("manifest_digest")
 
 
+_MANIFEST = ["relative_path", "sha256", "byte_size", "modified_at", "parser_run_id"]
+#: The manifests as they were: another content in one file of each of two parsers, and one file more of a third.
+_FILES_BEFORE = f"""SELECT source_group, relative_path, CASE WHEN source_group IN ('installed_landed_titles', 'installed_faiths') AND relative_path = least_path THEN 'other' ELSE sha256 END AS sha256, byte_size, modified_at, parser_run_id
+FROM (SELECT *, min(relative_path) OVER (PARTITION BY source_group) AS least_path FROM ({_FILES}) f) g UNION ALL SELECT 'installed_cultures', concat(r_name, '.txt'), 'sha', r_regionkey, 'then', 'run_0' FROM region WHERE r_regionkey = 0"""
+
+
+def _manifests(files: str) -> str:
+    said = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _MANIFEST)
+    return f"SELECT source_group, n, sha256 AS d FROM ({tree_sql(f'SELECT source_group, {said} FROM ({files}) f', _MANIFEST, ['relative_path'], ['source_group'], 2)[-1]}) t"
+
+
+@own("D34_manifest_digests", f"SELECT name AS parser_name, coalesce(n, 0) AS manifest_count, coalesce(d, sha256('')) AS manifest_digest FROM (VALUES {_PARSER_ROWS}) p(i, name, version) LEFT JOIN ({_manifests(_FILES)}) m ON source_group = name")
+def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readiness.bindings(run_sql(spark, sf_dir, _PARSER_RUNS), run_sql(spark, sf_dir, _FILES)).select("parser_name", "manifest_count", "manifest_digest")
+
+
+@own("D34_changed_manifests", f"SELECT 'stale' AS evidence_status, concat('Evidence changed for: ', string_agg(name, ', ' ORDER BY name), '.') AS evidence_detail FROM (VALUES {_PARSER_ROWS}) p(i, name, version) LEFT JOIN ({_manifests(_FILES)}) m ON m.source_group = name LEFT JOIN ({_manifests(_FILES_BEFORE)}) b ON b.source_group = name WHERE m.d IS DISTINCT FROM b.d")
+def changed_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = run_sql(spark, sf_dir, _PARSER_RUNS)
+    return readiness.changed_bindings(readiness.bindings(runs, run_sql(spark, sf_dir, _FILES_BEFORE)), readiness.bindings(runs, run_sql(spark, sf_dir, _FILES)))
+
+
+
+
 _REPORTS = "SELECT concat('r', o_orderkey) AS report_id, concat('b', o_orderkey % 3) AS baseline_id, o_orderdate AS generated_at FROM orders"
 _REPORT_FINDINGS = "SELECT concat('r', l_orderkey) AS report_id, l_linenumber AS finding_order, concat('code_', l_partkey) AS code, CASE l_returnflag WHEN 'R' THEN 'blocking' WHEN 'A' THEN 'accepted_exception' ELSE 'passed' END AS classification, CAST(l_quantity AS BIGINT) AS subject_count, 's' AS summary, 'd' AS detail FROM lineitem"
 
 
-@own("D48_latest_report", f"""WITH n AS (SELECT * FROM ({_REPORTS}) r WHERE baseline_id = 'b1' ORDER BY generated_at DESC, report_id DESC LIMIT 1)
+def _latest_report(baseline: str, status: str, held: int) -> str:
+    return f"""WITH n AS (SELECT * FROM ({_REPORTS}) r WHERE baseline_id = '{baseline}' ORDER BY generated_at DESC, report_id DESC LIMIT 1)
 SELECT n.report_id, count(*) FILTER (WHERE classification = 'blocking') AS blocking, count(*) FILTER (WHERE classification = 'accepted_exception') AS accepted_exception, CAST(0 AS BIGINT) AS informational, count(*) FILTER (WHERE classification = 'passed') AS passed, CASE WHEN count(*) FILTER (WHERE classification = 'blocking') > 0 THEN 'blocked' ELSE 'ready_for_review' END AS overall_status,
-string_agg(concat(finding_order, ':', code), ',' ORDER BY finding_order, code) AS findings, 'stale' AS evidence_status, CAST(0 AS BIGINT) AS evidence_binding_count FROM n JOIN ({_REPORT_FINDINGS}) f USING (report_id) GROUP BY ALL""")
-def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = readiness.bindings(run_sql(spark, sf_dir, _PARSER_RUNS), run_sql(spark, sf_dir, _FILES))
-    stored = current.where("false").select(F.lit("r").alias("report_id"), "*")
-    rows = readiness.latest_report(run_sql(spark, sf_dir, _REPORTS), run_sql(spark, sf_dir, _REPORT_FINDINGS), stored, current, "b1")
+string_agg(concat(finding_order, ':', code), ',' ORDER BY finding_order, code) AS findings, '{status}' AS evidence_status, CAST({held} AS BIGINT) AS evidence_binding_count FROM n JOIN ({_REPORT_FINDINGS}) f USING (report_id) GROUP BY ALL"""
+
+
+def _report(spark: SparkSession, sf_dir: str, stored: DataFrame, current: DataFrame, baseline: str) -> DataFrame:
+    rows = readiness.latest_report(run_sql(spark, sf_dir, _REPORTS), run_sql(spark, sf_dir, _REPORT_FINDINGS), stored, current, baseline)
     listed = F.array_join(F.transform("findings", lambda x: F.concat_ws(":", x["finding_order"], x["code"])), ",")
     return rows.select("report_id", *readiness.CLASSES, "overall_status", listed.alias("findings"), "evidence_status", "evidence_binding_count")
 
 
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readiness.bindings(run_sql(spark, sf_dir, _PARSER_RUNS), run_sql(spark, sf_dir, _FILES))
+
+
+@own("D48_latest_report", _latest_report("b1", "stale", 0))
+def latest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = _current(spark, sf_dir)
+    return _report(spark, sf_dir, current.where("false").select(F.lit("r").alias("report_id"), "*"), current, "b1")
+
+
+@own("D48_current_report", _latest_report("b2", "current", len(readiness.PARSERS)))
+def current_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings stored with every report of the baseline, the same as those of now."""
+    current = _current(spark, sf_dir)
+    reports = run_sql(spark, sf_dir, _REPORTS).where("baseline_id = 'b2'").select("report_id")
+    return _report(spark, sf_dir, reports.crossJoin(F.broadcast(current)), current, "b2")  # one binding a parser
+
+
 # --- freezing
 
 _STATES = "SELECT concat('h', c_custkey) AS character_id, 'warning' AS validation_status, c_name AS validation_note, c_mktsegment AS culture_id FROM customer WHERE c_acctbal < 0"
@@ -655,12 +698,29 @@ def freeze_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freeze.problems(report, run_sql(spark, sf_dir, _STATES), unread(spark, sf_dir), run_sql(spark, sf_dir, _TREE), {"files": 25, "directories": 0, "subjects": -1, "declarations": -1})
 
 
-@own("A19_ordered_digest", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+_DIGESTED = "SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS said FROM orders"
+
+
+@own("A19_ordered_digest", f"SELECT o_custkey, n, sha256 FROM ({tree_sql(_DIGESTED, ['o_orderkey', 'o_orderstatus', 'said'], ['o_orderkey'], ['o_custkey'], 4)[-1]}) t")
 def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of groups of rows; equal for another order of the rows, which is checked here by shuffling them."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice")
-    one, other = (freeze.digest(r, ["o_orderkey"], ["o_custkey"]) for r in (rows, rows.repartition(3, "o_totalprice")))
-    return one.join(other.select("o_custkey", "sha256"), ["o_custkey", "sha256"]).select("o_custkey", "n")
+    """Digests of groups of rows, whatever the order of the rows, which are shuffled here."""
+    return freeze.digest(run_sql(spark, sf_dir, _DIGESTED).repartition(3, "said"), ["o_orderkey"], ["o_custkey"])
+
+
+#: A manifest of paths and its later state: some paths gone, some with other bytes, some new.
+_PATHS = "SELECT concat('f/', o_orderkey, '.txt') AS path, concat(o_orderstatus, o_custkey) AS content FROM orders"
+_PATHS_LATER = "SELECT concat('f/', o_orderkey, '.txt') AS path, CASE WHEN o_orderkey % 89 = 0 THEN 'other' ELSE concat(o_orderstatus, o_custkey) END AS content FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT concat('g/', c_custkey), c_name FROM customer WHERE c_custkey % 10 = 0"
+
+
+@own("A19_manifest_tree", " UNION ALL ".join(tree_sql(_PATHS, ["path", "content"], ["path"], [], 4)))
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.tree(run_sql(spark, sf_dir, _PATHS), ["path"])
+
+
+@own("U7_manifest_changes", f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_PATHS}) a FULL JOIN ({_PATHS_LATER}) b ON a.path = b.path WHERE a.content IS DISTINCT FROM b.content")
+def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = run_sql(spark, sf_dir, _PATHS), run_sql(spark, sf_dir, _PATHS_LATER)
+    return trees.differences(old, new, trees.tree(old, ["path"]), trees.tree(new, ["path"]), ["path"])
 
 
 _DEFINED = "SELECT concat('t', n_nationkey) AS id, CASE WHEN n_nationkey % 8 = 0 THEN 'moved.txt' ELSE 'a.txt' END AS path, concat('sha', n_nationkey) AS raw_sha256 FROM nation"
@@ -712,6 +772,49 @@ def title_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspection.children(run_sql(spark, sf_dir, _PROFILE["titles"]))
 
 
+#: Titles with what is listed under them; every ancestor of a title but those that are missing is in its chain.
+_TREE_NODES = f"SELECT title_id, parent_title_id, display_name, substring(title_id, 1, 1) AS title_rank, title_id NOT LIKE '%7' AS selectable, CASE WHEN title_id LIKE '%3' THEN 'warning' ELSE 'valid' END AS validation_status, CAST(NULL AS varchar(40)) AS validation_note FROM ({TITLES}) t WHERE title_id NOT LIKE 'b%'"
+_LISTED = {
+    "blocks": "SELECT concat('c_', l_orderkey) AS owner, l_linenumber AS source_block_order, concat('f', l_suppkey % 5, '.txt') AS source_path, 'unique' AS duplicate_classification, CAST(NULL AS varchar(40)) AS baseline_conflict_fields, l_linestatus AS resolution_status, l_returnflag = 'R' AS is_winner FROM lineitem",
+    "variables": "SELECT concat('c_', o_orderkey) AS owner, concat(name, o_orderpriority) AS variable_name, 'flag' AS value_kind, o_orderstatus AS text_value, o_custkey AS effective_date, o_orderkey AS source_declaration_order, 'valid' AS validation_status, CAST(NULL AS varchar(40)) AS validation_note FROM orders JOIN (SELECT 'b_' AS name UNION ALL SELECT 'a_') v ON o_orderkey % 3 > 0",
+    "prestige": "SELECT concat('d_', o_custkey) AS owner, concat('dyn', o_orderkey) AS dynasty_id, o_orderkey % 5 AS minimum_prestige_level, 'minimum' AS value_status, o_orderkey % 4 AS effective_date, CAST(NULL AS varchar(40)) AS source_holder_character_id, o_orderkey AS source_declaration_order, 'h.txt' AS helper_source_path, 'sha' AS helper_raw_sha256, 'valid' AS validation_status, CAST(NULL AS varchar(40)) AS validation_note FROM orders WHERE o_orderkey % 5 = 0",
+}
+_ACTIVE_LAWS = "SELECT concat('d_', o_custkey) AS title_id, o_orderkey AS law_order, concat('law_', o_orderkey % 30) AS law_id, o_custkey AS effective_date, o_orderkey AS source_declaration_order, 'valid' AS validation_status, CAST(NULL AS varchar(40)) AS validation_note FROM orders WHERE o_orderkey % 3 = 0"
+_LAW_DEFINITIONS = "SELECT concat('law_', n_nationkey) AS law_id, concat('group_', n_regionkey) AS law_group_id, 'laws.txt' AS source_path, n_nationkey AS source_line_start, n_nationkey + 3 AS source_line_end FROM nation"
+#: What a query shows of each section: (name, columns, order in DuckDB).
+_SHOWN = {
+    "chain": ("title_id display_name title_rank selectable", "depth DESC"), "children": ("title_id display_name validation_status", "display_name, title_id"), "blocks": ("source_block_order source_path resolution_status is_winner", "source_block_order"),
+    "laws": ("law_order law_id law_group_id source_line_end", "law_order"), "variables": ("variable_name text_value effective_date", "variable_name"), "prestige": ("dynasty_id minimum_prestige_level effective_date", "effective_date, source_declaration_order"),
+}
+_SECTION_PAGE = 5
+
+
+def _sections_sql() -> str:
+    sources = {
+        "chain": f"SELECT leaf AS owner, n.*, depth FROM (WITH RECURSIVE up AS (SELECT title_id AS leaf, title_id, parent_title_id, 0 AS depth FROM ({_TREE_NODES}) a UNION ALL SELECT leaf, t.title_id, t.parent_title_id, depth + 1 FROM up JOIN ({_TREE_NODES}) t ON t.title_id = up.parent_title_id) SELECT leaf, title_id AS above, depth FROM up) u JOIN ({_TREE_NODES}) n ON n.title_id = above",
+        "children": f"SELECT parent_title_id AS owner, * FROM ({_TREE_NODES}) n WHERE parent_title_id IS NOT NULL",
+        "laws": f"SELECT title_id AS owner, a.*, law_group_id, source_line_end FROM ({_ACTIVE_LAWS}) a JOIN ({_LAW_DEFINITIONS}) d USING (law_id)", **_LISTED,
+    }
+    pages = []
+    for name, (columns, order) in _SHOWN.items():
+        said = ", ".join(f"CAST({c} AS VARCHAR)" for c in columns.split())
+        pages.append(f"SELECT owner, '{name}' AS s, concat_ws('|', {said}) AS said, row_number() OVER (PARTITION BY owner ORDER BY {order}, said) - 1 AS place FROM ({sources[name]}) x_{name}")
+    shown = ", ".join(f"coalesce(string_agg(said, ';' ORDER BY place) FILTER (WHERE s = '{name}'), '') AS {name}" for name in _SHOWN)
+    return f"SELECT owner, CAST(place // {_SECTION_PAGE} AS INT) AS page, {shown} FROM ({' UNION ALL '.join(pages)}) p GROUP BY ALL"
+
+
+@own("D36_sections", _sections_sql())
+def title_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = run_sql(spark, sf_dir, _TREE_NODES)
+    tables = {"chain": inspection.title_chain(nodes), "children": nodes.withColumnRenamed("parent_title_id", "owner"), "laws": inspection.title_laws(run_sql(spark, sf_dir, _ACTIVE_LAWS), run_sql(spark, sf_dir, _LAW_DEFINITIONS)), **{name: run_sql(spark, sf_dir, q) for name, q in _LISTED.items()}}
+    rows = inspection.sections(tables, _SECTION_PAGE)
+
+    def said(name: str, columns: list[str]) -> Column:
+        return F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[x[c].cast("string") for c in columns])), ";").alias(name)
+
+    return rows.select("owner", "page", *[said(name, columns.split()) for name, (columns, _) in _SHOWN.items()])
+
+
 _MARKS = "SELECT r_name AS bookmark_id, '0867-01-01' AS effective_start_date FROM region"
 _NEEDS = "SELECT r_name AS bookmark_id, n_name AS requirement_value, CASE WHEN n_nationkey % 4 = 0 THEN 'raw_flag' ELSE 'resolved' END AS resolution_status, concat('pkg', n_nationkey % 3) AS resolved_package_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2"
 _PACKAGES = "SELECT concat('pkg', r_regionkey) AS package_id, r_name AS display_name FROM region"

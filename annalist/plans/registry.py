@@ -77,3 +77,18 @@ def shared(name: str, text: str, oracle: str | None = None) -> None:
     """A query whose SQL both engines understand (or a twin where they don't)."""
     QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text)
     ORACLES[name] = duck(oracle or text)
+
+
+def line_sql(columns: list[str]) -> str:
+    """The canonical text of some columns in DuckDB SQL."""
+    return "concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END" for c in columns) + ")"
+
+
+def tree_sql(rows: str, columns: list[str], key: list[str], by: list[str], digits: int) -> list[str]:
+    """A hash tree's levels in DuckDB SQL, from the buckets to the roots."""
+    groups = "".join(f"{c}, " for c in by)
+    out = [f"SELECT {groups}substring(sha256({line_sql(key)}), 1, {digits}) AS prefix, count(*) AS n, sha256(string_agg(sha256({line_sql(sorted(columns))}), ',' ORDER BY sha256({line_sql(sorted(columns))}))) AS sha256 FROM ({rows}) r GROUP BY ALL"]
+    while digits:
+        digits = max(0, digits - 2)
+        out.append(f"SELECT {groups}substring(p, 1, {digits}) AS prefix, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(p, ':', d), ',' ORDER BY concat(p, ':', d))) AS sha256 FROM (SELECT {groups}prefix AS p, n, sha256 AS d FROM ({out[-1]}) x) y GROUP BY ALL")
+    return out
