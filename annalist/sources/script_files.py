@@ -49,10 +49,9 @@ def declarations(source: DataFrame, depth: int) -> DataFrame:
                 yield from below(a.raw[1:-1], a.line_start, (*keys, a.key), (*at, n))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in DECLARED.split(", ")]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(path, *row) for row in below(script.without_comments(script.decoded(bytes(content))), 1, (), ())], columns=names)
+        each = ((path, content) for batch in batches for path, content in zip(batch["path"], batch["content"]))
+        rows = ((path, *row) for path, content in each for row in below(script.without_comments(script.decoded(bytes(content))), 1, (), ()))
+        yield from script.framed(rows, DECLARED)
 
     return source.select("path", "content").mapInPandas(parse, DECLARED)
 
