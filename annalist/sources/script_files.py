@@ -59,21 +59,22 @@ def declarations(source: DataFrame, depth: int) -> DataFrame:
 def title_declarations(source: DataFrame) -> DataFrame:
     """Every title line with the title it is indented under; a capital line belongs to the title line before it. Comments are cut at the first #."""
 
+    def titles(path: str, content: bytes) -> list[list]:
+        rows, open_titles = [], {}
+        for number, whole in enumerate(script.decoded(content).splitlines(), 1):
+            text = whole.partition("#")[0]
+            body = text.strip()
+            if m := re.match(TITLE_LINE, body):
+                indent = len(text) - len(text.lstrip(" \t"))
+                open_titles = {k: v for k, v in open_titles.items() if k < indent}
+                rows.append([path, m[1], open_titles[max(open_titles)] if open_titles else None, None, number])
+                open_titles[indent] = m[1]
+            elif rows and (m := re.match(CAPITAL_LINE, body)):
+                rows[-1][3] = m[1]
+        return rows
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows, open_titles = [], {}
-                for number, whole in enumerate(script.decoded(bytes(content)).splitlines(), 1):
-                    text = whole.partition("#")[0]
-                    body = text.strip()
-                    if m := re.match(TITLE_LINE, body):
-                        indent = len(text) - len(text.lstrip(" \t"))
-                        open_titles = {k: v for k, v in open_titles.items() if k < indent}
-                        rows.append([path, m[1], open_titles[max(open_titles)] if open_titles else None, None, number])
-                        open_titles[indent] = m[1]
-                    elif rows and (m := re.match(CAPITAL_LINE, body)):
-                        rows[-1][3] = m[1]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in TITLE.split(", ")])
+        yield from script.framed((row for batch in batches for path, content in zip(batch["path"], batch["content"]) for row in titles(path, bytes(content))), TITLE)
 
     return source.select("path", "content").mapInPandas(parse, TITLE)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import duckdb
+
 from annalist.functions import script
 from annalist.plans import catalogue, scripts
 from annalist.sources import saves
@@ -22,3 +24,17 @@ def test_saves_are_dealt_and_keep_errors_between_them(spark, sf_dir):
     assert files.rdd.getNumPartitions() == 4
     got = {r.path: r.error for r in saves.metadata(files).collect()}
     assert len(got) == files.count() and all((got[p] is not None) == (int(p[1:-4]) % 7 == 0) for p in got)
+
+
+def test_numbers_wider_than_their_padding(spark, tmp_path):
+    """Keys of more digits than a file's name shows: paths as the SQL writes them, order by the whole number."""
+    keys = [7, 10007, 99997, 100007, 999999, 1000007, 1999999]
+    spark.createDataFrame([(k, k % 2) for k in keys], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, f"n{k}", "Brand#1", 3) for k in keys], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("S1_landed_titles", "S1_source_order", "S28_last_declarations", "S2_localisation", "S2_labels_in_force"):
+        frame = catalogue.QUERIES[name](spark, str(tmp_path))
+        cols = ", ".join(frame.columns)
+        assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, con.execute(f"select {cols} from ({catalogue.ORACLES[name]})").fetchall())), name
