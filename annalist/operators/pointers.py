@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.session import written
+from annalist.session import dropped, written
 
 
 def resolved(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def resolved(edges: DataFrame) -> DataFrame:
 
     Each round joins a node to what lies beyond its stretch, so stretches double. Wherever a way of more than 2**k nodes ends, one of its nodes ends in
     round k + 1; so when a round settles no node, all that are left run in circles, and no stretch is ever over four times the longest way that ends.
-    Each round's table is written to the shared folder: a round never runs those before it again. A node that many point to makes a skewed join, which AQE splits.
+    Each round's table is written to the shared folder and replaces that of the round before: a round never runs those before it again. A node that many point to makes a skewed join, which AQE splits.
     """
     spark = edges.sparkSession
     none = F.array().cast(dict(edges.dtypes)["along"])
@@ -35,6 +35,7 @@ def resolved(edges: DataFrame) -> DataFrame:
             F.concat("along", F.coalesce("_along", none)).alias("along"),
             F.when(there, F.col("_loose")).otherwise(F.col("next")).alias("loose"),
         )
-        state = written(spark, state.where("next is null").unionByName(moved), "pointers")
+        earlier, state = state, written(spark, state.where("next is null").unionByName(moved), "pointers")
+        dropped(earlier)
         before, left = left, state.where("next is not null").count()
     return state.select("node", "end", "along", "loose", F.col("next").isNotNull().alias("cyclic"))
