@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
+from pyspark.sql import functions as F
+
 from annalist.operators import journal
+from annalist.plans import catalogue
 
 BASE = [("b_1", "c_1", "d_1", 1, "occupied", "castle", True, False), ("b_2", "c_1", "d_1", 2, "open", "empty", False, True), ("b_3", "c_2", "d_1", 1, "occupied", "city", True, False)]
 BASE_SCHEMA = "barony_id string, county_id string, duchy_id string, slot_number long, slot_status string, holding_type string, is_county_capital boolean, is_open_barony_slot boolean"
@@ -32,3 +36,30 @@ def test_journal(spark):
     good, bad = journal.playthroughs(runs, baselines, chains)
     assert [(r.playthrough_id, r.ruler_name, r.duchy, r.lifecycle_state) for r in good.collect()] == [("p", "A", "d_1", "active")]
     assert {r.reasons for r in bad.collect()} == {"Baseline is not promoted for the selected reference snapshot", "ruler_name is required; Unknown title: c_9"}
+
+
+def test_states_of_a_large_county_are_dealt(spark):
+    """Gains of one file and one county, whose slots fill several blocks: many tasks make the product, each pair once, however it is joined."""
+    n = 2 * journal.BLOCK + 5
+    base = spark.range(n).selectExpr("concat('b_', id) AS barony_id", "'c_1' AS county_id", "'d_1' AS duchy_id", "id AS slot_number", "'open' AS slot_status", "'castle' AS holding_type", "id = 0 AS is_county_capital", "true AS is_open_barony_slot")
+    moves = spark.range(64).selectExpr("concat('p', id) AS playthrough_id", "'c_1' AS county_id", "CASE WHEN id < 60 THEN 'acquired' ELSE 'lost' END AS event", "'domain' AS ownership_scope", "'ruler' AS holder_type", "'1' AS observed_at").coalesce(1)
+    pairs = lambda: journal.acquisitions(moves, base)[1].select("acquisition_event_id", "barony_id")
+    made = [r["count"] for r in pairs().groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 60 * n and max(made) <= 60 * n // 4
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pairs().agg(F.count("*").alias("n"), F.count_distinct("acquisition_event_id", "barony_id").alias("pairs")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert (got.n, got.pairs) == (60 * n, 60 * n)
+
+
+def test_barony_states_are_dealt_and_equal_the_sql(spark, sf_dir):
+    frame = catalogue.QUERIES["D39_barony_states"](spark, sf_dir)
+    made = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) <= sum(made) // 4
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    assert sorted(map(tuple, frame.collect())) == sorted(con.execute(f"select {', '.join(frame.columns)} from ({catalogue.ORACLES['D39_barony_states']})").fetchall())
