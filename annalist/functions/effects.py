@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,10 @@ EVENT = "kind string, owner string, value string, second string, required_date i
 Found = tuple[str, str | None, str | None, str | None, int | None]
 
 
-def _inner(raw: str) -> list[script.Assignment]:
-    return list(script.assignments(raw[1:-1])) if raw[:1] == "{" else []
+@lru_cache(maxsize=256)
+def _inner(raw: str) -> tuple[script.Assignment, ...]:
+    """Each recogniser asks for a body's assignments; the few bodies that were parsed last are kept."""
+    return tuple(script.assignments(raw[1:-1])) if raw[:1] == "{" else ()
 
 
 def _plain(a: script.Assignment) -> str | None:
@@ -53,13 +56,13 @@ def de_jure(key: str, kind: str, raw: str) -> list[Found]:
     """A scalar, 0 for none, or an effect of that one field with a scoped title."""
     if key == "de_jure_liege" and kind == "scalar":
         return [("de_jure_liege", None, None if raw == "0" else raw, None, None)]
-    fields = _inner(raw) if key == "effect" and kind == "block" else []
+    fields = _inner(raw) if key == "effect" and kind == "block" else ()
     target = _unscoped(_plain(fields[0])) if len(fields) == 1 and fields[0].key == "set_de_jure_liege_title" else None
     return [("de_jure_liege", None, target, None, None)] if target else []
 
 
 def tributary(key: str, kind: str, raw: str) -> list[Found]:
-    fields = _inner(raw) if key == "tributary_of" and kind == "block" else []
+    fields = _inner(raw) if key == "tributary_of" and kind == "block" else ()
     said = {a.key: _plain(a) or "" for a in fields}
     if len(fields) != 2 or set(said) != {"suzerain", "contract_group"} or not TITLE.match(said["suzerain"]) or not IDENTIFIER.match(said["contract_group"]):
         return []
@@ -72,7 +75,7 @@ def name(key: str, kind: str, raw: str) -> list[Found]:
         return [("name", None, raw, None, None)]
     if kind == "scalar" and (key, raw) == ("reset_name", "yes"):
         return [("name", None, None, None, None)]
-    fields = _inner(raw) if key == "effect" and kind == "block" else []
+    fields = _inner(raw) if key == "effect" and kind == "block" else ()
     said = _plain(fields[0]) if len(fields) == 1 and fields[0].key == "set_title_name" else None
     return [("name", None, said, None, None)] if said else []
 
@@ -111,7 +114,7 @@ IDLE_EFFECTS = frozenset(
 
 def learning(key: str, kind: str, raw: str) -> list[Found]:
     """Languages that a body grants, if it does nothing else; a mixed body grants none."""
-    fields = _inner(raw) if key == "effect" and kind == "block" else []
+    fields = _inner(raw) if key == "effect" and kind == "block" else ()
     said = [_plain(a) or "" for a in fields]
     if not fields or any(a.key != "learn_language_of_culture" or not x.startswith("culture:") or not CHARACTER.fullmatch(x[8:]) for a, x in zip(fields, said)):
         return []
@@ -130,7 +133,7 @@ def cultures(key: str, kind: str, raw: str) -> list[Found]:
 
 def character_body_is_read(key: str, kind: str, raw: str) -> bool:
     """Whether a character's effect body holds nothing but what is recognised or changes no projected state."""
-    fields = _inner(raw) if key == "effect" and kind == "block" else []
+    fields = _inner(raw) if key == "effect" and kind == "block" else ()
     if learning(key, kind, raw):
         return True
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,8 +58,9 @@ HELPERS = {
 }
 
 
+@lru_cache(maxsize=256)
 def tree(raw: str) -> Tree:
-    """A block as nested (key, value or block)."""
+    """A block as nested (key, value or block). The few blocks that were parsed last are kept."""
     return tuple((a.key, tree(a.raw) if a.kind == "block" else script.scalar(a.raw)) for a in script.assignments(raw[1:-1]))
 
 

@@ -25,7 +25,8 @@ class Assignments:
             yield k, a.key, a.kind, a.raw, a.line_start
 
 
-@udtf(returnType=f"readings {READINGS}", useArrow=True)
+# With Arrow each row's result would be a frame of its own, which costs far more than its parse.
+@udtf(returnType=f"readings {READINGS}", useArrow=False)
 class Readings:
     """One row, with an empty array where nothing is recognised. origin: `form` for a whole body of reviewed form, `said` for each thing that it says."""
 
@@ -46,8 +47,11 @@ def register(spark: SparkSession) -> None:
 
 
 def read(operations: DataFrame) -> DataFrame:
-    """operations with `readings`. operations: title_id, path, effective_date, declaration_order, operation_key, value_kind, raw_value and others."""
+    """operations with `readings`. operations: title_id, path, effective_date, declaration_order, operation_key, value_kind, raw_value and others.
+
+    Operations are dealt evenly over all tasks first: a small file is read by one task, and a title may own very many of them."""
     spark = operations.sparkSession
     register(spark)
+    operations = operations.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     call = "script_readings(o.title_id, o.path, o.effective_date, o.operation_key, o.value_kind, o.raw_value)"
     return spark.sql(f"SELECT o.*, r.readings FROM {{operations}} o, LATERAL {call} r", operations=operations)
