@@ -9,7 +9,7 @@ from annalist.functions import effects, readings, script
 from annalist.operators import title_events
 from annalist.plans import catalogue
 
-QUERIES = ("D8_title_events", "D10_laws_in_force")
+QUERIES = ("D8_title_events", "D10_laws_in_force", "D13_name_overrides")
 
 
 @pytest.mark.parametrize("name", QUERIES)
