@@ -9,7 +9,7 @@ from annalist.functions import effects, readings, script
 from annalist.operators import title_events
 from annalist.plans import catalogue
 
-QUERIES = ("D8_title_events", "D10_laws_in_force", "D13_name_overrides", "D14_title_variables", "D16_court_states", "D18_prestige_bounds", "D19_package_gates", "D9_resolution_status")
+QUERIES = ("D8_title_events", "D10_laws_in_force", "D13_name_overrides", "D14_title_variables", "D16_court_states", "D18_prestige_bounds", "D19_package_gates", "D9_resolution_status", "W6_laws_before_effects")
 
 
 @pytest.mark.parametrize("name", QUERIES)
