@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.operators import pointers
-from annalist.session import written
+from annalist.session import dropped, tidied, written
 
 RANKS = "bcdke"
 HOPS = 5
@@ -44,13 +44,20 @@ def _level(column: str) -> Column:
     return F.expr(f"locate(substring({column}, 1, 1), '{RANKS}')")
 
 
-def chains(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame | None = None, letters: bool = False) -> DataFrame:
     """(title_id, path, missing, cyclic) of every title: its ancestors from the parent up as far as they exist, the first that doesn't, and whether
     the way up runs in a circle (the path is then of no use). nodes: title_id (unique), parent_title_id; its other columns are kept.
-    edges: what nodes were chosen from, if it is cheaper to look for edges that don't rise there."""
-    own = nodes.select("title_id", "parent_title_id")
-    extra = [c for c in nodes.columns if c not in own.columns]
+    edges: what nodes were chosen from, if it is cheaper to look for edges that don't rise there. letters: the path is a text of the ancestors' rank letters alone,
+    which is a small part of what their ids take in every round of the pointers."""
+    spark = nodes.sparkSession
+    extra = [c for c in nodes.columns if c not in ("title_id", "parent_title_id")]
     turns = F.col("parent_title_id").isNotNull() & (_level("parent_title_id") <= _level("title_id"))
+    with tidied(spark):
+        sound = (nodes if edges is None else edges).where(turns).isEmpty()
+    if not sound:
+        # Five joins, the odd titles and the result read these: written once, none of them shuffles all declarations again.
+        nodes = written(spark, nodes, "titles")
+    own = nodes.select("title_id", "parent_title_id")
     marked = own.select("title_id", F.when(~F.coalesce(turns, F.lit(False)), F.col("parent_title_id")).alias("up"), F.coalesce(turns, F.lit(False)).alias("turn"))
     rows = nodes.select("title_id", *extra, F.when(~F.coalesce(turns, F.lit(False)), F.col("parent_title_id")).alias("p1"), F.coalesce(turns, F.lit(False)).alias("t0"))
     for k in range(1, HOPS):
@@ -58,30 +65,35 @@ def chains(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         rows = rows.join(step, f"p{k}", "left")
     there = [F.col(f"t{k}").isNotNull() for k in range(1, HOPS)]
     path = F.array_compact(F.array(*[F.when(there[k - 1], F.col(f"p{k}")) for k in range(1, HOPS)]))
+    if letters:
+        path = F.array_join(F.transform(path, lambda x: F.substring(x, 1, 1)), "")
+    first, none = (F.substring("parent_title_id", 1, 1), F.lit("")) if letters else (F.array("parent_title_id"), F.array().cast(_PATH))
     missing = F.coalesce(*[F.when(~there[k - 1], F.col(f"p{k}")) for k in range(1, HOPS)])
     turn = F.coalesce(F.when(F.col("t0"), F.col("title_id")), *[F.when(F.col(f"t{k}"), F.col(f"p{k}")) for k in range(1, HOPS)])
     found = rows.select("title_id", *extra, path.alias("path"), missing.alias("missing"), turn.alias("_turn"))
-    if (own if edges is None else edges).where(turns).isEmpty():
+    if sound:
         return found.select("title_id", *extra, "path", "missing", F.lit(False).alias("cyclic"))
+    found = written(spark, found, "rising-titles")
     # An odd title's way: its parent, the rising titles above, and so on from the next odd one.
     ways = found.select(F.col("title_id").alias("parent_title_id"), "path", "missing", "_turn")
     odd = own.where(turns).join(ways, "parent_title_id", "left")
     there = F.col("path").isNotNull()
-    steps = odd.select(F.col("title_id").alias("node"), F.col("_turn").alias("next"), F.when(there, F.concat(F.array("parent_title_id"), "path")).alias("along"), F.when(there, F.col("missing")).otherwise(F.col("parent_title_id")).alias("missing"))
-    steps = written(own.sparkSession, steps, "odd-titles")
+    steps = odd.select(F.col("title_id").alias("node"), F.col("_turn").alias("next"), F.when(there, F.concat(first, "path")).alias("along"), F.when(there, F.col("missing")).otherwise(F.col("parent_title_id")).alias("missing"))
+    steps = written(spark, steps, "odd-titles")
+    dropped(nodes)
     ends = pointers.resolved(steps.select("node", "next", "along")).join(steps.select(F.col("node").alias("end"), F.col("missing").alias("_missing")), "end")
     above = ends.select(F.col("node").alias("_turn"), F.col("along").alias("_path"), "_missing", F.col("cyclic").alias("_cyclic"))
     both = found.join(above, "_turn", "left")
-    return both.select("title_id", *extra, F.concat("path", F.coalesce("_path", F.array().cast(_PATH))).alias("path"), F.coalesce("missing", "_missing").alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"))
+    return both.select("title_id", *extra, F.concat("path", F.coalesce("_path", none)).alias("path"), F.coalesce("missing", "_missing").alias("missing"), F.coalesce("_cyclic", F.lit(False)).alias("cyclic"))
 
 
 def validated(titles: DataFrame) -> DataFrame:
     """(title_id, selectable, warning). In order: duplicate, cycle, missing parent, rank chain. titles: title_id, parent_title_id, source_order."""
     nodes = declared(titles)
-    ranks = F.concat(F.substring("title_id", 1, 1), F.array_join(F.transform("path", lambda x: F.substring(x, 1, 1)), ""))
+    ranks = F.concat(F.substring("title_id", 1, 1), "path")
     wanted = F.expr(f"substring('{RANKS}', instr('{RANKS}', substring(title_id, 1, 1)))")
     warning = F.when(F.col("n") > 1, "duplicate title declarations").when(F.col("cyclic"), "cyclic parent hierarchy").when(F.col("missing").isNotNull(), F.concat(F.lit("missing parent title: "), "missing")).when(ranks != wanted, F.concat(F.lit("non-canonical rank chain: "), ranks))
-    return chains(nodes, titles).select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
+    return chains(nodes, titles, letters=True).select("title_id", warning.isNull().alias("selectable"), warning.alias("warning"))
 
 
 def first_child(titles: DataFrame, order: str) -> DataFrame:

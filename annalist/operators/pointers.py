@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.session import dropped, written
+from annalist.session import dropped, tidied, written
 
 
 def resolved(edges: DataFrame) -> DataFrame:
-    """(node, end, along, loose, cyclic) of every node. edges: node (unique, not null), next (null at an end), along (an array that the edge adds, or null).
+    """(node, end, along, loose, cyclic) of every node. edges: node (unique, not null), next (null at an end), along (an array or a text that the edge adds, or null).
 
-    end: the last node that exists on the way; along: the arrays of the edges followed, joined in order; loose: the pointer out of the end, to a node that
+    end: the last node that exists on the way; along: what the edges followed add, joined in order; loose: the pointer out of the end, to a node that
     doesn't exist; cyclic: the way runs in a circle, then the other columns are of no use.
 
     Each round joins a node to what lies beyond its stretch, so stretches double. Wherever a way of more than 2**k nodes ends, one of its nodes ends in
@@ -19,9 +19,12 @@ def resolved(edges: DataFrame) -> DataFrame:
     Each round's table is written to the shared folder and replaces that of the round before: a round never runs those before it again. A node that many point to makes a skewed join, which AQE splits.
     """
     spark = edges.sparkSession
-    none = F.array().cast(dict(edges.dtypes)["along"])
+    kind = dict(edges.dtypes)["along"]
+    none = F.lit("") if kind == "string" else F.array().cast(kind)
     state = written(spark, edges.select("node", F.col("node").alias("end"), "next", F.coalesce("along", none).alias("along"), F.lit(None).cast("string").alias("loose")), "pointers")
-    if not state.groupBy("node").count().where("count > 1").isEmpty():
+    with tidied(spark):
+        twice = not state.groupBy("node").count().where("count > 1").isEmpty()
+    if twice:
         raise ValueError("a node has several pointers")
     left, before = state.where("next is not null").count(), -1
     while left not in (0, before):
